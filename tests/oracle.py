@@ -41,6 +41,7 @@ def compare(df, con, sql: str) -> str | None:
         return f"{len(got)} rows != {len(want)} rows"
     diff = [(g, w) for g, w in zip(got, want) if g != w]
     if not diff:
+        compare.rows = len(got)
         return None
     g, w = diff[0]
     cols = [(c, a, b) for c, a, b in zip(got_c, g, w) if a != b]
@@ -62,7 +63,7 @@ def main(sf_dir: str, names: list[str]) -> int:
         try:
             if name in oracles:
                 problem = compare(queries[name](spark, sf_dir), con, oracles[name])
-                kind = "value"
+                kind = f"value, {compare.rows} rows"
             else:
                 n = queries[name](spark, sf_dir).count()
                 kind, problem = f"rows={n}", None if n else "no rows"

@@ -208,11 +208,11 @@ def _(spark, d):
 
 @query(
     "K7_save_targets",
-    PICKS_SQL + f"SELECT {_D}, code, strategy_name, closing_price FROM picks WHERE NOT (date_diff('day', DATE '1990-01-01', picks.target_dt) % 2 = 0)",
+    PICKS_SQL + f"SELECT {_D}, code, strategy_name, closing_price FROM picks WHERE picks.target_dt >= DATE '1999-01-01'",
 )
 def _(spark, d):
     picks = _picks(spark, d)
-    stored = picks.where(F.date_diff("target_dt", F.lit("1990-01-01").cast("date")) % 2 == 0)
+    stored = picks.where(F.col("target_dt") < F.lit("1999-01-01").cast("date"))
     return sinks.save_targets(stored, picks).select(day("target_dt").alias("target_dt"), "code", "strategy_name", "closing_price")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewire.functions.core import full_text
+from tidewire.functions.core import full_text, ts_literal
 from tidewire.functions.text import STOPWORDS, tokenize
 from tidewire.operators import sinks, terms
 from tidewire.plans.registry import listed, query, stamp
@@ -20,7 +20,7 @@ raw_tokens AS (SELECT id AS doc_id, source_id, published_at, unnest(regexp_extra
 toks AS (SELECT * FROM raw_tokens WHERE term NOT IN ({_STOP})),
 tf AS (SELECT term, count(*) AS frequency, count(DISTINCT doc_id) AS doc_count FROM toks GROUP BY term),
 vocab AS (SELECT term, frequency, doc_count FROM tf ORDER BY frequency DESC, term LIMIT 100),
-pick AS (SELECT DISTINCT doc_id, term FROM toks WHERE term IN (SELECT term FROM vocab)),
+pick AS (SELECT DISTINCT doc_id, published_at, term FROM toks WHERE term IN (SELECT term FROM vocab)),
 edges AS (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM pick a JOIN pick b ON a.doc_id = b.doc_id AND a.term < b.term
   GROUP BY 1, 2 HAVING count(*) >= 2)
 """
@@ -222,19 +222,20 @@ def _(spark, d):
     return terms.term_match(standins.articles(spark, d), expanded, CENTER).withColumn("matched_terms", listed("matched_terms"))
 
 
-# A second batch of edges for the merges: the even documents are "stored", all documents are the "batch".
-_STORED_SQL = TOKENS_SQL + """, stored AS (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM pick a JOIN pick b
-  ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.doc_id % 2 = 0 GROUP BY 1, 2 HAVING count(*) >= 2),
+# Two overlapping periods for the merges: what was published before SPLIT_TO is stored, what came from SPLIT_FROM on is the batch.
+SPLIT_FROM, SPLIT_TO = "2026-01-01 00:00:00", "2026-01-03 00:00:00"
+_STORED_SQL = TOKENS_SQL + f""", stored AS (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM pick a JOIN pick b
+  ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.published_at < TIMESTAMP '{SPLIT_TO}' GROUP BY 1, 2 HAVING count(*) >= 2),
 batch AS (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM pick a JOIN pick b
-  ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.doc_id % 3 = 0 GROUP BY 1, 2 HAVING count(*) >= 2)
+  ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.published_at >= TIMESTAMP '{SPLIT_FROM}' GROUP BY 1, 2 HAVING count(*) >= 2)
 """
 
 
 def _stored_and_batch(spark, d):
-    tokens = _tokens(spark, d)
-    vocab = terms.term_frequency(tokens)
-    stored = terms.cooccurrence_within(tokens.where(F.col("doc_id") % 2 == 0), vocab)
-    batch = terms.cooccurrence_within(tokens.where(F.col("doc_id") % 3 == 0), vocab)
+    a = standins.articles(spark, d)
+    vocab = terms.term_frequency(terms.tokenize_articles(a))
+    stored = terms.cooccurrence_within(terms.tokenize_articles(a.where(F.col("published_at") < ts_literal(SPLIT_TO))), vocab)
+    batch = terms.cooccurrence_within(terms.tokenize_articles(a.where(F.col("published_at") >= ts_literal(SPLIT_FROM))), vocab)
     return stored, batch
 
 
