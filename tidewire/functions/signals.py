@@ -95,18 +95,16 @@ def thread_velocity(likes: ColumnLike, replies: ColumnLike, hours: ColumnLike) -
 
 
 def extract_tickers(text: ColumnLike, variant: str = "forum") -> Column:
-    """Sorted symbols: "$"-prefixed ones and well-known ones written as a whole word.
+    """Sorted symbols: "$"-prefixed ones and well-known ones written as a whole word, in two passes over the text.
 
     The word boundary is spelled out so that letters of every script count as word characters.
     """
     text = as_col(text)
     letters, symbols, limit = ("A-Za-z", FORUM_SYMBOLS, 8) if variant == "forum" else ("A-Za-z0-9", THREAD_SYMBOLS, 6)
-    cash = F.transform(F.regexp_extract_all(text, F.lit(rf"\$([{letters}]{{2,6}})(?=[^\p{{L}}\p{{N}}_]|$)"), F.lit(1)), F.upper)
-    upper = F.upper(text)
-    known = F.array_compact(
-        F.array(*[F.when(upper.rlike(rf"(?:^|[^\p{{L}}\p{{N}}_]){s}(?:[^\p{{L}}\p{{N}}_]|$)"), F.lit(s)) for s in symbols])
-    )
-    return F.slice(F.sort_array(F.array_distinct(F.concat(cash, known))), 1, limit)
+    word = r"[\p{L}\p{N}_]"
+    cash = F.regexp_extract_all(text, F.lit(rf"\$([{letters}]{{2,6}})(?!{word})"), F.lit(1))
+    known = F.regexp_extract_all(text, F.lit(rf"(?i)(?<!{word})({'|'.join(symbols)})(?!{word})"), F.lit(1))
+    return F.slice(F.sort_array(F.array_distinct(F.transform(F.concat(cash, known), F.upper))), 1, limit)
 
 
 def rule_confidence(link_count: ColumnLike, content: ColumnLike, title: ColumnLike, missing_title: str = "제목 없음") -> Column:
