@@ -2,6 +2,7 @@
 
 ``scan_pages`` is the only Python step. It keeps the page's partitioning (no shuffle) and emits one row per page with
 arrays of anchors, containers and blocks; the tables S10-S12 are explodes and expressions over that row.
+Only the columns an operator asks for are kept after the scan.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ MISSING_AUTHOR = "미지정"
 SCAN_SCHEMA = (
     "page_id long, url string, title string, h1 string, canonical_link string, meta map<string,string>, "
     "anchors array<struct<pos:int,href:string,abs_url:string,text:string,class:string,path:string,parent_class:string,"
-    "in_chrome:boolean,hidden:boolean,groups:array<int>>>, "
+    "in_chrome:boolean,hidden:boolean,first:boolean,row:int,groups:array<int>>>, "
     "groups array<struct<gid:int,tag:string,id:string,class:string>>, "
     "blocks array<struct<pos:int,tag:string,id:string,class:string,text_len:int,link_len:int,img_count:int,preview:string>>"
 )
@@ -47,6 +48,7 @@ class _PageScanner(HTMLParser):
         self.anchors: list[dict] = []
         self.groups: list[dict] = []
         self.blocks: list[dict] = []
+        self.rows = 0
         self.meta: dict[str, str] = {}
         self.title: list[str] | None = None
         self.h1: list[str] | None = None
@@ -90,12 +92,16 @@ class _PageScanner(HTMLParser):
                 "parent_class": parent["class"] if parent else "",
                 "in_chrome": e["chrome"],
                 "hidden": e["hidden"],
+                "row": next((x["row"] for x in reversed(self.open) if "row" in x), -1),
                 "groups": [x["gid"] for x in self.open if "gid" in x],
             }
             self.anchors.append(e["anchor"])
         if tag in GROUP_TAGS:
             e["gid"] = len(self.groups)
             self.groups.append({"gid": e["gid"], "tag": tag, "id": a.get("id", ""), "class": cls})
+        if tag == "tr":
+            e["row"] = self.rows
+            self.rows += 1
         if tag in BLOCK_TAGS and not e["noise"]:
             e["block"] = {
                 "pos": len(self.blocks), "tag": tag, "id": a.get("id", ""), "class": cls, "text_len": 0, "link_len": 0,
@@ -135,12 +141,16 @@ class _PageScanner(HTMLParser):
                     b["preview"] = (b["preview"] + " " + piece).strip()[:PREVIEW_CHARS]
 
     def row(self, page_id) -> dict:
+        seen = set()
         for a in self.anchors:
             a["text"] = " ".join(" ".join(a["text"]).split())
             try:
                 a["abs_url"] = urljoin(self.url, a["href"].strip()) if a["href"] is not None else None
             except ValueError:
                 a["abs_url"] = None
+            link = a["abs_url"]
+            a["first"] = bool(link and link.startswith("http") and link not in seen)
+            seen.add(link)
         return {
             "page_id": page_id,
             "url": self.url,
@@ -171,7 +181,7 @@ def _arrow_schema() -> pa.Schema:
     s, i, b = pa.string(), pa.int32(), pa.bool_()
     anchor = pa.struct(
         [("pos", i), ("href", s), ("abs_url", s), ("text", s), ("class", s), ("path", s), ("parent_class", s), ("in_chrome", b), ("hidden", b),
-         ("groups", pa.list_(i))]
+         ("first", b), ("row", i), ("groups", pa.list_(i))]
     )
     group = pa.struct([("gid", i), ("tag", s), ("id", s), ("class", s)])
     block = pa.struct(
@@ -188,21 +198,14 @@ def scan_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(_scan_batches, SCAN_SCHEMA)
 
 
-def _anchor_rows(scan: DataFrame) -> DataFrame:
+def anchor_rows(scan: DataFrame) -> DataFrame:
+    """One row per anchor."""
     return scan.select("page_id", F.col("url").alias("page_url"), F.explode("anchors").alias("a")).select("page_id", "page_url", "a.*")
 
 
-def first_per_url(anchors: Column) -> Column:
-    """Keep the first anchor of every URL inside one page's array, in document order."""
-    urls = F.transform(anchors, lambda a: a["abs_url"])
-    return F.filter(anchors, lambda a, i: F.array_position(urls, a["abs_url"]) == i + 1)
-
-
 def page_anchors(scan: DataFrame) -> DataFrame:
-    """Anchors with an absolute http URL, first occurrence of a URL per page."""
-    http = F.filter("anchors", lambda a: F.startswith(a["abs_url"], F.lit("http")))
-    rows = scan.select("page_id", "url", first_per_url(http).alias("anchors"))
-    return _anchor_rows(rows)
+    """Anchors with an absolute http URL, first occurrence of a URL per page (S10). No shuffle: the scan marks the first."""
+    return anchor_rows(scan).where("first")
 
 
 def page_metadata(scan: DataFrame) -> DataFrame:
