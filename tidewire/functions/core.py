@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,11 @@ def as_col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ts_literal(value: dt.datetime | str | Column) -> Column:
     """A zone-free timestamp from a datetime, an ISO string or a column."""
     if isinstance(value, Column):

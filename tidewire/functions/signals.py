@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewire.functions.core import ColumnLike, as_col, ellipsis, full_text, round_half_up
+from tidewire.functions.core import ColumnLike, as_col, ellipsis, full_text, let, round_half_up
 
 # Market keyword groups and the points one hit adds.
 SIGNAL_KEYWORDS = {
@@ -36,33 +36,34 @@ THREAD_SYMBOLS = ("NVDA", "TSLA", "AAPL", "MSFT", "META", "GOOGL", "AMZN", "BTC"
 BASE_SCORE, MIN_SCORE, MAX_SCORE, MOOD_POINTS, MOOD_CAP = 50, 10, 100, 5, 15
 
 
-def _count_hits(text: Column, words: tuple[str, ...]) -> Column:
-    total = F.lit(0)
-    for word in words:
-        total = total + F.when(F.contains(text, F.lit(word.lower())), 1).otherwise(0)
-    return total
+def _hits(text: Column, words: tuple[str, ...]) -> Column:
+    """The words of a short fixed list that occur in a lower-cased text."""
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w.lower())), F.lit(w)) for w in words]))
 
 
 def market_signal(title: ColumnLike, text: ColumnLike) -> Column:
     """Struct (signals, signal_level, impact_score, sentiment) of a headline and its summary.
 
-    Only ``contains`` on literals: the whole score stays inside generated code.
+    The text is lower-cased once and every word is looked for once.
     """
     low = F.lower(full_text(F.coalesce(as_col(title), F.lit("")), F.coalesce(as_col(text), F.lit(""))))
-    counts = {group: _count_hits(low, words) for group, words in SIGNAL_KEYWORDS.items()}
-    hits = F.array_compact(
-        F.array(*[F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for words in SIGNAL_KEYWORDS.values() for w in words])
-    )
-    bull, bear = _count_hits(low, BULLISH_WORDS), _count_hits(low, BEARISH_WORDS)
+    groups = {**SIGNAL_KEYWORDS, "bull": BULLISH_WORDS, "bear": BEARISH_WORDS}
+    found = let(low, lambda t: F.struct(*[_hits(t, words).alias(g) for g, words in groups.items()]))
+    return let(found, _score)
+
+
+def _score(found: Column) -> Column:
+    counts = {g: F.size(found[g]) for g in (*SIGNAL_KEYWORDS, "bull", "bear")}
+    bull, bear = counts["bull"], counts["bear"]
     points = F.lit(BASE_SCORE)
-    for group, count in counts.items():
-        points = points + count * SIGNAL_POINTS[group]
+    for group, value in SIGNAL_POINTS.items():
+        points = points + counts[group] * value
     mood = F.when(bull == bear, 0).otherwise(F.least(F.lit(MOOD_CAP), F.greatest(bull, bear) * MOOD_POINTS))
     level = (
         F.when(counts["CRITICAL"] > 0, "CRITICAL").when((counts["EARNINGS"] > 0) | (counts["MACRO"] > 0), "HIGH").otherwise("NORMAL")
     )
     return F.struct(
-        hits.alias("signals"),
+        F.concat(*[found[g] for g in SIGNAL_KEYWORDS]).alias("signals"),
         level.alias("signal_level"),
         F.least(F.lit(MAX_SCORE), F.greatest(F.lit(MIN_SCORE), points + mood)).alias("impact_score"),
         F.when(bull > bear, "BULLISH").when(bear > bull, "BEARISH").otherwise("NEUTRAL").alias("sentiment"),

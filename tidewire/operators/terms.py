@@ -17,30 +17,32 @@ def tokenize_articles(articles: DataFrame, tokenizer: Callable[[Column], Column]
     return articles.select(F.col("id").alias("doc_id"), "source_id", tokenizer(full_text("title", "content")).alias("tokens"))
 
 
-def _term_counts(tokens: DataFrame, *keys: str) -> DataFrame:
-    """frequency and doc_count per term in one shuffle with partial sums.
+def counted_terms(tokens: DataFrame, *keys: str) -> DataFrame:
+    """One row per token and one more per distinct token of its document; ``in_text`` tells them apart.
 
-    Tokens are sorted inside their document, so "first of its run" marks one row per document and term:
-    the distinct-document count needs no second shuffle.
+    Counting the first kind gives the frequency, counting the second the document count: both in one aggregation,
+    without a second shuffle for the distinct count and without sorting.
     """
-    return (
-        tokens.select(*keys, F.sort_array("tokens").alias("t"))
-        .select(*keys, "t", F.posexplode("t").alias("pos", "term"))
-        .select(*keys, "term", F.when(F.col("pos") == 0, 1).when(F.get("t", F.col("pos") - 1) == F.col("term"), 0).otherwise(1).alias("first"))
-        .groupBy(*keys, "term")
-        .agg(F.count("*").alias("frequency"), F.sum("first").alias("doc_count"))
+    both = F.concat("tokens", F.array_distinct("tokens"))
+    return tokens.select(*keys, F.size("tokens").alias("n"), F.posexplode(both).alias("pos", "term")).select(*keys, "term", (F.col("pos") < F.col("n")).alias("in_text"))
+
+
+def term_counts(tokens: DataFrame, *keys: str) -> DataFrame:
+    """frequency and doc_count per term in one shuffle with partial sums."""
+    return counted_terms(tokens, *keys).groupBy(*keys, "term").agg(
+        F.count_if("in_text").alias("frequency"), F.count_if(~F.col("in_text")).alias("doc_count")
     )
 
 
 def term_frequency(tokens: DataFrame, n: int = 100) -> DataFrame:
     """The ``n`` most frequent terms with total and document counts (A1); ties by term."""
-    return _term_counts(tokens).orderBy(F.desc("frequency"), "term").limit(n)
+    return term_counts(tokens).orderBy(F.desc("frequency"), "term").limit(n)
 
 
 def term_frequency_by_source(tokens: DataFrame, n: int = 100) -> DataFrame:
     """A1 for every source. The rank filter is applied before the shuffle too, so a dominant source stays cheap."""
     rank = F.row_number().over(W.partitionBy("source_id").orderBy(F.desc("frequency"), "term"))
-    return _term_counts(tokens, "source_id").withColumn("rank", rank).where(F.col("rank") <= n)
+    return term_counts(tokens, "source_id").withColumn("rank", rank).where(F.col("rank") <= n)
 
 
 def term_rows(tokens: DataFrame, at: Column | str, n: int = 100) -> DataFrame:

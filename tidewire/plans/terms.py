@@ -100,8 +100,8 @@ def _(spark, d):
 def _term_rows(spark, d):
     """One row per article and term, at the time of publication."""
     a = standins.articles(spark, d)
-    flat = a.select(F.col("published_at").alias("time"), "source_id", "id", F.explode(tokenize(full_text("title", "content"))).alias("term"))
-    return flat.groupBy("time", "source_id", "term").agg(F.count("*").alias("frequency"), F.count_distinct("id").alias("doc_count"))
+    tokens = a.select(F.col("published_at").alias("time"), "source_id", tokenize(full_text("title", "content")).alias("tokens"))
+    return terms.term_counts(tokens, "time", "source_id")
 
 
 TERM_ROWS_SQL = TOKENS_SQL + """, term_rows AS (SELECT published_at AS time, source_id, term, count(*) AS frequency, count(DISTINCT doc_id) AS doc_count

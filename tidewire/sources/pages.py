@@ -1,4 +1,4 @@
-"""Raw page scan: one pass of a standard-library parser per page, everything else as DataFrame expressions.
+"""Raw page scan: one pass over the tags of each page, everything else as DataFrame expressions.
 
 ``scan_pages`` is the only Python step. It keeps the page's partitioning (no shuffle) and emits one row per page with
 arrays of anchors, containers and blocks; the tables S10-S12 are explodes and expressions over that row.
@@ -7,8 +7,9 @@ Only the columns an operator asks for are kept after the scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -38,11 +39,25 @@ SCAN_SCHEMA = (
 PREVIEW_CHARS = 120
 
 
-class _PageScanner(HTMLParser):
-    """Collects anchors, containers, text blocks and head metadata while the tags stream by."""
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>""", re.DOTALL
+)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in SILENT_TAGS}
+
+
+def _attributes(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(text):
+        value = double or single or bare
+        out.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    return out
+
+
+class _PageScanner:
+    """Collects anchors, containers, text blocks and head metadata in one pass over the tags of a page."""
 
     def __init__(self, url: str):
-        super().__init__(convert_charrefs=True)
         self.url = url
         self.open: list[dict] = []
         self.anchors: list[dict] = []
@@ -54,8 +69,32 @@ class _PageScanner(HTMLParser):
         self.h1: list[str] | None = None
         self.canonical: str | None = None
 
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in reversed(attrs)}
+    def feed(self, html: str) -> None:
+        at, n = 0, len(html)
+        while at < n:
+            m = _TOKEN.search(html, at)
+            end = m.start() if m else n
+            if end > at:
+                self._text(html[at:end])
+            if m is None:
+                return
+            at = m.end()
+            tag = m.group(2)
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if m.group(1):
+                self._close(tag)
+                continue
+            self._start(tag, m.group(3))
+            if tag in SILENT_TAGS:
+                # the content of scripts and styles is not markup
+                raw = _RAW_END[tag].search(html, at)
+                at = raw.end() if raw else n
+                self._close(tag)
+
+    def _start(self, tag: str, attribute_text: str) -> None:
+        a = _attributes(attribute_text) if attribute_text else {}
         if tag == "meta":
             name = (a.get("property") or a.get("name") or a.get("http-equiv") or "").strip()
             if name and a.get("content"):
@@ -68,70 +107,72 @@ class _PageScanner(HTMLParser):
                     e["block"]["img_count"] += 1
         if tag in VOID_TAGS:
             return
-        cls = ".".join(a.get("class", "").split())
-        parent = self.open[-1] if self.open else None
-        low_id, low_cls = a.get("id", "").lower(), cls.lower()
+        cls, ident = ".".join(a.get("class", "").split()), a.get("id", "")
+        parent = self.open[-1] if self.open else {}
         e = {
             "tag": tag,
             "class": cls,
-            "chrome": tag in CHROME_TAGS or bool(parent and parent["chrome"]),
-            "silent": tag in SILENT_TAGS or bool(parent and parent["silent"]),
-            "hidden": tag in ("noscript", "iframe") or bool(parent and parent["hidden"]),
-            "noise": tag in NOISE_TAGS
-            or any(k in low_id for k in NOISE_IDS)
-            or any(k in low_cls for k in NOISE_CLASSES)
-            or bool(parent and parent["noise"]),
+            "chrome": tag in CHROME_TAGS or parent.get("chrome", False),
+            "hidden": tag in ("noscript", "iframe") or parent.get("hidden", False),
+            "noise": tag in NOISE_TAGS or parent.get("noise", False),
+            "linked": tag == "a" or parent.get("linked", False),
         }
+        if not e["noise"] and (cls or ident):
+            low_id, low_cls = ident.lower(), cls.lower()
+            e["noise"] = any(k in low_id for k in NOISE_IDS) or any(k in low_cls for k in NOISE_CLASSES)
         if tag == "a":
             e["anchor"] = {
                 "pos": len(self.anchors),
-                "href": a["href"] if "href" in a else None,
+                "href": a.get("href"),
                 "text": [],
                 "class": cls,
                 "path": "/".join(x["tag"] for x in self.open),
-                "parent_class": parent["class"] if parent else "",
+                "parent_class": parent.get("class", ""),
                 "in_chrome": e["chrome"],
                 "hidden": e["hidden"],
                 "row": next((x["row"] for x in reversed(self.open) if "row" in x), -1),
                 "groups": [x["gid"] for x in self.open if "gid" in x],
             }
             self.anchors.append(e["anchor"])
-        if tag in GROUP_TAGS:
-            e["gid"] = len(self.groups)
-            self.groups.append({"gid": e["gid"], "tag": tag, "id": a.get("id", ""), "class": cls})
-        if tag == "tr":
+        elif tag == "tr":
             e["row"] = self.rows
             self.rows += 1
+        elif tag == "title" and self.title is None:
+            self.title = e["text"] = []
+        elif tag == "h1" and self.h1 is None:
+            self.h1 = e["text"] = []
+        if tag in GROUP_TAGS:
+            e["gid"] = len(self.groups)
+            self.groups.append({"gid": e["gid"], "tag": tag, "id": ident, "class": cls})
         if tag in BLOCK_TAGS and not e["noise"]:
             e["block"] = {
-                "pos": len(self.blocks), "tag": tag, "id": a.get("id", ""), "class": cls, "text_len": 0, "link_len": 0,
-                "img_count": 0, "preview": "", "pieces": 0,
+                "pos": len(self.blocks), "tag": tag, "id": ident, "class": cls, "text_len": 0, "link_len": 0, "img_count": 0, "preview": "", "pieces": 0,
             }
             self.blocks.append(e["block"])
-        if tag == "title" and self.title is None:
-            self.title = e["text"] = []
-        if tag == "h1" and self.h1 is None:
-            self.h1 = e["text"] = []
+        e["listens"] = "anchor" in e or "text" in e or "block" in e
         self.open.append(e)
 
-    def handle_endtag(self, tag):
+    def _close(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i]["tag"] == tag:
                 del self.open[i:]
                 return
 
-    def handle_data(self, data):
+    def _text(self, data: str) -> None:
         piece = data.strip()
-        if not piece or (self.open and self.open[-1]["silent"]):
+        if not piece or not self.open:
             return
-        noise = bool(self.open and self.open[-1]["noise"])
-        linked = any("anchor" in e for e in self.open)
+        if "&" in piece:
+            piece = unescape(piece)
+        noise, linked = self.open[-1]["noise"], self.open[-1]["linked"]
         for e in self.open:
+            if not e["listens"]:
+                continue
             if "text" in e:
                 e["text"].append(piece)
-            if "anchor" in e:
+            elif "anchor" in e:
                 e["anchor"]["text"].append(piece)
-            if "block" in e and not noise:
+            elif not noise:
                 b = e["block"]
                 b["text_len"] += len(piece) + (1 if b["pieces"] else 0)
                 b["pieces"] += 1
@@ -160,7 +201,7 @@ class _PageScanner(HTMLParser):
             "meta": list(self.meta.items()),
             "anchors": self.anchors,
             "groups": self.groups,
-            "blocks": [{k: v for k, v in b.items() if k != "pieces"} for b in self.blocks],
+            "blocks": self.blocks,
         }
 
 
@@ -172,7 +213,6 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for page_id, url, html in zip(cols["page_id"], cols["url"], cols["html"]):
             scanner = _PageScanner(url or "")
             scanner.feed(html or "")
-            scanner.close()
             rows.append(scanner.row(page_id))
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

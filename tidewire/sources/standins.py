@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.core import from_epoch, json_text
+from tidewire.sources.files import read_table
 
 # Fixed values of the test set-up: "now" for articles, events and the market.
 ARTICLES_AS_OF = "2026-01-02 12:00:00"
@@ -19,8 +20,12 @@ ARTICLES_START_EPOCH = 1767139200  # 2025-12-31 00:00:00
 EVENT_TYPES = {"view": "seed_scan", "click": "article_ingest", "purchase": "image_ingest", "signup": "llm_enrich", "error": "error"}
 
 
+# Tables of long texts, where the work per row is large.
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", spread=name in TEXT_TABLES)
 
 
 def _choose(key, *values):
