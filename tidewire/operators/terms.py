@@ -24,7 +24,9 @@ def counted_terms(tokens: DataFrame, *keys: str) -> DataFrame:
     without a second shuffle for the distinct count and without sorting.
     """
     both = F.concat("tokens", F.array_distinct("tokens"))
-    return tokens.select(*keys, F.size("tokens").alias("n"), F.posexplode(both).alias("pos", "term")).select(*keys, "term", (F.col("pos") < F.col("n")).alias("in_text"))
+    # an outer generator: a plain one would infer a filter on the array and compute the tokens twice
+    rows = tokens.select(*keys, F.size("tokens").alias("n"), F.posexplode_outer(both).alias("pos", "term")).where(F.col("term").isNotNull())
+    return rows.select(*keys, "term", (F.col("pos") < F.col("n")).alias("in_text"))
 
 
 def term_counts(tokens: DataFrame, *keys: str) -> DataFrame:
@@ -51,7 +53,8 @@ def term_rows(tokens: DataFrame, at: Column | str, n: int = 100) -> DataFrame:
 
 
 def document_frequency(tokens: DataFrame) -> DataFrame:
-    return tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
+    terms = tokens.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).where(F.col("term").isNotNull())
+    return terms.groupBy("term").agg(F.count("*").alias("docs"))
 
 
 def _pair_counts(sets: DataFrame, min_count: int) -> DataFrame:
@@ -60,9 +63,10 @@ def _pair_counts(sets: DataFrame, min_count: int) -> DataFrame:
     Documents with the same set are merged first, so a large group of copies is expanded once. Pairs leave the
     generator one at a time and are summed on the map side before the shuffle on (src, dst).
     """
-    merged = sets.where(F.size("terms") >= 2).groupBy("terms").agg(F.count("*").alias("n"))
-    heads = merged.select("n", "terms", F.posexplode("terms").alias("i", "src"))
-    pairs = heads.select("n", "src", F.explode(F.slice("terms", F.col("i") + 2, F.size("terms"))).alias("dst"))
+    merged = sets.groupBy("terms").agg(F.count("*").alias("n"))
+    heads = merged.select("n", "terms", F.posexplode_outer("terms").alias("i", "src"))
+    rest = F.slice("terms", F.col("i") + 2, F.size("terms"))
+    pairs = heads.select("n", "src", F.explode_outer(rest).alias("dst")).where(F.col("dst").isNotNull())
     return pairs.groupBy("src", "dst").agg(F.sum("n").alias("weight")).where(F.col("weight") >= min_count)
 
 
@@ -82,7 +86,7 @@ def cooccurrence(tokens: DataFrame, min_count: int = 2) -> DataFrame:
     A pair is never more frequent than its rarer term, so terms in fewer than ``min_count`` documents are dropped
     before pairing; the result is unchanged.
     """
-    distinct = tokens.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    distinct = tokens.select("doc_id", F.explode_outer(F.array_distinct("tokens")).alias("term")).where(F.col("term").isNotNull())
     kept = distinct.groupBy("term").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_count)
     sets = distinct.join(kept, "term", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
     return _pair_counts(sets.select("terms"), min_count)

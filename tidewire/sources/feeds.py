@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.core import ellipsis, epoch_seconds, from_epoch, ts_literal
+from tidewire.functions.core import ellipsis, epoch_seconds, from_epoch, let, ts_literal
 from tidewire.functions.markup import strip_tags
 from tidewire.functions.signals import extract_tickers, post_velocity
 
 # Publisher names used when a feed names none.
 RSS_PUBLISHER, ATOM_PUBLISHER = "Global Financial Wire", "Target Feed"
+# An entry without a link points to its feed.
+SELF_LINK = "."
 REMOVED_BODIES = ("", "[deleted]", "[removed]")
 
 RSS_SCHEMA = (
@@ -38,63 +40,72 @@ def parse_feed_date(c: Column) -> Column:
     return F.convert_timezone(None, F.lit("UTC"), at.cast("timestamp_ntz"))
 
 
-def _rss_items(body: Column, max_per_feed: int) -> Column:
-    items = F.from_xml(body, RSS_SCHEMA, {"ignoreNamespace": "true"})["channel"]["item"]
-    return F.slice(F.coalesce(items, F.from_json(F.lit("[]"), _item_type())), 1, max_per_feed)
+def _rss_items(max_per_feed: int, publisher: str) -> Column:
+    """The first items of an RSS body as an array of uniform entries; null when the body is no RSS."""
+    items = F.from_xml("body", RSS_SCHEMA, {"ignoreNamespace": "true"})["channel"]["item"]
+    return F.transform(
+        F.slice(items, 1, max_per_feed),
+        lambda e, i: F.struct(
+            i.alias("pos"),
+            F.coalesce(e["title"], F.lit("")).alias("title"),
+            F.coalesce(e["link"], F.lit("")).alias("url"),
+            F.coalesce(F.nullif(e["source"]["_VALUE"], F.lit("")), F.lit(publisher or RSS_PUBLISHER)).alias("publisher"),
+            F.coalesce(e["pubDate"], F.lit("")).alias("date_text"),
+            F.coalesce(e["description"], F.lit("")).alias("body"),
+        ),
+    )
+
 
+def _atom_entries(max_per_feed: int, publisher: str) -> Column:
+    """The first entries of an Atom body that have a title or a link, in the same shape."""
+
+    def entry(e: Column, i: Column) -> Column:
+        link = F.get(e["link"], F.lit(0))
+        href = F.trim(F.coalesce(F.nullif(link["_href"], F.lit("")), link["_VALUE"], F.lit("")))
+        return F.struct(
+            i.alias("pos"),
+            F.trim(F.coalesce(e["title"]["_VALUE"], F.lit(""))).alias("title"),
+            F.coalesce(F.nullif(href, F.lit("")), F.lit(SELF_LINK)).alias("url"),
+            F.lit(publisher or ATOM_PUBLISHER).alias("publisher"),
+            F.lit("").alias("date_text"),
+            F.coalesce(e["summary"]["_VALUE"], e["content"]["_VALUE"], F.lit("")).alias("body"),
+        )
 
-def _item_type() -> str:
-    return "array<struct<title: string, link: string, pubDate: string, description: string, source: struct<_VALUE: string, _url: string>>>"
+    entries = F.slice(F.from_xml("body", ATOM_SCHEMA, {"ignoreNamespace": "true"})["entry"], 1, max_per_feed)
+    return F.filter(F.transform(entries, entry), lambda e: (e["title"] != "") | (e["url"] != SELF_LINK))
+
+
+def _rows(feed_docs: DataFrame, entries: Column) -> DataFrame:
+    """One row per entry. Each document is one row, so nothing is shuffled and every body is parsed once."""
+    rows = feed_docs.select("feed_url", "as_of", F.explode_outer(entries).alias("e")).where(F.col("e").isNotNull())
+    return rows.select(
+        "feed_url",
+        "e.pos",
+        "e.title",
+        F.when(F.col("e.url") == SELF_LINK, F.col("feed_url")).otherwise(F.col("e.url")).alias("url"),
+        "e.publisher",
+        F.coalesce(parse_feed_date(F.nullif(F.col("e.date_text"), F.lit(""))), F.col("as_of")).alias("published_at"),
+        ellipsis(strip_tags("e.body"), 250).alias("summary"),
+    )
 
 
 def feed_items(feed_docs: DataFrame, max_per_feed: int = 15, publisher: str = "") -> DataFrame:
     """Rows of RSS documents (S3): the first items of each feed in document order.
 
-    ``feed_docs`` has feed_url, body and as_of. Each document is one row, so nothing is shuffled.
+    ``feed_docs`` has feed_url, body and as_of. A date that cannot be read becomes ``as_of``.
     """
-    clean = strip_tags(F.coalesce(F.col("item.description"), F.lit("")))
-    return (
-        feed_docs.select("feed_url", "as_of", F.posexplode(_rss_items(F.col("body"), max_per_feed)).alias("pos", "item"))
-        .select(
-            "feed_url",
-            "pos",
-            F.coalesce("item.title", F.lit("")).alias("title"),
-            F.coalesce("item.link", F.lit("")).alias("url"),
-            F.coalesce(F.nullif(F.col("item.source._VALUE"), F.lit("")), F.lit(publisher or RSS_PUBLISHER)).alias("publisher"),
-            F.coalesce(parse_feed_date(F.col("item.pubDate")), F.col("as_of")).alias("published_at"),
-            clean.alias("clean"),
-        )
-        .withColumn("summary", ellipsis("clean", 250))
-        .drop("clean")
-    )
+    return _rows(feed_docs, _rss_items(max_per_feed, publisher))
 
 
 def feed_entries(feed_docs: DataFrame, max_per_feed: int = 15, publisher: str = "") -> DataFrame:
     """Rows of Atom documents (S4): entries need a title or a link, and the time is always ``as_of``."""
-    entries = F.from_xml("body", ATOM_SCHEMA, {"ignoreNamespace": "true"})["entry"]
-    link = F.get(F.col("e.link"), F.lit(0))
-    title = F.trim(F.coalesce(F.col("e.title._VALUE"), F.lit("")))
-    href = F.trim(F.coalesce(F.nullif(link["_href"], F.lit("")), link["_VALUE"], F.lit("")))
-    text = strip_tags(F.coalesce(F.col("e.summary._VALUE"), F.col("e.content._VALUE"), F.lit("")))
-    return (
-        feed_docs.select("feed_url", "as_of", F.posexplode(F.slice(entries, 1, max_per_feed)).alias("pos", "e"))
-        .where((title != "") | (href != ""))
-        .select(
-            "feed_url",
-            "pos",
-            title.alias("title"),
-            F.when(href != "", href).otherwise(F.col("feed_url")).alias("url"),
-            F.lit(publisher or ATOM_PUBLISHER).alias("publisher"),
-            F.col("as_of").alias("published_at"),
-            ellipsis(text, 250).alias("summary"),
-        )
-    )
+    return _rows(feed_docs, _atom_entries(max_per_feed, publisher))
 
 
 def feed_rows(feed_docs: DataFrame, max_per_feed: int = 15, publisher: str = "") -> DataFrame:
-    """RSS rows, and Atom rows for the documents that hold no RSS item. Decided per document, without a join."""
-    empty = F.size(_rss_items(F.col("body"), 1)) == 0
-    return feed_items(feed_docs, max_per_feed, publisher).unionByName(feed_entries(feed_docs.where(empty), max_per_feed, publisher))
+    """RSS rows, and Atom rows for the documents that hold no RSS item. Decided per document, in one pass."""
+    rss, atom = _rss_items(max_per_feed, publisher), _atom_entries(max_per_feed, publisher)
+    return _rows(feed_docs, let(rss, lambda found: F.when(F.size(F.coalesce(found, F.slice(atom, 1, 0))) > 0, found).otherwise(atom)))
 
 
 def listing_posts(json_docs: DataFrame, site: str = "https://www.reddit.com", multiplier: float = 1.5) -> DataFrame:

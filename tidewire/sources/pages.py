@@ -40,9 +40,10 @@ PREVIEW_CHARS = 120
 
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>""", re.DOTALL
+    r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<[!?][^>]*>|</[^>]*>""", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ORIGIN = re.compile(r"https?://[^/?#]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in SILENT_TAGS}
 
 
@@ -59,6 +60,8 @@ class _PageScanner:
 
     def __init__(self, url: str):
         self.url = url
+        origin = _ORIGIN.match(url)
+        self.origin = origin.group(0) if origin else ""
         self.open: list[dict] = []
         self.anchors: list[dict] = []
         self.groups: list[dict] = []
@@ -181,14 +184,22 @@ class _PageScanner:
                 if len(b["preview"]) < PREVIEW_CHARS:
                     b["preview"] = (b["preview"] + " " + piece).strip()[:PREVIEW_CHARS]
 
+    def _absolute(self, href: str | None) -> str | None:
+        if href is None:
+            return None
+        href = href.strip()
+        if self.origin and href[:1] == "/" and href[1:2] != "/" and "/." not in href:
+            return self.origin + href
+        try:
+            return urljoin(self.url, href)
+        except ValueError:
+            return None
+
     def row(self, page_id) -> dict:
         seen = set()
         for a in self.anchors:
             a["text"] = " ".join(" ".join(a["text"]).split())
-            try:
-                a["abs_url"] = urljoin(self.url, a["href"].strip()) if a["href"] is not None else None
-            except ValueError:
-                a["abs_url"] = None
+            a["abs_url"] = self._absolute(a["href"])
             link = a["abs_url"]
             a["first"] = bool(link and link.startswith("http") and link not in seen)
             seen.add(link)
