@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
 import duckdb
+from pyspark.sql import SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -52,7 +54,10 @@ def main(sf_dir: str, names: list[str]) -> int:
     import __spark_entry__ as entry
     from tidewire.session import build_session
 
-    spark = build_session("local[8]", 8)
+    if os.environ.get("PLAIN_SESSION"):
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = build_session("local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
