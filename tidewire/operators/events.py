@@ -20,7 +20,7 @@ from tidewire.functions.core import (
     ts_literal,
 )
 from tidewire.functions.urls import url_domain
-from tidewire.operators.keys import gap_to_previous, top_per
+from tidewire.operators.keys import gaps_between_times, top_per
 
 # Preset -> (buckets, seconds per bucket, label). The last preset is the default.
 SERIES_PRESETS = {"10m": (10, 60, "HH:mm"), "1h": (12, 300, "HH:mm"), "1d": (24, 3600, "HH:00"), "7d": (7, 86400, "MM-dd")}
@@ -249,16 +249,18 @@ def recent_calls(events: DataFrame, sources: DataFrame, as_of, preset: str = "10
     )
 
 
-def inter_arrival(events: DataFrame, min_gap: float = MIN_GAP_SECONDS, chunk_seconds: int = 3600) -> DataFrame:
+def inter_arrival(events: DataFrame, min_gap: float = MIN_GAP_SECONDS) -> DataFrame:
     """Politeness audit per domain (W7): calls, gaps below the minimum, smallest gap and mean rate."""
     calls = events.select("id", "created_at", url_domain("url").alias("domain"))
-    gaps = gap_to_previous(calls, "domain", "created_at", "id", chunk_seconds)
+    times = gaps_between_times(calls, "domain", "created_at", "id")
+    repeats = F.col("n") - 1
+    too_soon = repeats + F.when(F.col("gap_seconds") < min_gap, 1).otherwise(0)
     span = F.greatest(seconds_between(F.min("created_at"), F.max("created_at")), F.lit(1.0))
-    return gaps.groupBy("domain").agg(
-        F.count("*").alias("calls"),
-        F.count_if(F.col("gap_seconds") < min_gap).alias("violations"),
-        F.min("gap_seconds").alias("min_gap"),
-        round_half_up(F.count("*").cast("double") / span, 3).alias("mean_rate"),
+    return times.groupBy("domain").agg(
+        F.sum("n").alias("calls"),
+        F.sum(too_soon).alias("violations"),
+        F.min(F.when(repeats > 0, F.lit(0.0)).otherwise(F.col("gap_seconds"))).alias("min_gap"),
+        round_half_up(F.sum("n").cast("double") / span, 3).alias("mean_rate"),
     )
 
 

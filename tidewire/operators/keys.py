@@ -26,21 +26,36 @@ def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return top_per(df, keys, [F.asc(order)], 1)
 
 
-def gap_to_previous(df: DataFrame, key: str, ts: str, tie: str, chunk_seconds: int = 3600) -> DataFrame:
-    """Add ``gap_seconds`` to the previous row of the same key (null for the first), for keys of any size.
+def gaps_between_times(df: DataFrame, key: str, ts: str, tie: str, chunk_seconds: int = 60) -> DataFrame:
+    """One row per key and distinct time: ``n`` rows at that time, the smallest ``tie`` and the gap to the time before.
 
-    Rows are ordered inside (key, time chunk), and the first row of a chunk takes the last time of the key's previous
-    chunk from a small table with one row per key and chunk. So a key with a third of all rows is spread over as many
-    tasks as it has chunks, and only chunk ends are ordered per key.
+    Equal times are merged by a partial aggregation first. The distinct times are then ordered inside (key, time chunk),
+    and the first of a chunk takes the end of the key's previous chunk from a table with one row per key and chunk. So
+    neither a key nor an instant that holds a third of all rows meets in one task; a chunk holds at most its microseconds.
     """
-    chunked = df.withColumn("__chunk", F.floor(epoch_seconds(ts) / F.lit(chunk_seconds)).cast("long"))
+    times = df.groupBy(key, ts).agg(F.count("*").alias("n"), F.min(tie).alias("first_tie"))
+    chunked = times.withColumn("__chunk", F.floor(epoch_seconds(ts) / F.lit(chunk_seconds)).cast("long"))
+    inner = F.lag(ts).over(W.partitionBy(key, "__chunk").orderBy(ts))
     ends = chunked.groupBy(key, "__chunk").agg(F.max(ts).alias("__end"))
     carried = ends.select(
         F.col(key).alias("__key"), F.col("__chunk").alias("__c"), F.lag("__end").over(W.partitionBy(key).orderBy("__chunk")).alias("__carried")
     )
-    inner = F.lag(ts).over(W.partitionBy(key, "__chunk").orderBy(ts, tie))
     joined = chunked.withColumn("__before", inner).join(
         carried, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__chunk") == F.col("__c")), "left"
     )
-    before = F.coalesce("__before", "__carried")
-    return joined.withColumn("gap_seconds", seconds_between(before, F.col(ts))).drop("__chunk", "__before", "__key", "__c", "__carried")
+    gap = seconds_between(F.coalesce("__before", "__carried"), F.col(ts))
+    return joined.select(key, ts, "n", "first_tie", gap.alias("gap_seconds"))
+
+
+def gap_to_previous(df: DataFrame, key: str, ts: str, tie: str, chunk_seconds: int = 60) -> DataFrame:
+    """Add ``gap_seconds`` to the previous row of the same key by (time, tie); null for the first row of a key.
+
+    All but the first row of an instant follow at gap zero. The join back is an equality join whose large side adaptive
+    execution can split.
+    """
+    gaps = gaps_between_times(df, key, ts, tie, chunk_seconds).select(
+        F.col(key).alias("__key"), F.col(ts).alias("__ts"), "first_tie", F.col("gap_seconds").alias("__gap")
+    )
+    joined = df.join(gaps, F.col(key).eqNullSafe(F.col("__key")) & (F.col(ts) == F.col("__ts")), "left")
+    gap = F.when(F.col(tie) == F.col("first_tie"), F.col("__gap")).otherwise(F.lit(0.0))
+    return joined.withColumn("gap_seconds", gap).drop("__key", "__ts", "first_tie", "__gap")

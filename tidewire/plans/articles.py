@@ -202,6 +202,13 @@ def _(spark, d):
     return ar.new_urls(_candidates(spark, d), _history(spark, d), ["pos", "source_id", "url"])
 
 
+@query("U2_candidates_minus_stored", CANDIDATES_SQL + "SELECT DISTINCT canonical FROM fresh")
+def _(spark, d):
+    from tidewire.functions.urls import canonical_url
+
+    return ar.new_urls(_candidates(spark, d), _history(spark, d), ["url"]).select(canonical_url("url").alias("canonical"))
+
+
 @query("W2_first_per_canonical_url", CANDIDATES_SQL + "SELECT min(pos) AS pos, canonical FROM canon GROUP BY canonical")
 def _(spark, d):
     from tidewire.functions.urls import canonical_url
@@ -262,6 +269,23 @@ def _(spark, d):
     return sinks.upsert(target, batch, sinks.COMMENT_KEYS, ["content", "score"])
 
 
+@query(
+    "K2_upsert_sources",
+    with_views("crawl_sources")
+    + """, batch AS (SELECT id + 7 AS id, name || '!' AS name, base_url || '/new' AS base_url, 'stock' AS category, '{}' AS ai_parsing_hints FROM crawl_sources)
+SELECT coalesce(s.id, b.id) AS id, coalesce(b.name, s.name) AS name, coalesce(b.base_url, s.base_url) AS base_url, coalesce(b.category, s.category) AS category,
+  CASE WHEN b.id IS NULL THEN s.ai_parsing_hints ELSE b.ai_parsing_hints END AS ai_parsing_hints, CASE WHEN s.id IS NULL THEN 15 ELSE s.crawl_interval_minutes END AS crawl_interval_minutes
+FROM crawl_sources s FULL JOIN batch b ON b.id = s.id""",
+)
+def _(spark, d):
+    target = standins.crawl_sources(spark, d).drop("is_active")
+    batch = target.select(
+        (F.col("id") + 7).alias("id"), F.concat("name", F.lit("!")).alias("name"), F.concat("base_url", F.lit("/new")).alias("base_url"), F.lit("stock").alias("category"),
+        F.lit(15).alias("crawl_interval_minutes"), F.lit("{}").alias("ai_parsing_hints"), F.lit(0).alias("pos"),
+    )
+    return sinks.upsert(target, batch, ["id"], ["name", "base_url", "category", "ai_parsing_hints"])
+
+
 META_SQL = """coalesce(metadata->>'$.nlp_processed', '') AS nlp_processed, coalesce(metadata->>'$.vision_processed', '') AS vision_processed,
   coalesce(metadata->>'$.nlp_error', '') AS nlp_error, coalesce(json_array_length(metadata->'$.images'), 0) AS n_images"""
 

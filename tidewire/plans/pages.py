@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import signals
 from tidewire.functions.urls import url_domain
 from tidewire.operators import pages as pg
+from tidewire.operators.keys import top_per
 from tidewire.plans.feeds import LINES_SQL, _joined, _lines
 from tidewire.plans.registry import listed, query, stamp
 from tidewire.sources import pages as scans
@@ -104,6 +105,43 @@ def _(spark, d):
     return pg.article_links(_rich_scan(spark, d))
 
 
+BLOCKS_SQL = LINES_SQL + """, j AS (SELECT doc_id, len(lines) AS n, array_to_string(lines, ' ') AS body FROM l),
+b AS (SELECT doc_id, pos * 2 AS pos, 'td.no' AS selector, length(CAST(pos AS VARCHAR)) AS text_len, 0 AS link_len FROM r
+  UNION ALL SELECT doc_id, pos * 2 + 1, 'td.title', length(line), length(line) FROM r
+  UNION ALL SELECT doc_id, n * 2, 'div.post_content', length(body), 0 FROM j UNION ALL SELECT doc_id, n * 2 + 1, 'p', length(body), 0 FROM j)
+"""
+
+
+@query(
+    "S12_blocks_of_lists",
+    BLOCKS_SQL + "SELECT doc_id AS page_id, CAST(pos AS INTEGER) AS pos, selector, CAST(text_len AS INTEGER) AS text_len, CAST(link_len AS INTEGER) AS link_len FROM b",
+)
+def _(spark, d):
+    return scans.page_blocks(_rich_scan(spark, d)).select("page_id", "pos", "selector", "text_len", "link_len")
+
+
+@query(
+    "W6_top_items_per_page",
+    BLOCKS_SQL + """SELECT doc_id AS page_id, CAST(pos AS INTEGER) AS pos, selector, CAST(text_len AS INTEGER) AS text_len FROM b
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY text_len DESC, pos) <= 3""",
+)
+def _(spark, d):
+    blocks = scans.page_blocks(_rich_scan(spark, d)).select("page_id", "pos", "selector", "text_len")
+    return top_per(blocks, ["page_id"], [F.desc("text_len"), F.asc("pos")], 3)
+
+
+@query(
+    "A16_selector_vote_of_lists",
+    BLOCKS_SQL
+    + """, v AS (SELECT source AS site, selector, count(DISTINCT doc_id) AS pages FROM b JOIN documents d USING (doc_id) WHERE text_len > 20 GROUP BY 1, 2)
+SELECT site, 'content' AS field, first(selector ORDER BY pages DESC, selector) AS selector, max(pages) AS pages FROM v GROUP BY 1""",
+)
+def _(spark, d):
+    sites = standins.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("site"))
+    blocks = scans.page_blocks(_rich_scan(spark, d)).where(F.col("text_len") > 20)
+    return pg.selector_vote(blocks.join(sites, "page_id").select("site", "page_id", F.lit("content").alias("field"), "selector"))
+
+
 @query("M12_content_density")
 def _(spark, d):
     return pg.content_density(_scan(spark, d)).select("page_id", "rank", "selector", "score", "text_len", "img_count")

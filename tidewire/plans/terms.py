@@ -273,3 +273,12 @@ def _(spark, d):
     stored, batch = _stored_and_batch(spark, d)
     shape = lambda e: e.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.col("weight").alias("co_count"))
     return sinks.merge_edges_ema(shape(stored), shape(batch))
+
+
+@query(
+    "K6b_merge_node_counts",
+    _STORED_SQL + "SELECT name, CAST(sum(n) AS BIGINT) AS count FROM (SELECT src AS name, weight AS n FROM stored UNION ALL SELECT dst, weight FROM batch) q GROUP BY 1",
+)
+def _(spark, d):
+    stored, batch = _stored_and_batch(spark, d)
+    return sinks.merge_node_counts(stored.select(F.col("src").alias("name"), F.col("weight").alias("count")), batch.select(F.col("dst").alias("name"), F.col("weight").alias("count")))
