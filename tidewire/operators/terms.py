@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewire.functions.core import as_col, full_text, round_half_up, ts_literal
+from tidewire.functions.core import as_col, full_text, let, round_half_up, ts_literal
 from tidewire.functions.text import tokenize
 
 
@@ -131,19 +131,20 @@ def term_series(term_rows: DataFrame, term: str, as_of, hours: int = 24) -> Data
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """Edges and their reverses, for undirected walks."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    return edges.select("src", "dst", "weight").unionByName(back)
+    """Edges and their reverses, for undirected walks; one pass over the edges."""
+    there = F.struct("src", "dst", "weight")
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    return edges.select(F.inline(F.array(there, back)))
 
 
 def neighbors(edges: DataFrame, keyword: str, n: int = 30) -> DataFrame:
-    """The heaviest edges at one keyword in either direction (J8). The filter reaches both branches of the union."""
+    """The heaviest edges at one keyword in either direction (J8): one filtered pass over the edges."""
+    at_src = F.col("src") == keyword
     return (
-        both_ways(edges)
-        .where(F.col("src") == keyword)
-        .orderBy(F.desc("weight"), "dst")
+        edges.where(at_src | (F.col("dst") == keyword))
+        .select(F.lit(keyword).alias("source"), F.when(at_src, F.col("dst")).otherwise(F.col("src")).alias("target"), "weight")
+        .orderBy(F.desc("weight"), "target")
         .limit(n)
-        .select(F.col("src").alias("source"), F.col("dst").alias("target"), "weight")
     )
 
 
@@ -212,4 +213,5 @@ def term_match(docs: DataFrame, terms: DataFrame, center: str, max_terms: int =
     )
     text = F.lower(full_text(F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
     hits = F.filter("wanted", lambda t: F.contains(F.col("text"), F.lower(t)))
-    return docs.select("id", text.alias("text"), listed.scalar().alias("wanted")).select("id", F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(center))).alias("matched_terms"))
+    matched = let(hits, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(center))))
+    return docs.select("id", text.alias("text"), listed.scalar().alias("wanted")).select("id", matched.alias("matched_terms"))
