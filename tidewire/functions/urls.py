@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewire.functions.core import ColumnLike, as_col
+from tidewire.functions.core import ColumnLike, as_col, let
 
 # Tracking parameters removed from every URL.
 TRACKING_PREFIX = "utm_"
@@ -44,7 +44,9 @@ def canonical_url(url: ColumnLike) -> Column:
         lambda p: p.rlike("^[^=]*=(?s:.)") & ~F.startswith(key(p), F.lit(TRACKING_PREFIX)) & ~key(p).isin(list(TRACKING_PARAMS)),
     )
     kept = F.array_join(F.transform(pairs, lambda p: F.concat(_encode(key(p)), F.lit("="), _encode(value(p)))), "&")
-    return F.regexp_replace(F.when(kept == "", base).otherwise(F.concat(base, F.lit("?"), kept)), "/+$", "")
+    # a URL without parameters skips the work on pairs
+    tail = F.when(F.contains(no_fragment, F.lit("?")), let(kept, lambda k: F.when(k == "", "").otherwise(F.concat(F.lit("?"), k)))).otherwise("")
+    return F.rtrim(F.concat(base, tail), F.lit("/"))
 
 
 def url_domain(url: ColumnLike) -> Column:
