@@ -14,8 +14,8 @@ from tidewire.sources import pages as scans
 from tidewire.sources import standins
 
 
-def _scan(spark, d):
-    return scans.scan_pages(standins.table(spark, d, "pages"))
+def _scan(spark, d, **parts):
+    return scans.scan_pages(standins.table(spark, d, "pages"), **parts)
 
 
 def _rich_pages(spark, d):
@@ -38,8 +38,13 @@ def _rich_pages(spark, d):
     return _lines(spark, d).select(F.col("doc_id").alias("page_id"), F.concat(F.lit("https://list.example.com/"), key).alias("url"), html.alias("html"))
 
 
-def _rich_scan(spark, d):
-    return scans.scan_pages(_rich_pages(spark, d))
+def _rich_scan(spark, d, **parts):
+    return scans.scan_pages(_rich_pages(spark, d), **parts)
+
+
+LINKS = {"blocks": False}
+BLOCKS = {"anchors": False}
+HEAD = {"anchors": False, "blocks": False}
 
 
 ANCHORS_SQL = """WITH a AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS home, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href,
@@ -52,7 +57,7 @@ ANCHORS_SQL = """WITH a AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?
     ANCHORS_SQL + "SELECT page_id, CAST(min(pos) AS INTEGER) AS pos, home || href AS abs_url, trim(arg_min(text, pos)) AS text FROM a GROUP BY page_id, home || href",
 )
 def _(spark, d):
-    return scans.page_anchors(_scan(spark, d)).select("page_id", "pos", "abs_url", "text")
+    return scans.page_anchors(_scan(spark, d, **LINKS)).select("page_id", "pos", "abs_url", "text")
 
 
 @query(
@@ -65,7 +70,7 @@ al AS (SELECT * FROM t UNION ALL SELECT * FROM u UNION ALL SELECT * FROM m)
 SELECT doc_id AS page_id, CAST(min(pos) AS INTEGER) AS pos, 'https://list.example.com' || href AS abs_url, regexp_replace(arg_min(line, pos), ' +', ' ', 'g') AS text FROM al GROUP BY doc_id, href""",
 )
 def _(spark, d):
-    return scans.page_anchors(_rich_scan(spark, d)).select("page_id", "pos", "abs_url", "text")
+    return scans.page_anchors(_rich_scan(spark, d, **LINKS)).select("page_id", "pos", "abs_url", "text")
 
 
 @query(
@@ -75,7 +80,7 @@ def _(spark, d):
   'Abc' AS author, '2024-02-03 04:05:06' AS published_at, 'd' || doc_id AS description, 'https://c.example.com/' || doc_id AS canonical_url, 'article' AS og_type FROM l""",
 )
 def _(spark, d):
-    rows = scans.page_metadata(_rich_scan(spark, d)).withColumn("published_at", stamp("published_at"))
+    rows = scans.page_metadata(_rich_scan(spark, d, **HEAD)).withColumn("published_at", stamp("published_at"))
     return rows.select("page_id", "title", "clean_title", "author", "published_at", "description", "canonical_url", "og_type")
 
 
@@ -84,12 +89,12 @@ def _(spark, d):
     "SELECT page_id, url, trim(replace(replace(regexp_extract(html, '<h1>([^<]*)', 1), '&amp;', '&'), '&lt;', '<')) AS title, url AS canonical_url FROM pages",
 )
 def _(spark, d):
-    return scans.page_metadata(_scan(spark, d)).select("page_id", "url", "title", "canonical_url")
+    return scans.page_metadata(_scan(spark, d, **HEAD)).select("page_id", "url", "title", "canonical_url")
 
 
 @query("S12_page_blocks")
 def _(spark, d):
-    return scans.page_blocks(_scan(spark, d)).select("page_id", "pos", "selector", "tag", "text_len", "link_len", "img_count")
+    return scans.page_blocks(_scan(spark, d, **BLOCKS)).select("page_id", "pos", "selector", "tag", "text_len", "link_len", "img_count")
 
 
 @query(
@@ -102,7 +107,7 @@ SELECT doc_id AS page_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s
 FROM s WHERE score >= 20 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, o) <= 30""",
 )
 def _(spark, d):
-    return pg.article_links(_rich_scan(spark, d))
+    return pg.article_links(_rich_scan(spark, d, **LINKS))
 
 
 BLOCKS_SQL = LINES_SQL + """, j AS (SELECT doc_id, len(lines) AS n, array_to_string(lines, ' ') AS body FROM l),
@@ -117,7 +122,7 @@ b AS (SELECT doc_id, pos * 2 AS pos, 'td.no' AS selector, length(CAST(pos AS VAR
     BLOCKS_SQL + "SELECT doc_id AS page_id, CAST(pos AS INTEGER) AS pos, selector, CAST(text_len AS INTEGER) AS text_len, CAST(link_len AS INTEGER) AS link_len FROM b",
 )
 def _(spark, d):
-    return scans.page_blocks(_rich_scan(spark, d)).select("page_id", "pos", "selector", "text_len", "link_len")
+    return scans.page_blocks(_rich_scan(spark, d, **BLOCKS)).select("page_id", "pos", "selector", "text_len", "link_len")
 
 
 @query(
@@ -126,7 +131,7 @@ def _(spark, d):
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY text_len DESC, pos) <= 3""",
 )
 def _(spark, d):
-    blocks = scans.page_blocks(_rich_scan(spark, d)).select("page_id", "pos", "selector", "text_len")
+    blocks = scans.page_blocks(_rich_scan(spark, d, **BLOCKS)).select("page_id", "pos", "selector", "text_len")
     return top_per(blocks, ["page_id"], [F.desc("text_len"), F.asc("pos")], 3)
 
 
@@ -138,13 +143,13 @@ SELECT site, 'content' AS field, first(selector ORDER BY pages DESC, selector) A
 )
 def _(spark, d):
     sites = standins.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("site"))
-    blocks = scans.page_blocks(_rich_scan(spark, d)).where(F.col("text_len") > 20)
+    blocks = scans.page_blocks(_rich_scan(spark, d, **BLOCKS)).where(F.col("text_len") > 20)
     return pg.selector_vote(blocks.join(sites, "page_id").select("site", "page_id", F.lit("content").alias("field"), "selector"))
 
 
 @query("M12_content_density")
 def _(spark, d):
-    return pg.content_density(_scan(spark, d)).select("page_id", "rank", "selector", "score", "text_len", "img_count")
+    return pg.content_density(_scan(spark, d, **BLOCKS)).select("page_id", "rank", "selector", "score", "text_len", "img_count")
 
 
 @query(
@@ -154,12 +159,12 @@ def _(spark, d):
 SELECT doc_id AS page_id, CAST(0 AS INTEGER) AS rank, 'div.post_content' AS selector, CAST(n + 1000 AS DOUBLE) AS score, CAST(n AS INTEGER) AS text_len FROM c WHERE n >= 20""",
 )
 def _(spark, d):
-    return pg.content_density(_rich_scan(spark, d), 1).where(F.col("selector") == "div.post_content").select("page_id", "rank", "selector", "score", "text_len")
+    return pg.content_density(_rich_scan(spark, d, **BLOCKS), 1).where(F.col("selector") == "div.post_content").select("page_id", "rank", "selector", "score", "text_len")
 
 
 @query("A16_selector_vote")
 def _(spark, d):
-    blocks = pg.content_density(_scan(spark, d))
+    blocks = pg.content_density(_scan(spark, d, **BLOCKS))
     site = F.regexp_extract(url_domain("url"), r"([a-z]+)$", 1)
     return pg.selector_vote(blocks.select(site.alias("site"), "page_id", F.lit("content").alias("field"), "selector"))
 
@@ -176,7 +181,7 @@ SELECT doc_id AS page_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p
   array_to_string(list_transform(valid[1:5], lambda x: substring(x, 1, 40)), '|') AS samples FROM g WHERE len(valid) >= 2""",
 )
 def _(spark, d):
-    return pg.anchor_groups(_rich_scan(spark, d)).withColumn("samples", listed("samples"))
+    return pg.anchor_groups(_rich_scan(spark, d, **LINKS)).withColumn("samples", listed("samples"))
 
 
 @query(
@@ -190,7 +195,7 @@ SELECT doc_id AS page_id, '.row a' AS selector, count(*) // 2 AS matches FROM h
 def _(spark, d):
     lines = _lines(spark, d).where(F.size("lines") > 0)
     examples = lines.select(F.col("doc_id").alias("page_id"), F.array(F.element_at("lines", 1), F.element_at("lines", -1)).alias("examples"))
-    return pg.common_parent(_rich_scan(spark, d), examples)
+    return pg.common_parent(_rich_scan(spark, d, **LINKS), examples)
 
 
 @query(
@@ -203,7 +208,7 @@ SELECT doc_id AS page_id, method, CAST(row_number() OVER (PARTITION BY doc_id OR
 )
 def _(spark, d):
     langs = standins.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.when(F.col("lang") == "fr", "t").alias("rule"))
-    return pg.link_cascade(_rich_scan(spark, d).join(langs, "page_id"), F.col("rule"))
+    return pg.link_cascade(_rich_scan(spark, d, **LINKS).join(langs, "page_id"), F.col("rule"))
 
 
 _NOTICES = " OR ".join(f"contains(text, '{w}')" for w in pg.NOTICE_WORDS)

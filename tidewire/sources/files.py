@@ -16,7 +16,7 @@ def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFram
     tasks and are left alone: nothing is shuffled at scale. Filters and column pruning still reach the scan.
     """
     df = spark.read.parquet(path)
-    if not spread or df.isStreaming:
+    if not spread or df.isStreaming or not hasattr(df, "_jdf"):
         return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(spark.sparkContext.defaultParallelism) if SPREAD_ABOVE < size < SPREAD_BELOW else df

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 from html import unescape
 from urllib.parse import urljoin
 
@@ -58,8 +59,9 @@ def _attributes(text: str) -> dict[str, str]:
 class _PageScanner:
     """Collects anchors, containers, text blocks and head metadata in one pass over the tags of a page."""
 
-    def __init__(self, url: str):
+    def __init__(self, url: str, anchors: bool = True, blocks: bool = True):
         self.url = url
+        self.want_anchors, self.want_blocks = anchors, blocks
         origin = _ORIGIN.match(url)
         self.origin = origin.group(0) if origin else ""
         self.open: list[dict] = []
@@ -123,7 +125,7 @@ class _PageScanner:
         if not e["noise"] and (cls or ident):
             low_id, low_cls = ident.lower(), cls.lower()
             e["noise"] = any(k in low_id for k in NOISE_IDS) or any(k in low_cls for k in NOISE_CLASSES)
-        if tag == "a":
+        if tag == "a" and self.want_anchors:
             e["anchor"] = {
                 "pos": len(self.anchors),
                 "href": a.get("href"),
@@ -144,10 +146,10 @@ class _PageScanner:
             self.title = e["text"] = []
         elif tag == "h1" and self.h1 is None:
             self.h1 = e["text"] = []
-        if tag in GROUP_TAGS:
+        if self.want_anchors and tag in GROUP_TAGS:
             e["gid"] = len(self.groups)
             self.groups.append({"gid": e["gid"], "tag": tag, "id": ident, "class": cls})
-        if tag in BLOCK_TAGS and not e["noise"]:
+        if self.want_blocks and tag in BLOCK_TAGS and not e["noise"]:
             e["block"] = {
                 "pos": len(self.blocks), "tag": tag, "id": ident, "class": cls, "text_len": 0, "link_len": 0, "img_count": 0, "preview": "", "pieces": 0,
             }
@@ -216,13 +218,13 @@ class _PageScanner:
         }
 
 
-def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan_batches(batches: Iterator[pa.RecordBatch], anchors: bool, blocks: bool) -> Iterator[pa.RecordBatch]:
     schema = _arrow_schema()
     for batch in batches:
         cols = batch.to_pydict()
         rows = []
         for page_id, url, html in zip(cols["page_id"], cols["url"], cols["html"]):
-            scanner = _PageScanner(url or "")
+            scanner = _PageScanner(url or "", anchors, blocks)
             scanner.feed(html or "")
             rows.append(scanner.row(page_id))
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -244,9 +246,10 @@ def _arrow_schema() -> pa.Schema:
     )
 
 
-def scan_pages(pages: DataFrame) -> DataFrame:
-    """Parse every page once. Input: page_id, url, html."""
-    return pages.select("page_id", "url", "html").mapInArrow(_scan_batches, SCAN_SCHEMA)
+def scan_pages(pages: DataFrame, anchors: bool = True, blocks: bool = True) -> DataFrame:
+    """Parse every page once. Input: page_id, url, html. Head metadata is always read; skip the arrays nobody asks for."""
+    scan = partial(_scan_batches, anchors=anchors, blocks=blocks)
+    return pages.select("page_id", "url", "html").mapInArrow(scan, SCAN_SCHEMA)
 
 
 def anchor_rows(scan: DataFrame) -> DataFrame:
