@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import quality
+from tidewire.llm import quality, simhash, toxicity
 from tidewire.llm.common import rest_of_crc, table
 
 
@@ -17,5 +17,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "broken")
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules,)}
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by fingerprints of four-word shingles at four or fewer differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and evidence for every document; a fifth of the labels is held out."""
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.learn(docs, table(spark, sf_dir, "labels").where(rest_of_crc("doc_id", 5) != 0))
+    scored = toxicity.score(docs, index, ["doc_id"])
+    return scored.select("doc_id", (rest_of_crc("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "matched")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op8_quality_rules, op9_toxicity)}
 SQL: dict[str, str] = {}
