@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import quality, simhash, toxicity
+from tidewire.llm import decontaminate, packing, quality, simhash, toxicity
 from tidewire.llm.common import rest_of_crc, table
 
 
@@ -22,6 +22,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a passage of a document retrieves, with the overlaps that decide."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 2048 tokens."""
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and evidence for every document; a fifth of the labels is held out."""
     docs = table(spark, sf_dir, "documents")
@@ -30,5 +40,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (rest_of_crc("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "matched")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op8_quality_rules, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_best_fit_packing, op8_quality_rules, op9_toxicity)}
 SQL: dict[str, str] = {}
