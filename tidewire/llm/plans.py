@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, packing, quality, simhash, toxicity
+from tidewire.llm import decontaminate, language, packing, quality, sharding, simhash, toxicity, urls
 from tidewire.llm.common import rest_of_crc, table
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; profiles are learned from the other two thirds."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.learn(docs.where(rest_of_crc("doc_id", 3) != 1))
+    found = language.predict(docs, profiles, ["doc_id"])
+    return found.select("doc_id", (rest_of_crc("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+#: Fixed rules of the query: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest matching rule and verdict for every page."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 23 of near equal bytes."""
+    return sharding.assign(table(spark, sf_dir, "documents"), 24)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and the verdict for every document, with cutoffs certified on the labelled ones."""
     docs = table(spark, sf_dir, "documents")
@@ -40,5 +62,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (rest_of_crc("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "matched")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_best_fit_packing, op8_quality_rules, op9_toxicity)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_best_fit_packing, op5_language, op6_url_rules, op7_sharding, op8_quality_rules, op9_toxicity)}
+SQL: dict[str, str] = {
+    "op6_url_rules": """
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(h, f, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m AS (SELECT page_id, arg_max(h || f, length(h) * 1000 + length(f)) AS rule, arg_max(v, length(h) * 1000 + length(f)) AS v FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
+}
