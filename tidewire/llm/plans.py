@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, language, packing, quality, sharding, simhash, toxicity, urls
+from tidewire.llm import decontaminate, language, language_model, licenses, packing, quality, sharding, simhash, toxicity, urls
 from tidewire.llm.common import rest_of_crc, table
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the model of the other four fifths, beside that of counts alone."""
+    docs = table(spark, sf_dir, "documents")
+    scored = language_model.score(docs, docs.where(rest_of_crc("doc_id", 5) != 1))
+    return scored.select("doc_id", (rest_of_crc("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; profiles are learned from the other two thirds."""
     docs = table(spark, sf_dir, "documents")
@@ -17,6 +24,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (rest_of_crc("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 #: Fixed rules of the query: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -62,7 +74,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (rest_of_crc("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "matched")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_best_fit_packing, op5_language, op6_url_rules, op7_sharding, op8_quality_rules, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_best_fit_packing, op4_language_model, op5_language, op6_url_rules, op7_sharding, op8_quality_rules, op9_toxicity, op10_licenses)}
 SQL: dict[str, str] = {
     "op6_url_rules": """
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
