@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import json
 import random
 from collections import Counter
 
@@ -102,8 +103,11 @@ def test_pending_text_is_greedy_in_order(spark):
         (6, 1, "u6", "t6", "s", ts("2023-01-01"), '{"nlp_processed":false}', None),
     ]
     got = [r["id"] for r in ar.pending_text(articles_table(spark, rows)).collect()]
-    assert got == [1, 3, 6]
+    assert got == [1, 3, 5, 6]
+    assert [r["id"] for r in ar.pending_text(articles_table(spark, rows), skip_failed=True).collect()] == [1, 3, 6]
     assert [r["id"] for r in ar.pending_text(articles_table(spark, rows), 2).collect()] == [1, 3]
+    copies = [(100 + i, 1, "same", f"x{i}", None, ts("2025-01-01"), None, None) for i in range(40)]
+    assert [r["id"] for r in ar.pending_text(articles_table(spark, rows + copies), 3).collect()] == [139, 1, 3]
 
 
 def test_new_urls_drops_raw_and_canonical_matches(spark):
@@ -210,7 +214,30 @@ def test_captions(spark):
     got = {r["id"]: r["content"] for r in ar.inject_captions(articles, images).collect()}
     head, mid, tail = ar.CAPTION
     assert got[1] == f"a {head}1{mid}cat{tail} b{head}2{mid}dog{tail}" and got[2] == "plain"
-    assert "d3" in got[3] and "d4" not in got[3] and got[3].index("d1") < got[3].index("d2")
+    assert got[3].index("d1") < got[3].index("d2") < got[3].index("d4")
+    few = {r["id"]: r["content"] for r in ar.inject_captions(articles, images, 3).collect()}
+    assert "d3" in few[3] and "d4" not in few[3]
+
+
+def test_worker_caption_block(spark):
+    articles = spark.createDataFrame([(1, "text", '{"k":1}'), (2, "text\n\n[이미지 1 설명: cat]", None), (3, "none", None)], "id long, content string, metadata string")
+    described = spark.createDataFrame(
+        [(1, 0, "u0", "success", "cat", None), (1, 1, "u1", "error", None, "e"), (1, 2, "u2", "success", "dog", None), (1, 3, "u3", "success", "late", None), (2, 0, "u0", "success", "cat", None)],
+        "id long, order_index int, image_url string, status string, description string, error string",
+    )
+    got = {r["id"]: r for r in ar.append_caption_block(articles, described, "m", F.lit("2026-01-01 00:00:00").cast("timestamp")).collect()}
+    assert got[1]["content"] == "text\n\n[이미지 1 설명: cat]\n[이미지 3 설명: dog]"
+    assert got[2]["content"] == "text\n\n[이미지 1 설명: cat]" and got[3]["content"] == "none"
+    images = json.loads(got[1]["metadata"])["images"]
+    assert [i.get("caption") for i in images] == ["cat", None, "dog"] and images[1]["error"] == "e" and json.loads(got[1]["metadata"])["k"] == 1
+
+
+def test_repeated_results_change_one_row(spark):
+    target = spark.createDataFrame([(1, None)], "id long, x int").select("id", *[F.lit(None).cast("int").alias(c) for c in ("next_day_open", "next_day_10m_high", "next_day_close", "return_rate_open", "return_rate_high", "is_success")])
+    results = target.withColumns({"next_day_open": F.lit(1), "seen": F.lit(1)}).unionByName(target.withColumns({"next_day_open": F.lit(0), "seen": F.lit(2)}))
+    assert [r["next_day_open"] for r in sinks.apply_backtest(target, results, "seen").collect()] == [0]
+    picks = spark.createDataFrame([("2026-01-01", "a", "s", 1.0), ("2026-01-01", "a", "s", 9.0)], "target_dt string, code string, strategy_name string, target_score double")
+    assert [r["target_score"] for r in sinks.save_targets(picks.limit(0), picks).collect()] == [9.0]
 
 
 def test_topic_expand_levels_and_query(spark):

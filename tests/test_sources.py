@@ -1,6 +1,7 @@
 """Feeds, listings and pages on hand-made documents."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -86,3 +87,25 @@ def test_selector_vote_and_negative_terms(spark):
     items = F.array(*[F.struct(F.lit(t).alias("text")) for t in ("Ad one", "two")])
     row = spark.range(1).select(pg.drop_negative(items, ["AD "]).alias("some"), pg.drop_negative(items, ["o"]).alias("all")).first()
     assert [x["text"] for x in row["some"]] == ["two"] and len(row["all"]) == 2
+
+
+def test_page_scan_time_grows_with_the_page():
+    """Unclosed tags, quotes and nests: eight times the page may take at most about eight times as long, never its square."""
+    for unit in ("<p>a", '<a href="x', "<a 'x>b", "<div>a", "<a href=x>t", "<div><a href=x>t</a>", "<", "<p \"'>x"):
+        spent = []
+        for n in (2000, 16000):
+            start = time.process_time()
+            scanner = pages._PageScanner("http://x.com/")
+            scanner.feed(unit * n)
+            scanner.row(1)
+            spent.append(time.process_time() - start)
+        assert spent[1] < 24 * max(spent[0], 0.02), (unit, spent)
+
+
+def test_bare_items_and_escaped_captions(spark):
+    rdf = '<?xml version="1.0"?><rdf><channel><title>t</title></channel><item><title>A</title><link>https://x/1</link><description>d</description></item></rdf>'
+    got = feeds.feed_rows(spark.createDataFrame([("f", rdf)], "feed_url string, body string").withColumn("as_of", F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))).collect()
+    assert [(r["title"], r["url"], r["summary"]) for r in got] == [("A", "https://x/1", "d")]
+    html = '<script>{"text": "caf\\u00e9 and more text", "code": "ABCDE1"}</script>'
+    post = feeds.embedded_posts(spark.createDataFrame([(1, "u", html)], "page_id long, username string, html string"), "2026-01-01 00:00:00").first()
+    assert post["title"] == "café and more text"

@@ -38,19 +38,35 @@ def test_event_counts_over_batches(spark, sf, tmp_path):
     assert rows(got.select("start", "source_id", *ev.CLASSES)) == rows(st.event_counts(events))
 
 
-def test_gaps_over_batches_and_replay(spark, sf, tmp_path):
+def test_gaps_over_batches_in_any_order_and_replay(spark, sf, tmp_path):
     events = standins.crawl_events(spark, sf)
-    folder = split(events, str(tmp_path / "in"), "created_at")
-    stream = runs.file_stream(spark, folder, events.schema, files_per_batch=1)
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
-    st.write_gaps(stream, out, state, str(tmp_path / "cp")).awaitTermination()
     calls = events.where(ev.event_class().isin(list(ev.REQUEST_CLASSES))).select("id", "source_id", "created_at")
     want = rows(keys.gap_to_previous(calls, "source_id", "created_at", "id").select("id", F.coalesce("gap_seconds", F.lit(-1.0))))
-    got = lambda: rows(runs.read_batches(spark, out).select("id", F.coalesce("gap_seconds", F.lit(-1.0))))
-    assert got() == want
-    # a second run from a new checkpoint writes the same batches again: nothing is doubled
-    st.write_gaps(stream, out, state, str(tmp_path / "cp2")).awaitTermination()
-    assert got() == want
+    mixed = events.withColumn("mix", F.xxhash64("id"))
+    for name, data, by in (("time", events, "created_at"), ("mixed", mixed, "mix")):
+        folder = split(data, str(tmp_path / name / "in"), by)
+        stream = runs.file_stream(spark, folder, data.schema, files_per_batch=1)
+        out = str(tmp_path / name / "out")
+        got = lambda: rows(runs.read_latest(spark, out, ["id"]).select("id", F.coalesce("gap_seconds", F.lit(-1.0))))
+        st.write_gaps(stream, out, str(tmp_path / name / "cp"), horizon_days=60).awaitTermination()
+        assert got() == want
+        # a second run from a new checkpoint writes the same batches again: nothing is doubled
+        st.write_gaps(stream, out, str(tmp_path / name / "cp2"), horizon_days=60).awaitTermination()
+        assert got() == want
+
+
+def test_late_calls_restate_their_successors(spark, tmp_path):
+    at = lambda s: dt.datetime(2026, 1, 1, 12) + dt.timedelta(seconds=s)
+    batches = [[(1, 0), (2, 60)], [(3, 30), (4, 90)], [(5, -10)]]
+    shape = "id long, source_id int, event_type string, created_at timestamp_ntz"
+    for i, b in enumerate(batches):
+        spark.createDataFrame([(k, 1, "article_ingest", at(s)) for k, s in b], shape).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+        for f in (tmp_path / "in" / f"b{i}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{i}.parquet")
+            os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + i * 60,) * 2)
+    stream = runs.file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in" / "0.parquet")).schema, files_per_batch=1)
+    st.write_gaps(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert rows(runs.read_latest(spark, str(tmp_path / "out"), ["id"]).select("id", F.coalesce("gap_seconds", F.lit(-1.0)))) == [(1, 10.0), (2, 30.0), (3, 30.0), (4, 30.0), (5, -1.0)]
 
 
 def test_new_links_across_batches(spark, tmp_path):
@@ -68,19 +84,18 @@ def test_new_links_across_batches(spark, tmp_path):
 def test_edges_fold_batch_by_batch(spark, sf, tmp_path):
     articles = standins.articles(spark, sf)
     folder = split(articles, str(tmp_path / "in"), "id")
-    vocabulary = terms.term_frequency(terms.tokenize_articles(articles), 20)
     at = "2026-01-02 12:00:00"
     stream = runs.file_stream(spark, folder, articles.schema, files_per_batch=1)
-    st.write_edges(stream, vocabulary, str(tmp_path / "out"), str(tmp_path / "cp"), at).awaitTermination()
+    st.write_edges(stream, str(tmp_path / "out"), str(tmp_path / "cp"), at, 15).awaitTermination()
     want = spark.createDataFrame([], "src string, dst string, weight long, updated_at timestamp_ntz")
     bounds = [r[0] for r in articles.withColumn("part", F.ntile(3).over(Window.orderBy("id"))).groupBy("part").agg(F.max("id")).orderBy("part").select("max(id)").collect()]
     low = -1
     for high in bounds:
         part = articles.where((F.col("id") > low) & (F.col("id") <= high))
-        want = sinks.merge_edges(want, terms.cooccurrence_within(terms.tokenize_articles(part), vocabulary), at)
+        want = sinks.merge_edges(want, terms.cooccurrence(terms.tokenize_articles(part), 15), at)
         low = high
-    last = runs.read_batches(spark, str(tmp_path / "out")).where("batch = 2").select("src", "dst", "weight")
-    assert rows(last) == rows(want.select("src", "dst", "weight"))
+    last = runs.read_latest(spark, str(tmp_path / "out"), ["src", "dst"]).select("src", "dst", "weight")
+    assert last.count() and rows(last) == rows(want.select("src", "dst", "weight"))
 
 
 def test_retention_drops_whole_days(spark, tmp_path):

@@ -10,10 +10,10 @@ from tidewire.functions.urls import canonical_url
 from tidewire.operators.keys import first_per_key, top_per
 from tidewire.operators.sinks import merge_json
 
-# Page size limit, caption wording, work-queue slack.
+# Page size limit, caption wording of the queue and of the worker.
 MAX_PAGE = 100
-QUEUE_SLACK = 16
 CAPTION = ("\n\n[🖼️ 첨부 이미지 #", " 내용: ", "]\n\n")
+IMAGE_BLOCK, DOWNLOAD_FAILED, WORKER_IMAGES = ("\n\n", "[이미지 ", " 설명: ", "]"), "이미지 다운로드 실패", 3
 UNKNOWN_AUTHOR = "익명"
 IMAGE_STATES = ("PENDING", "PROCESSING", "COMPLETED", "FAILED")
 MIN_EXTRACTED, MIN_BACKFILLED, MIN_ANCHOR = 10, 30, 2
@@ -63,10 +63,11 @@ def keep_content(rows: DataFrame, column: str, min_len: int) -> DataFrame:
     return rows.where(F.length(column) >= min_len)
 
 
-def needs_text() -> Column:
-    """Text analysis is pending: no summary or not marked as done; failed articles do not come back."""
+def needs_text(skip_failed: bool = False) -> Column:
+    """Text analysis is pending: no summary or not marked as done. ``skip_failed`` leaves out articles whose analysis has failed."""
     empty = F.col("summary").isNull() | (F.col("summary") == "")
-    return (empty | ~json_flag("metadata", "nlp_processed")) & json_text("metadata", "nlp_error").isNull()
+    pending = empty | ~json_flag("metadata", "nlp_processed")
+    return pending & json_text("metadata", "nlp_error").isNull() if skip_failed else pending
 
 
 def needs_images() -> Column:
@@ -74,24 +75,28 @@ def needs_images() -> Column:
     return (json_length("metadata", "images") > 0) & ~json_flag("metadata", "vision_processed")
 
 
-def pending_text(articles: DataFrame, n: int = 8, slack: int = QUEUE_SLACK) -> DataFrame:
+def pending_text(articles: DataFrame, n: int = 8, skip_failed: bool = False) -> DataFrame:
     """The next ``n`` articles to analyse, newest first, no url and no title twice.
 
-    As in a worker's cycle, the choice is made among the newest n + slack pending rows. That short list is folded in
-    order: a row is taken when neither its url nor its title was taken before.
+    A row is taken when neither its url nor its title was taken before. Each round folds the newest 2n pending rows that share neither with a taken
+    one; the first of them is always taken, so that copies at the head of the queue cost rounds, not rows.
     """
-    newest = articles.where(needs_text()).select("id", "source_id", "url", "title", "published_at").orderBy(F.desc("published_at"), F.desc("id")).limit(n + slack)
-    row = F.struct("published_at", "id", "source_id", "url", F.coalesce("title", F.lit("")).alias("title"))
-    listed = newest.agg(F.sort_array(F.collect_list(row), asc=False).alias("rows"))
-    start = F.slice(F.col("rows"), 1, 0)
-    taken = F.aggregate(
-        "rows",
-        start,
-        lambda acc, r: F.when(
-            (F.size(acc) < n) & ~F.exists(acc, lambda t: (t["url"] == r["url"]) | (t["title"] == r["title"])), F.concat(acc, F.array(r))
-        ).otherwise(acc),
-    )
-    return listed.select(F.inline(taken)).select("id", "source_id", "url", "title", "published_at")
+    cols = ["id", "source_id", "url", "title", "published_at"]
+    rows = articles.where(needs_text(skip_failed)).select(*cols)
+    taken: list = []
+    while len(taken) < n:
+        left = rows
+        if taken:
+            urls = [r["url"] for r in taken if r["url"] is not None]
+            titles = [r["title"] or "" for r in taken]
+            left = rows.where(~F.coalesce(F.col("url").isin(urls), F.lit(False)) & ~F.coalesce("title", F.lit("")).isin(titles) & ~F.col("id").isin([r["id"] for r in taken]))
+        newest = left.orderBy(F.desc("published_at"), F.desc("id")).limit(2 * n).collect()
+        for r in newest:
+            if len(taken) < n and not any(t["url"] == r["url"] or (t["title"] or "") == (r["title"] or "") for t in taken):
+                taken.append(r)
+        if len(newest) < 2 * n:
+            break
+    return articles.sparkSession.createDataFrame([tuple(r) for r in sorted(taken, key=lambda r: (r["published_at"], r["id"]), reverse=True)], rows.schema)
 
 
 def pending_images(articles: DataFrame, n: int = 4) -> DataFrame:
@@ -100,10 +105,10 @@ def pending_images(articles: DataFrame, n: int = 4) -> DataFrame:
     return articles.where(needs_images()).select(*cols).orderBy(F.desc("published_at"), F.desc("id")).limit(n)
 
 
-def pending_counts(articles: DataFrame) -> DataFrame:
+def pending_counts(articles: DataFrame, skip_failed: bool = False) -> DataFrame:
     """All, text-pending and image-pending articles in one pass."""
     return articles.agg(
-        F.count("*").alias("total"), F.count_if(needs_text()).alias("text_pending"), F.count_if(needs_images()).alias("vision_pending")
+        F.count("*").alias("total"), F.count_if(needs_text(skip_failed)).alias("text_pending"), F.count_if(needs_images()).alias("vision_pending")
     )
 
 
@@ -241,11 +246,11 @@ def comment_summary(comments: DataFrame, crawled_at: Column, n: int = 5) -> Data
     return counts.join(lists, "article_id").select("article_id", "comment_count", F.transform("best", lambda c: c["comment_ext_id"]).alias("top_ids"), patch.alias("patch"))
 
 
-def inject_captions(articles: DataFrame, images: DataFrame, max_images: int | None = 3) -> DataFrame:
+def inject_captions(articles: DataFrame, images: DataFrame, max_images: int | None = None) -> DataFrame:
     """Put finished image captions into the content.
 
     A caption replaces its placeholder, or goes to the end when the placeholder is absent, in image order.
-    ``max_images`` is the worker's limit per article; None takes all images of the queue.
+    All images of the queue count; ``max_images`` takes the first ones of an article.
     """
     done = images.where((F.col("status") == "COMPLETED") & (F.coalesce("description", F.lit("")) != ""))
     if max_images is not None:
@@ -261,3 +266,26 @@ def inject_captions(articles: DataFrame, images: DataFrame, max_images: int | No
         lambda acc, c: F.when(F.contains(acc, c["token"]), F.replace(acc, c["token"], c["text"])).otherwise(F.concat(acc, c["text"])),
     )
     return articles.join(captions, "id", "left").withColumn("content", F.when(F.col("captions").isNull(), F.col("content")).otherwise(merged)).drop("captions")
+
+
+def append_caption_block(articles: DataFrame, described: DataFrame, model: str, at: Column) -> DataFrame:
+    """The worker's captions: one block of lines at the end of the content, once, and the outcome of each image in the metadata.
+
+    ``articles`` has id, content and metadata; ``described`` has id, order_index (from 0, as listed), image_url, status, description and error. Only
+    the first three listed images of an article count; a repeated place counts once. An image without success, or with a failed download, has no line.
+    """
+    gap, head, middle, tail = IMAGE_BLOCK
+    good = (F.col("status") == "success") & (F.coalesce("description", F.lit("")) != "") & ~F.startswith("description", F.lit(DOWNLOAD_FAILED))
+    line = F.when(good, F.concat(F.lit(head), (F.col("order_index") + 1).cast("string"), F.lit(middle), F.col("description"), F.lit(tail)))
+    stamp = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    outcome = F.struct(
+        F.col("image_url").alias("url"), F.when(good, F.col("description")).alias("caption"), F.when(good, stamp).alias("injected_at"), F.when(good, F.lit(model)).alias("model_used"), F.when(~F.coalesce(good, F.lit(False)), F.col("error")).alias("error")
+    )
+    rows = described.where((F.col("order_index") < WORKER_IMAGES) & (F.coalesce("image_url", F.lit("")) != "")).groupBy("id", "order_index").agg(F.min(F.struct(line.alias("line"), outcome.alias("outcome"))).alias("v"))
+    per = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("order_index", "v"))).alias("images"))
+    lines = F.array_compact(F.transform("images", lambda i: i["v"]["line"]))
+    block = F.concat(F.lit(gap), F.array_join(lines, "\n"))
+    content = F.when((F.size(lines) > 0) & ~F.contains("content", block), F.concat("content", block)).otherwise(F.col("content"))
+    patch = F.to_json(F.struct(F.lit(True).alias("vision_processed"), F.lit(model).alias("vision_model"), stamp.alias("vision_processed_at"), F.transform("images", lambda i: i["v"]["outcome"]).alias("images")))
+    new = {"content": content, "metadata": merge_json(F.col("metadata"), patch)}
+    return articles.join(per, "id", "left").select(*[F.when(F.col("images").isNull(), F.col(c)).otherwise(new[c]).alias(c) if c in new else F.col(c) for c in articles.columns])

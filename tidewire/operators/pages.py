@@ -41,8 +41,15 @@ SKIPPED_SELECTORS = ("body", "html", "table", "tbody", "div.wrapper", "div.conte
 MAX_LINK_RATIO, MIN_BLOCK_TEXT, BONUS = 0.35, 20, 500
 
 
+def _no_jump(href: Column) -> Column:
+    """No jump inside the page and no script; a missing href counts as an empty one."""
+    bare = F.trim(F.coalesce(href, F.lit("")))
+    return ~F.startswith(bare, F.lit("#")) & ~F.startswith(bare, F.lit("javascript"))
+
+
 def _usable(href: Column) -> Column:
-    return F.coalesce((F.trim(href) != "") & ~F.startswith(href, F.lit("#")) & ~F.startswith(href, F.lit("javascript")), F.lit(False))
+    """A link that leads somewhere: not empty, either."""
+    return (F.trim(F.coalesce(href, F.lit(""))) != "") & _no_jump(href)
 
 
 def _ranked(rows: DataFrame, order: list[Column], n: int | None = None) -> DataFrame:
@@ -101,7 +108,7 @@ def anchor_groups(scan: DataFrame) -> DataFrame:
     """Link containers of every page, probable article lists first."""
     anchors = scan.select("page_id", "groups", F.explode("anchors").alias("a")).where(~F.col("a.hidden"))
     inside = anchors.select("page_id", "groups", F.col("a.pos").alias("pos"), F.col("a.text").alias("text"), F.col("a.href").alias("href"), F.explode("a.groups").alias("gid"))
-    rows = inside.select("page_id", "gid", F.get("groups", F.col("gid")).alias("g"), F.struct("pos", "text", _usable(F.col("href")).alias("usable")).alias("link"))
+    rows = inside.select("page_id", "gid", F.get("groups", F.col("gid")).alias("g"), F.struct("pos", "text", _no_jump(F.col("href")).alias("usable")).alias("link"))
     per = rows.repartition("page_id").groupBy("page_id", "gid").agg(
         F.first("g").alias("g"), F.count("*").cast("int").alias("link_count"), F.array_sort(F.collect_list("link")).alias("links")
     )
@@ -135,12 +142,12 @@ def is_list_tag() -> Column:
 def common_parent(scan: DataFrame, examples: DataFrame) -> DataFrame:
     """Per page the most frequent parent class of the anchors that match its example texts (A19); ties by class.
 
-    ``examples`` has page_id and a short array of example texts. A match is containment in either direction.
+    ``examples`` has page_id and a short array of example texts. A match is containment in either direction; an anchor counts once for each example that it matches.
     """
     wanted = F.filter(F.transform("examples", lambda e: F.trim(e)), lambda e: e != "")
     anchors = anchor_rows(scan).where(F.col("parent_class") != "").select("page_id", "text", "parent_class").join(examples, "page_id")
-    hits = anchors.where(F.exists(wanted, lambda e: F.contains(F.col("text"), e) | F.contains(e, F.col("text"))))
-    counts = hits.groupBy("page_id", F.col("parent_class").alias("class")).agg(F.count("*").alias("n"))
+    matched = F.size(F.filter(wanted, lambda e: F.contains(F.col("text"), e) | F.contains(e, F.col("text"))))
+    counts = anchors.groupBy("page_id", F.col("parent_class").alias("class")).agg(F.sum(matched).alias("n")).where(F.col("n") > 0)
     best = F.min(F.struct((-F.col("n")).alias("k"), "class"))
     return counts.groupBy("page_id").agg(best.alias("b")).select(
         "page_id", F.concat(F.lit("."), F.col("b.class"), F.lit(" a")).alias("selector"), (-F.col("b.k")).alias("matches")

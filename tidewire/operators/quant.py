@@ -59,7 +59,7 @@ def closing_screen_flow(
 ) -> DataFrame:
     """The documented screen (M6b): volume surge, both big buyer groups net long, change in range.
 
-    ``news`` has code and mentions (momentum of the code in the day's articles); codes without news count zero.
+    ``news`` has code and mentions (momentum of the code in the day's articles), summed for a code that it names more than once; codes without news count zero.
     The weights are parameters.
     """
     change = (F.col("close_price") - F.col("open_price")).cast("double") / F.col("open_price") * 100.0
@@ -70,7 +70,7 @@ def closing_screen_flow(
     )
     flow = (F.col("foreigner") + F.col("institution")).cast("double")
     score = F.col("surge") * w_surge + flow * w_flow + F.coalesce("mentions", F.lit(0)).cast("double") * w_news
-    scored = passed.join(news.select("code", "mentions"), "code", "left").select(
+    scored = passed.join(news.groupBy("code").agg(F.sum("mentions").alias("mentions")), "code", "left").select(
         "target_dt", "code", "name", F.lit("CLOSING_FLOW").alias("strategy_name"), score.alias("target_score"), F.col("close_price").alias("closing_price")
     )
     return score_rank(scored, n)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.core import round_half_up, ts_literal
-from tidewire.operators.keys import first_per_key
+from tidewire.operators.keys import first_per_key, top_per
 
 ARTICLE_KEYS = ["url", "published_at"]
 TARGET_KEYS = ["target_dt", "code", "strategy_name"]
@@ -144,23 +144,32 @@ def merge_node_counts(nodes: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def save_targets(stored: DataFrame, picks: DataFrame) -> DataFrame:
-    """Picks that are not stored yet (K7), keyed by day, code and strategy."""
-    return new_rows(stored, picks, TARGET_KEYS, "target_score")
+    """Picks that are not stored yet (K7), keyed by day, code and strategy; of repeats in a batch the best score stays, as the first of a ranked list."""
+    best = top_per(picks, TARGET_KEYS, [F.desc("target_score")])
+    return best.join(stored.select(*TARGET_KEYS), TARGET_KEYS, "left_anti")
 
 
-def apply_backtest(targets: DataFrame, results: DataFrame) -> DataFrame:
-    """Set the six result columns of verified picks (K8), matched by id."""
+def apply_backtest(targets: DataFrame, results: DataFrame, order: str | None = None) -> DataFrame:
+    """Set the six result columns of verified picks (K8), matched by id.
+
+    Of repeated results for an id the last by ``order`` counts (without ``order`` the largest row), so that no target is multiplied.
+    """
     cols = ["next_day_open", "next_day_10m_high", "next_day_close", "return_rate_open", "return_rate_high", "is_success"]
-    r = results.select("id", F.struct(*cols).alias("__r"))
+    row = F.struct(*cols)
+    r = results.groupBy("id").agg((F.max_by(row, order) if order else F.max(row)).alias("__r"))
     hit = F.col("__r").isNotNull()
     return targets.join(r, "id", "left").select(
         *[(F.when(hit, F.col(f"__r.{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)) for c in targets.columns]
     )
 
 
-def apply_enrichment(articles: DataFrame, results: DataFrame) -> DataFrame:
-    """Set summary and sentiment and merge the JSON patch, matched by (url, published_at) (K9)."""
-    r = results.select("url", "published_at", F.struct("summary", "sentiment_score", "patch").alias("__r"))
+def apply_enrichment(articles: DataFrame, results: DataFrame, order: str | None = None) -> DataFrame:
+    """Set summary and sentiment and merge the JSON patch, matched by (url, published_at) (K9).
+
+    Of repeated results for a key the last by ``order`` counts (without ``order`` the largest row), so that no article is multiplied.
+    """
+    row = F.struct("summary", "sentiment_score", "patch")
+    r = results.groupBy(*ARTICLE_KEYS).agg((F.max_by(row, order) if order else F.max(row)).alias("__r"))
     hit = F.col("__r").isNotNull()
     new = {
         "summary": F.when(hit, F.coalesce("__r.summary", F.lit(""))).otherwise(F.col("summary")),

@@ -127,7 +127,9 @@ def term_rollup(term_rows: DataFrame, minutes: int = 10) -> DataFrame:
 def term_series(term_rows: DataFrame, term: str, as_of, hours: int = 24) -> DataFrame:
     """The recent rows of one term, oldest first."""
     start = ts_literal(as_of) - F.make_dt_interval(hours=F.lit(hours))
-    return term_rows.where((F.col("term") == term) & (F.col("time") >= start)).orderBy("time", "source_id")
+    rows = term_rows.where((F.col("term") == term) & (F.col("time") >= start))
+    rows = rows.where(F.col("dt") >= F.to_date(start)) if "dt" in term_rows.columns else rows  # the stored layout drops whole days
+    return rows.orderBy("time", "source_id")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -202,15 +204,13 @@ def topic_query(expanded: DataFrame, center: str, n: int = 4) -> DataFrame:
     return first.agg(F.trim(F.concat(F.lit(center + " "), joined)).alias("suggested_query"))
 
 
-def term_match(docs: DataFrame, terms: DataFrame, center: str, max_terms: int = 50) -> DataFrame:
+def term_match(docs: DataFrame, terms: DataFrame, center: str) -> DataFrame:
     """Which graph terms occur in title plus summary, ignoring case (J9); none means the center itself.
 
-    The term list of one topic is short (``topic_expand`` with n terms). It is checked to be at most ``max_terms`` and
+    ``terms`` is the result of ``topic_expand``: at most n + n * n rows at two levels, whatever the corpus holds. It
     enters as one array value, so the documents are scanned once and nothing is joined.
     """
-    listed = terms.agg(F.array_sort(F.collect_set("term")).alias("v")).select(
-        F.when(F.size("v") <= max_terms, F.col("v")).otherwise(F.raise_error(F.lit(f"term_match takes at most {max_terms} terms"))).alias("v")
-    )
+    listed = terms.agg(F.array_sort(F.collect_set("term")))
     text = F.lower(full_text(F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
     hits = F.filter("wanted", lambda t: F.contains(F.col("text"), F.lower(t)))
     matched = let(hits, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(center))))

@@ -69,7 +69,7 @@ def _(spark, d):
     return ar.keep_content(standins.articles(spark, d), "content", 400).select("id")
 
 
-TEXT_SQL = """((summary IS NULL OR summary = '' OR NOT coalesce(CAST(metadata->>'$.nlp_processed' AS BOOLEAN), false)) AND (metadata->>'$.nlp_error') IS NULL)"""
+TEXT_SQL = """((summary IS NULL OR summary = '' OR NOT coalesce(CAST(metadata->>'$.nlp_processed' AS BOOLEAN), false)))"""
 IMAGE_SQL = """(coalesce(json_array_length(metadata->'$.images'), 0) > 0 AND NOT coalesce(CAST(metadata->>'$.vision_processed' AS BOOLEAN), false))"""
 
 
@@ -78,7 +78,7 @@ IMAGE_SQL = """(coalesce(json_array_length(metadata->'$.images'), 0) > 0 AND NOT
     "WITH RECURSIVE "
     + with_views("articles")[5:]
     + f""", newest AS (SELECT id, source_id, url, title, published_at, row_number() OVER (ORDER BY published_at DESC, id DESC) AS r FROM articles
-  WHERE {TEXT_SQL} ORDER BY r LIMIT 24),
+  WHERE {TEXT_SQL} ORDER BY r LIMIT 200),
 fold AS (SELECT r, [url] AS urls, [title] AS titles, [id] AS ids FROM newest WHERE r = 1
   UNION ALL SELECT n.r, CASE WHEN ok THEN list_append(urls, n.url) ELSE urls END, CASE WHEN ok THEN list_append(titles, n.title) ELSE titles END,
     CASE WHEN ok THEN list_append(ids, n.id) ELSE ids END
@@ -414,8 +414,7 @@ _CAP = "chr(10) || chr(10) || '[🖼️ 첨부 이미지 #' || {o} || ' 내용:
     "M17_inject_captions",
     with_views("articles", "article_images")
     + f""", a AS (SELECT id, content || CASE WHEN id % 2 = 0 THEN ' {{{{IMG:1:https://img.example.com/' || (id * 4) || '.png}}}} end' ELSE '' END AS content FROM articles),
-done AS (SELECT *, {_CAP.format(o='order_index', t='description')} AS text FROM article_images WHERE status = 'COMPLETED'
-  QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY order_index, id) <= 3),
+done AS (SELECT *, {_CAP.format(o='order_index', t='description')} AS text FROM article_images WHERE status = 'COMPLETED'),
 p AS (SELECT article_id, max(text) FILTER (order_index = 1) AS first_text, coalesce(string_agg(text, '' ORDER BY order_index) FILTER (order_index > 1), '') AS rest FROM done GROUP BY 1)
 SELECT a.id, CASE WHEN first_text IS NULL THEN content WHEN id % 2 = 0 THEN replace(content, '{{{{IMG:1:https://img.example.com/' || (id * 4) || '.png}}}}', first_text) ELSE content || first_text END
   || coalesce(rest, '') AS content FROM a LEFT JOIN p ON p.article_id = a.id""",

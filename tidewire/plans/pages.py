@@ -188,9 +188,9 @@ def _(spark, d):
     "A19_common_parent",
     LINES_SQL
     + """, e AS (SELECT doc_id, lines[1] AS a, lines[len(lines)] AS b FROM l WHERE len(lines) > 0),
-h AS (SELECT r.doc_id, c.class FROM (SELECT doc_id, pos, regexp_replace(line, ' +', ' ', 'g') AS line FROM r) r JOIN e ON e.doc_id = r.doc_id
-  AND (contains(r.line, a) OR contains(a, r.line) OR contains(r.line, b) OR contains(b, r.line)), (SELECT 'row' AS class UNION ALL SELECT 'title') c)
-SELECT doc_id AS page_id, '.row a' AS selector, count(*) // 2 AS matches FROM h GROUP BY 1""",
+h AS (SELECT r.doc_id, CAST(contains(r.line, a) OR contains(a, r.line) AS BIGINT) + CAST(contains(r.line, b) OR contains(b, r.line) AS BIGINT) AS n
+  FROM (SELECT doc_id, pos, regexp_replace(line, ' +', ' ', 'g') AS line FROM r) r JOIN e ON e.doc_id = r.doc_id)
+SELECT doc_id AS page_id, '.row a' AS selector, CAST(sum(n) AS BIGINT) AS matches FROM h GROUP BY 1 HAVING sum(n) > 0""",
 )
 def _(spark, d):
     lines = _lines(spark, d).where(F.size("lines") > 0)

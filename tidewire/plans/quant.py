@@ -278,6 +278,17 @@ def _(spark, d):
     return reco.ucb1_scores(reco.feedback_stats_for(standins.articles(spark, d).select("id"), standins.feedbacks(spark, d)))
 
 
+@query(
+    "M8_thompson_inputs",
+    COUNTS_SQL
+    + """, newest AS (SELECT id FROM articles ORDER BY published_at DESC, id DESC LIMIT 50)
+SELECT n.id, coalesce(clicks, 0) + 1 AS alpha, greatest(coalesce(impressions, 0) - coalesce(clicks, 0), 0) + 1 AS beta FROM newest n LEFT JOIN counts c ON c.article_id = n.id""",
+)
+def _(spark, d):
+    newest = reco.latest(standins.articles(spark, d).select("id", "published_at"), "published_at", reco.CANDIDATES)
+    return reco.thompson_inputs(reco.feedback_stats_for(newest, standins.feedbacks(spark, d)))
+
+
 @query("M8_thompson_scores")
 def _(spark, d):
     out = reco.recommend(standins.articles(spark, d), standins.feedbacks(spark, d), seed=7)

@@ -13,6 +13,8 @@ from tidewire.sources import articles as article_scans
 from tidewire.sources import standins
 
 CENTER = "the"
+# The graph has every pair of terms that at least so many documents share, at every scale; nothing else bounds the vocabulary.
+MIN_DOCS = 100
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 TOKENS_SQL = with_views("articles") + rf""",
 raw_tokens AS (SELECT id AS doc_id, source_id, published_at, unnest(regexp_extract_all(title || ' ' || content, '[\p{{L}}\p{{N}}]{{2,}}')) AS term
@@ -20,8 +22,12 @@ raw_tokens AS (SELECT id AS doc_id, source_id, published_at, unnest(regexp_extra
 toks AS (SELECT * FROM raw_tokens WHERE term NOT IN ({_STOP})),
 tf AS (SELECT term, count(*) AS frequency, count(DISTINCT doc_id) AS doc_count FROM toks GROUP BY term),
 vocab AS (SELECT term, frequency, doc_count FROM tf ORDER BY frequency DESC, term LIMIT 100),
-pick AS (SELECT DISTINCT doc_id, published_at, term FROM toks WHERE term IN (SELECT term FROM vocab)),
+pick AS MATERIALIZED (SELECT DISTINCT doc_id, published_at, term FROM toks WHERE term IN (SELECT term FROM tf WHERE doc_count >= 100)),
 edges AS (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM pick a JOIN pick b ON a.doc_id = b.doc_id AND a.term < b.term
+  GROUP BY 1, 2 HAVING count(*) >= 100)
+"""
+WITHIN_SQL = TOKENS_SQL + """, within AS (SELECT DISTINCT doc_id, term FROM toks WHERE term IN (SELECT term FROM vocab)),
+within_edges AS (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM within a JOIN within b ON a.doc_id = b.doc_id AND a.term < b.term
   GROUP BY 1, 2 HAVING count(*) >= 2)
 """
 BOTH_SQL = TOKENS_SQL + ", links AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)\n"
@@ -34,8 +40,7 @@ def _tokens(spark, d):
 
 
 def _edges(spark, d):
-    tokens = _tokens(spark, d)
-    return terms.cooccurrence_within(tokens, terms.term_frequency(tokens))
+    return terms.cooccurrence(_tokens(spark, d), MIN_DOCS)
 
 
 @query("A1_term_frequency", TOKENS_SQL + "SELECT term, frequency, doc_count FROM vocab")
@@ -76,12 +81,11 @@ def _(spark, d):
     TOKENS_SQL
     + """SELECT src, dst, weight AS co_count,
   CAST(round(CAST(weight / sqrt(CAST(i.doc_count AS DOUBLE) * j.doc_count) AS DECIMAL(38,10)), 6) AS DOUBLE) AS weight
-FROM edges JOIN vocab i ON i.term = src JOIN vocab j ON j.term = dst""",
+FROM edges JOIN tf i ON i.term = src JOIN tf j ON j.term = dst""",
 )
 def _(spark, d):
     tokens = _tokens(spark, d)
-    vocab = terms.term_frequency(tokens)
-    return terms.cooccurrence_weight(terms.cooccurrence_within(tokens, vocab), vocab.select("term", F.col("doc_count").alias("docs")))
+    return terms.cooccurrence_weight(terms.cooccurrence(tokens, MIN_DOCS), terms.document_frequency(tokens))
 
 
 @query(
@@ -89,12 +93,22 @@ def _(spark, d):
     TOKENS_SQL
     + """SELECT src, dst, weight AS co_count,
   CAST(round(CAST(CAST(weight AS DOUBLE) / (i.doc_count + j.doc_count - weight) AS DECIMAL(38,10)), 6) AS DOUBLE) AS weight
-FROM edges JOIN vocab i ON i.term = src JOIN vocab j ON j.term = dst""",
+FROM edges JOIN tf i ON i.term = src JOIN tf j ON j.term = dst""",
 )
 def _(spark, d):
     tokens = _tokens(spark, d)
-    vocab = terms.term_frequency(tokens)
-    return terms.jaccard_weight(terms.cooccurrence_within(tokens, vocab), vocab.select("term", F.col("doc_count").alias("docs")))
+    return terms.jaccard_weight(terms.cooccurrence(tokens, MIN_DOCS), terms.document_frequency(tokens))
+
+
+@query("A2_cooccurrence_within_top_terms", WITHIN_SQL + "SELECT src, dst, weight FROM within_edges")
+def _(spark, d):
+    tokens = _tokens(spark, d)
+    return terms.cooccurrence_within(tokens, terms.term_frequency(tokens))
+
+
+@query("J10_cooccurrence_pairs", TOKENS_SQL + "SELECT src, dst, weight FROM edges")
+def _(spark, d):
+    return _edges(spark, d)
 
 
 def _term_rows(spark, d):
@@ -113,9 +127,9 @@ TERM_ROWS_SQL = TOKENS_SQL + """, term_rows AS (SELECT published_at AS time, sou
     "A4_term_rollup",
     TERM_ROWS_SQL
     + """, b AS (SELECT term, time_bucket(INTERVAL 10 MINUTES, time) AS bucket, CAST(sum(frequency) AS BIGINT) AS frequency FROM term_rows GROUP BY 1, 2)
-SELECT c.term, strftime(c.bucket, '%Y-%m-%d %H:%M:%S') AS bucket, c.frequency, coalesce(p.frequency, 0) AS previous,
-  c.frequency - coalesce(p.frequency, 0) AS change
-FROM b c LEFT JOIN b p ON p.term = c.term AND p.bucket = c.bucket - INTERVAL 10 MINUTES""",
+, p AS (SELECT term, bucket, frequency, CASE WHEN lag(bucket) OVER w = bucket - INTERVAL 10 MINUTES THEN lag(frequency) OVER w ELSE 0 END AS previous
+  FROM b WINDOW w AS (PARTITION BY term ORDER BY bucket))
+SELECT term, strftime(bucket, '%Y-%m-%d %H:%M:%S') AS bucket, frequency, previous, frequency - previous AS change FROM p""",
 )
 def _(spark, d):
     return terms.term_rollup(_term_rows(spark, d)).withColumn("bucket", stamp("bucket"))
@@ -225,17 +239,16 @@ def _(spark, d):
 # Two overlapping periods for the merges: what was published before SPLIT_TO is stored, what came from SPLIT_FROM on is the batch.
 SPLIT_FROM, SPLIT_TO = "2026-01-01 00:00:00", "2026-01-03 00:00:00"
 _STORED_SQL = TOKENS_SQL + f""", stored AS (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM pick a JOIN pick b
-  ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.published_at < TIMESTAMP '{SPLIT_TO}' GROUP BY 1, 2 HAVING count(*) >= 2),
+  ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.published_at < TIMESTAMP '{SPLIT_TO}' GROUP BY 1, 2 HAVING count(*) >= 100),
 batch AS (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM pick a JOIN pick b
-  ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.published_at >= TIMESTAMP '{SPLIT_FROM}' GROUP BY 1, 2 HAVING count(*) >= 2)
+  ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.published_at >= TIMESTAMP '{SPLIT_FROM}' GROUP BY 1, 2 HAVING count(*) >= 100)
 """
 
 
 def _stored_and_batch(spark, d):
     a = standins.articles(spark, d)
-    vocab = terms.term_frequency(terms.tokenize_articles(a))
-    stored = terms.cooccurrence_within(terms.tokenize_articles(a.where(F.col("published_at") < ts_literal(SPLIT_TO))), vocab)
-    batch = terms.cooccurrence_within(terms.tokenize_articles(a.where(F.col("published_at") >= ts_literal(SPLIT_FROM))), vocab)
+    stored = terms.cooccurrence(terms.tokenize_articles(a.where(F.col("published_at") < ts_literal(SPLIT_TO))), MIN_DOCS)
+    batch = terms.cooccurrence(terms.tokenize_articles(a.where(F.col("published_at") >= ts_literal(SPLIT_FROM))), MIN_DOCS)
     return stored, batch
 
 

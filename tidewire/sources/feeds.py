@@ -21,7 +21,9 @@ RSS_SCHEMA = (
 )
 ATOM_SCHEMA = (
     "entry array<struct<title: struct<_VALUE: string, _type: string>, link: array<struct<_href: string, _VALUE: string>>, "
-    "summary: struct<_VALUE: string, _type: string>, content: struct<_VALUE: string, _type: string>>>"
+    "summary: struct<_VALUE: string, _type: string>, content: struct<_VALUE: string, _type: string>>>, "
+    "item array<struct<title: struct<_VALUE: string, _type: string>, link: array<struct<_href: string, _VALUE: string>>, "
+    "summary: struct<_VALUE: string, _type: string>, content: struct<_VALUE: string, _type: string>, description: string>>"
 )
 LISTING_SCHEMA = (
     "data struct<children: array<struct<data: struct<title: string, permalink: string, author: string, score: long, "
@@ -59,7 +61,7 @@ def _rss_items(max_per_feed: int, publisher: str) -> Column:
 def _atom_entries(max_per_feed: int, publisher: str) -> Column:
     """The first entries of an Atom body that have a title or a link, in the same shape."""
 
-    def entry(e: Column, i: Column) -> Column:
+    def entry(e: Column, i: Column, more: str | None = None) -> Column:
         link = F.get(e["link"], F.lit(0))
         href = F.trim(F.coalesce(F.nullif(link["_href"], F.lit("")), link["_VALUE"], F.lit("")))
         return F.struct(
@@ -68,11 +70,16 @@ def _atom_entries(max_per_feed: int, publisher: str) -> Column:
             F.coalesce(F.nullif(href, F.lit("")), F.lit(SELF_LINK)).alias("url"),
             F.lit(publisher or ATOM_PUBLISHER).alias("publisher"),
             F.lit("").alias("date_text"),
-            F.coalesce(e["summary"]["_VALUE"], e["content"]["_VALUE"], F.lit("")).alias("body"),
+            F.coalesce(e["summary"]["_VALUE"], e["content"]["_VALUE"], *([e[more]] if more else []), F.lit("")).alias("body"),
         )
 
-    entries = F.slice(F.from_xml("body", ATOM_SCHEMA, {"ignoreNamespace": "true"})["entry"], 1, max_per_feed)
-    return F.filter(F.transform(entries, entry), lambda e: (e["title"] != "") | (e["url"] != SELF_LINK))
+    # a body has entries or bare items (RSS 1.0 keeps them beside the channel); both in one pass, entries first
+    def listed(doc: Column) -> Column:
+        entries = F.transform(F.slice(doc["entry"], 1, max_per_feed), lambda e, i: entry(e, i))
+        items = F.transform(F.slice(doc["item"], 1, max_per_feed), lambda e, i: entry(e, i, "description"))
+        return F.slice(F.concat(F.coalesce(entries, F.array()), F.coalesce(items, F.array())), 1, max_per_feed)
+
+    return F.filter(let(F.from_xml("body", ATOM_SCHEMA, {"ignoreNamespace": "true"}), listed), lambda e: (e["title"] != "") | (e["url"] != SELF_LINK))
 
 
 def _rows(feed_docs: DataFrame, entries: Column) -> DataFrame:
@@ -187,7 +194,8 @@ def embedded_posts(pages: DataFrame, as_of, n: int = 10, host: str = "https://ww
     )
     i = F.col("pos")
     score = F.coalesce(F.get("likes", i).cast("long"), (i * 45 + 150).cast("long"))
-    text = F.regexp_replace("caption", r"\\n", " ")
+    # JSON escapes are read by the JSON parser; a caption that it can't read keeps them
+    text = F.regexp_replace(F.coalesce(F.get_json_object(F.concat(F.lit('{"c":"'), F.col("caption"), F.lit('"}')), "$.c"), F.col("caption")), r"\\n|\n", " ")
     at = ts_literal(as_of) - F.make_dt_interval(hours=i * 2 + 1)
     return parsed.select("page_id", "username", "codes", "likes", F.posexplode("captions").alias("pos", "caption")).select(
         "page_id",

@@ -4,19 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Below one input split (the default of spark.sql.files.maxPartitionBytes) a table is read by very few tasks.
-SPREAD_BELOW = 128 * 1024 * 1024
-SPREAD_ABOVE = 64 * 1024
 
-
-def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """A Parquet table; ``spread`` hands the rows of a small table to all cores before costly work on long texts.
-
-    A file with one row group is one task, whatever its texts cost. Tables of a split or more already come in many
-    tasks and are left alone: nothing is shuffled at scale. Filters and column pruning still reach the scan.
-    """
-    df = spark.read.parquet(path)
-    if not spread or df.isStreaming or not hasattr(df, "_jdf"):
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if SPREAD_ABOVE < size < SPREAD_BELOW else df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. How many tasks read it is up to the session (``spark.sql.files.maxPartitionBytes``, ``minPartitionNum``)."""
+    return spark.read.parquet(path)

@@ -40,9 +40,13 @@ SCAN_SCHEMA = (
 PREVIEW_CHARS = 120
 
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<[!?][^>]*>|</[^>]*>""", re.DOTALL
-)
+# Elements that can't hold one of their own kind: the next one ends them if they are innermost (an anchor: wherever it is open).
+SELF_ENDING = {"p", "li", "td", "th", "tr", "dt", "dd", "option"}
+# Open elements at most (deeper ones become siblings, as in browsers), quoted values of a tag at most, pages of an output batch.
+MAX_DEPTH, MAX_QUOTED, SLICE = 512, 256, 64
+
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_TO_END = re.compile(r"""[^>"']*""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _ORIGIN = re.compile(r"https?://[^/?#]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in SILENT_TAGS}
@@ -65,6 +69,9 @@ class _PageScanner:
         origin = _ORIGIN.match(url)
         self.origin = origin.group(0) if origin else ""
         self.open: list[dict] = []
+        self.counts: dict[str, int] = {}  # open elements by tag
+        self.listening: list[dict] = []  # open anchors and titles
+        self.filling: list[dict] = []  # open blocks whose preview is not full
         self.anchors: list[dict] = []
         self.groups: list[dict] = []
         self.blocks: list[dict] = []
@@ -75,29 +82,55 @@ class _PageScanner:
         self.canonical: str | None = None
 
     def feed(self, html: str) -> None:
+        """One pass; no place is looked at again, whatever quotes or tags are left open."""
         at, n = 0, len(html)
         while at < n:
-            m = _TOKEN.search(html, at)
-            end = m.start() if m else n
-            if end > at:
-                self._text(html[at:end])
-            if m is None:
-                return
-            at = m.end()
-            tag = m.group(2)
-            if tag is None:
+            begin = html.find("<", at)
+            while 0 <= begin < n - 1 and not (html[begin + 1] in "!?/" or html[begin + 1].isalpha()):
+                begin = html.find("<", begin + 1)
+            if begin < 0 or begin == n - 1:
+                return self._text(html[at:])
+            if begin > at:
+                self._text(html[at:begin])
+            if html.startswith("<!--", begin):
+                end = html.find("-->", begin + 4)
+                at = end + 3 if end >= 0 else n
+                continue
+            m = _NAME.match(html, begin + 1)
+            if not m or not m.group(2)[0].isascii():
+                end = html.find(">", begin + 1)
+                at = end + 1 if end >= 0 else n
                 continue
-            tag = tag.lower()
+            end = self._tag_end(html, m.end())
+            if end < 0:  # no tag ends from here on
+                return self._text(html[begin:])
+            at = end + 1
+            tag = m.group(2).lower()
             if m.group(1):
                 self._close(tag)
                 continue
-            self._start(tag, m.group(3))
+            self._start(tag, html[m.end() : end])
             if tag in SILENT_TAGS:
                 # the content of scripts and styles is not markup
                 raw = _RAW_END[tag].search(html, at)
                 at = raw.end() if raw else n
                 self._close(tag)
 
+    @staticmethod
+    def _tag_end(html: str, at: int) -> int:
+        """Place of the ``>`` outside quotes; of the first one at all, if a quote stays open or there are very many; -1 for none."""
+        start = at
+        for _ in range(MAX_QUOTED):
+            at = _TO_END.match(html, at).end()
+            if at == len(html):
+                break
+            if html[at] == ">":
+                return at
+            at = html.find(html[at], at + 1) + 1
+            if not at:
+                break
+        return html.find(">", start)
+
     def _start(self, tag: str, attribute_text: str) -> None:
         a = _attributes(attribute_text) if attribute_text else {}
         if tag == "meta":
@@ -107,11 +140,15 @@ class _PageScanner:
         elif tag == "link" and "canonical" in a.get("rel", "").split() and self.canonical is None:
             self.canonical = a.get("href", "").strip() or None
         elif tag == "img":
-            for e in self.open:
-                if "block" in e:
-                    e["block"]["img_count"] += 1
+            home = self.open[-1]["home"] if self.open else None
+            if home:
+                home["img_count"] += 1
         if tag in VOID_TAGS:
             return
+        if tag == "a" and self.counts.get("a"):
+            self._close("a")
+        elif (tag in SELF_ENDING and self.open and self.open[-1]["tag"] == tag) or len(self.open) >= MAX_DEPTH:
+            self._end()
         cls, ident = ".".join(a.get("class", "").split()), a.get("id", "")
         parent = self.open[-1] if self.open else {}
         e = {
@@ -121,6 +158,8 @@ class _PageScanner:
             "hidden": tag in ("noscript", "iframe") or parent.get("hidden", False),
             "noise": tag in NOISE_TAGS or parent.get("noise", False),
             "linked": tag == "a" or parent.get("linked", False),
+            "home": parent.get("home"),
+            "row": parent.get("row", -1),
         }
         if not e["noise"] and (cls or ident):
             low_id, low_cls = ident.lower(), cls.lower()
@@ -135,7 +174,7 @@ class _PageScanner:
                 "parent_class": parent.get("class", ""),
                 "in_chrome": e["chrome"],
                 "hidden": e["hidden"],
-                "row": next((x["row"] for x in reversed(self.open) if "row" in x), -1),
+                "row": e["row"],
                 "groups": [x["gid"] for x in self.open if "gid" in x],
             }
             self.anchors.append(e["anchor"])
@@ -151,17 +190,36 @@ class _PageScanner:
             self.groups.append({"gid": e["gid"], "tag": tag, "id": ident, "class": cls})
         if self.want_blocks and tag in BLOCK_TAGS and not e["noise"]:
             e["block"] = {
-                "pos": len(self.blocks), "tag": tag, "id": ident, "class": cls, "text_len": 0, "link_len": 0, "img_count": 0, "preview": "", "pieces": 0,
+                "pos": len(self.blocks), "tag": tag, "id": ident, "class": cls, "text_len": 0, "link_len": 0, "img_count": 0, "preview": "", "pieces": 0, "above": e["home"],
             }
             self.blocks.append(e["block"])
-        e["listens"] = "anchor" in e or "text" in e or "block" in e
+            self.filling.append(e["block"])
+            e["home"] = e["block"]
+        if "anchor" in e or "text" in e:
+            self.listening.append(e)
+        self.counts[tag] = self.counts.get(tag, 0) + 1
         self.open.append(e)
 
+    def _end(self) -> None:
+        """Close the innermost element; a block hands its sums to the block around it."""
+        e = self.open.pop()
+        self.counts[e["tag"]] -= 1
+        if self.listening and self.listening[-1] is e:
+            self.listening.pop()
+        block = e.get("block")
+        if block:
+            if self.filling and self.filling[-1] is block:
+                self.filling.pop()
+            above = block["above"]
+            if above:
+                for k in ("text_len", "link_len", "img_count", "pieces"):
+                    above[k] += block[k]
+
     def _close(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i]["tag"] == tag:
-                del self.open[i:]
-                return
+        if self.counts.get(tag):
+            while self.open[-1]["tag"] != tag:
+                self._end()
+            self._end()
 
     def _text(self, data: str) -> None:
         piece = data.strip()
@@ -169,22 +227,19 @@ class _PageScanner:
             return
         if "&" in piece:
             piece = unescape(piece)
-        noise, linked = self.open[-1]["noise"], self.open[-1]["linked"]
-        for e in self.open:
-            if not e["listens"]:
-                continue
-            if "text" in e:
-                e["text"].append(piece)
-            elif "anchor" in e:
-                e["anchor"]["text"].append(piece)
-            elif not noise:
-                b = e["block"]
-                b["text_len"] += len(piece) + (1 if b["pieces"] else 0)
-                b["pieces"] += 1
-                if linked:
-                    b["link_len"] += len(piece)
-                if len(b["preview"]) < PREVIEW_CHARS:
-                    b["preview"] = (b["preview"] + " " + piece).strip()[:PREVIEW_CHARS]
+        top = self.open[-1]
+        for e in self.listening:
+            (e["text"] if "text" in e else e["anchor"]["text"]).append(piece)
+        home = top["home"]
+        if home and not top["noise"]:
+            home["text_len"] += len(piece)
+            home["pieces"] += 1
+            if top["linked"]:
+                home["link_len"] += len(piece)
+            # blocks whose preview is not full; each takes a bounded number of pieces
+            for b in self.filling:
+                b["preview"] = (b["preview"] + " " + piece).strip()[:PREVIEW_CHARS]
+            self.filling = [b for b in self.filling if len(b["preview"]) < PREVIEW_CHARS]
 
     def _absolute(self, href: str | None) -> str | None:
         if href is None:
@@ -198,6 +253,10 @@ class _PageScanner:
             return None
 
     def row(self, page_id) -> dict:
+        while self.open:
+            self._end()
+        for b in self.blocks:
+            b["text_len"] += max(0, b["pieces"] - 1)  # a space between pieces
         seen = set()
         for a in self.anchors:
             a["text"] = " ".join(" ".join(a["text"]).split())
@@ -221,12 +280,14 @@ class _PageScanner:
 def _scan_batches(batches: Iterator[pa.RecordBatch], anchors: bool, blocks: bool) -> Iterator[pa.RecordBatch]:
     schema = _arrow_schema()
     for batch in batches:
-        cols = batch.to_pydict()
         rows = []
-        for page_id, url, html in zip(cols["page_id"], cols["url"], cols["html"]):
+        for page_id, url, html in zip(*((x.as_py() for x in batch.column(i)) for i in range(3))):
             scanner = _PageScanner(url or "", anchors, blocks)
             scanner.feed(html or "")
             rows.append(scanner.row(page_id))
+            if len(rows) == SLICE:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows = []
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 

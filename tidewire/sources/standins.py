@@ -21,11 +21,10 @@ EVENT_TYPES = {"view": "seed_scan", "click": "article_ingest", "purchase": "imag
 
 
 # Tables of long texts, where the work per row is large.
-SPREAD_TABLES = ("documents", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", spread=name in SPREAD_TABLES)
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _choose(key, *values):
