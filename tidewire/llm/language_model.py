@@ -216,7 +216,8 @@ def score(docs: DataFrame, training: DataFrame, label: str = "language-model") -
                 strange = np.add.reduceat((~head).astype(np.int64), starts)
                 ends = np.concatenate([[0], np.cumsum(strange)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tail, pa.binary()))
-                yield batch_of(_SCORED, part.column(0), part.column(1), lengths, lengths - strange, np.add.reduceat(np.where(head, base[number], 0), starts), np.add.reduceat(s, starts), lists)
+                met = np.add.reduceat((head & (lexicon.count[number] > 0)).astype(np.int64), starts)
+                yield batch_of(_SCORED, part.column(0), part.column(1), lengths, met, np.add.reduceat(np.where(head, base[number], 0), starts), np.add.reduceat(s, starts), lists)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = stored(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, tail array<binary>"), f"{label}-scored")

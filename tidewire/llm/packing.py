@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import bisect
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -19,39 +20,71 @@ CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Parts of each length for the ranking, so that one very common length is not one task.
 PARTS = 64
 #: Words remembered by a task's tokenizer.
-MEMORY = 400_000
+MEMORY = 1_000_000
 
 #: White space of Python that the tokenizer doesn't take for white space, and marks of its special tokens: such texts are encoded whole.
-_WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
+_WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: The tokenizer's pattern (a fixed value), and a word that is one token.
+_PARTS, _MARK = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), "~"
+
+
+def _lower(text: str) -> str:
+    """A Latin-1 text in lower case, as the tokenizer makes it anyway, so that fewer different words occur; others unchanged."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit numbers; those of each word between white space are worked out once.
 
-    The tokenizer drops white space and never joins letters across it, so that a text's ids are those of its words, one after the other.
+    The tokenizer drops white space and never joins letters across it, so that a text's ids are those of its words, one after the other. A word's ids
+    in turn are those of the parts into which the tokenizer's own pattern splits the lower-cased word, so that few parts are encoded in all. Words with letters
+    beyond the extended Latin ones, where pattern libraries may differ, are encoded as they are.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if _WHOLE.search(text):
-            return self._ids([text])[0]
-        words = text.split()
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
+
+    def _learn(self, words: set[str]) -> None:
+        split = {w: _PARTS.findall(w.lower()) for w in words if w.isascii() or max(w) < "\u0250"}
+        new = {p for parts in split.values() for p in parts} - self.parts.keys()
+        plain = [p for p in new if _MARK not in p] if len(self.mark) == 1 else []
+        if plain:  # all in one text, with a mark between them that none of them holds
+            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(plain), add_special_tokens=False).ids, "<u4")
+            at = np.nonzero(ids == self.mark[0])[0].tolist()
+            raw = ids.tobytes()
+            self.parts.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(plain, [0, *(k + 1 for k in at)], [*at, len(ids)], strict=True))
+        rest = list(new - self.parts.keys())
+        self.parts.update(zip(rest, self._ids(rest), strict=True))
+        parts = self.parts
+        self.known.update((w, b"".join([parts[p] for p in found])) for w, found in split.items())
+        others = [w for w in words if w not in split]
+        self.known.update(zip(others, self._ids(others), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; a few hundred texts at a time keep the memory bounded."""
+        words = [None if any(x in t for x in _WHOLE) else _lower(t).split() for t in texts]
         known = self.known
-        new = [w for w in set(words) if w not in known]
+        new = {w for ws in words if ws for w in ws if w not in known}
+        if len(known) + len(new) > MEMORY:
+            known.clear()
+            self.parts.clear()
+            new = {w for ws in words if ws for w in ws}
         if new:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, self._ids(new), strict=True))
-        return b"".join([known[w] for w in words])
+            self._learn(new)
+        return [self._ids([t])[0] if ws is None else b"".join([known[w] for w in ws]) for t, ws in zip(texts, words, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}  # of this worker process: its words serve its later tasks, too
@@ -78,11 +111,13 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
         end, step = np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    piece = ids[at : at + step]
-                    rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), *([np.frombuffer(piece, "<u4").tolist()] if with_ids else [])))
+            for begin in range(0, b.num_rows, 256):
+                part = b.slice(begin, 256)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        piece = ids[at : at + step]
+                        rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), *([np.frombuffer(piece, "<u4").tolist()] if with_ids else [])))
             yield batch_of(schema, *(zip(*rows, strict=True) if rows else [[]] * len(schema)))
 
     out = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
