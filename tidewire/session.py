@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,14 +34,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return b.getOrCreate()
 
 
+_LOCAL: list[str] = []  # the folder of this process, if it has made one
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir`` that every executor can reach.
 
-    The cluster names that setting. Only a local master may fall back to a folder of this machine.
+    The cluster names that setting. Only a local master may do without: then one folder of this machine serves the process and goes with it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tidewire-")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="tidewire-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        base = _LOCAL[0]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
