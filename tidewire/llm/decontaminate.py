@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import map_arrow
+
 #: Words of a passage and the step to the next one: any run of STRIDE words lies in some passage.
 PASSAGE, STRIDE = 96, 48
 #: Share of an item's score against itself from which it is retrieved, and the shares of its question's and answer's word runs that must then be found.
@@ -180,7 +182,7 @@ def contamination(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE,
                 rows = [(i.as_py(), index.ids[f[0]], *f[1:], f[2] >= question and f[3] >= answer) for i, t in zip(b.column(0), b.column(1), strict=True) for f in search(index, t.as_py(), retrieve)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names=names)
 
-        found = base.mapInArrow(run, schema)
+        found = map_arrow(base, run, schema)
         out = found if n == 0 else out.unionByName(found)
     return out
 
@@ -198,5 +200,5 @@ def clean(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, questio
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([c.filter(mask) for c in b.columns[:-1]], names=columns)
 
-        docs = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text).cast("string").alias("_text_of_search")).mapInArrow(run, docs.schema)
+        docs = map_arrow(docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text).cast("string").alias("_text_of_search")), run, docs.schema)
     return docs

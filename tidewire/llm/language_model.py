@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import batch_of, stored
+from tidewire.llm.common import batch_of, map_arrow, stored
 
 #: Frequent words that each task looks up by itself; the counts of all other words reach their tokens by a join.
 HEAD = 1 << 18
+#: Different words whose counts a task holds before it hands them on.
+WORDS_HELD = 300_000
 #: Output classes: words that are a class of their own (the end is one), and classes of spellings for all other words.
 OWN, SPELLINGS = 1024, 1024
 #: Contexts: classes of the word before (frequent words, spellings) and of the one before that.
@@ -67,15 +69,23 @@ class Lexicon:
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c, class, rank key) over all training texts: exact counts of every word, and of the end as the empty word."""
 
+    def rows(found: Counter) -> Iterator[pa.RecordBatch]:
+        words, counts = list(found.keys()), list(found.values())
+        for at in range(0, len(words), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.binary()), pa.array(counts[at : at + 50_000], pa.int64())], names=["word", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
         for b in batches:
-            found: Counter = Counter()
             for t in b.column(0):
                 found.update(tokens(t.as_py()))
-            found[b""] = b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
+            found[b""] += b.num_rows
+            if len(found) > WORDS_HELD:
+                yield from rows(found)
+                found = Counter()
+        yield from rows(found)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def build_lexicon(words: DataFrame) -> Lexicon:
@@ -110,7 +120,7 @@ def count_contexts(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
         for at in range(0, len(cells), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(cells[at : at + 100_000], pa.int32()), pa.array(sums[cells[at : at + 100_000]], pa.int64())], names=["cell", "n"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     counts = np.zeros(height * width)
     got = found.toArrow()
     counts[got["cell"].to_numpy()] = got["n"].to_numpy()
@@ -168,7 +178,7 @@ def train(counts: np.ndarray, seed: int = 1) -> np.ndarray:
     return out
 
 
-_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.binary()))])
+_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))])
 
 
 def score(docs: DataFrame, training: DataFrame, label: str = "language-model") -> DataFrame:
@@ -214,15 +224,21 @@ def score(docs: DataFrame, training: DataFrame, label: str = "language-model") -
                 starts = np.cumsum(lengths) - lengths
                 s = log_p[context, out].astype(np.float64) + np.where(head, inside[number], 0)
                 strange = np.add.reduceat((~head).astype(np.int64), starts)
-                ends = np.concatenate([[0], np.cumsum(strange)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tail, pa.binary()))
+                ends = np.concatenate([[0], np.cumsum(strange)]).tolist()
+                words, times, cuts = [], [], [0]  # distinct words of each text and how often they occur
+                for a, e in zip(ends, ends[1:]):
+                    found = Counter(tail[a:e])
+                    words += found.keys()
+                    times += found.values()
+                    cuts.append(len(words))
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "k"]))
                 met = np.add.reduceat((head & (lexicon.count[number] > 0)).astype(np.int64), starts)
                 yield batch_of(_SCORED, part.column(0), part.column(1), lengths, met, np.add.reduceat(np.where(head, base[number], 0), starts), np.add.reduceat(s, starts), lists)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = stored(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, tail array<binary>"), f"{label}-scored")
+    scored = stored(map_arrow(rows, run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, tail array<struct<word:binary,k:bigint>>"), f"{label}-scored")
     per_class = F.broadcast(docs.sparkSession.createDataFrame([(i, float(mass[i]), float(unseen[i])) for i in range(OWN, OWN + SPELLINGS)], "class int, _mass double, _unseen double"))
-    tail = scored.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
+    tail = scored.select("row", F.inline("tail"))
     met = tail.join(words, "word", "left").withColumn("class", shape.cast("int")).join(per_class, "class")
     c = F.col("c")
     share = F.when(c.isNull(), F.log10("_unseen")).otherwise(F.log10((1 - F.col("_unseen")) * c / F.col("_mass")))

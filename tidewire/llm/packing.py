@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidewire.llm.common import batch_of, stored
+from tidewire.llm.common import batch_of, map_arrow, stored
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Parts of each length for the ranking, so that one very common length is not one task.
 PARTS = 64
-#: Words remembered by a task's tokenizer.
-MEMORY = 1_000_000
+#: Words, and parts of words, that a worker's encoder remembers: together about 150 MB at most.
+WORDS, PART_WORDS = 300_000, 600_000
 
 #: White space of Python that the tokenizer doesn't take for white space, and marks of its special tokens: such texts are encoded whole.
 _WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
@@ -78,16 +78,24 @@ class Encoder:
         words = [None if any(x in t for x in _WHOLE) else _lower(t).split() for t in texts]
         known = self.known
         new = {w for ws in words if ws for w in ws if w not in known}
-        if len(known) + len(new) > MEMORY:
-            known.clear()
+        if len(self.parts) > PART_WORDS:
             self.parts.clear()
+        if len(known) + len(new) > WORDS:
+            known.clear()
             new = {w for ws in words if ws for w in ws}
         if new:
             self._learn(new)
         return [self._ids([t])[0] if ws is None else b"".join([known[w] for w in ws]) for t, ws in zip(texts, words, strict=True)]
 
 
-_ENCODERS: dict[str, Encoder] = {}  # of this worker process: its words serve its later tasks, too
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker process: its words serve its later tasks, too."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -105,9 +113,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
             import public_tokenizers
 
             path = public_tokenizers.path(VOCABULARY)
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
-        encoder = _ENCODERS[path]
+        encoder = encoder_of(path)
         end, step = np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for b in batches:
             rows = []
@@ -121,7 +127,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
             yield batch_of(schema, *(zip(*rows, strict=True) if rows else [[]] * len(schema)))
 
     out = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, out)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, out)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -231,4 +237,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, parts: int = PARTS, label:
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in columns], pa.array(s[:, 3] + j // s[:, 4]), pa.array(s[:, 5] + j % s[:, 4] * length)], names=[*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return map_arrow(ranked, run, f"{schema}, sequence_id long, offset long")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import batch_of, stored
+from tidewire.llm.common import batch_of, map_arrow, stored
 from tidewire.llm.components import components
 
 #: Fingerprints that own a subtree of the top of the trie, about; tasks grow in number, not in size.
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, width: int = 4, sketch_width: int | None = Non
                 sketches.append(sketch(shingle_hashes(words, sketch_width)) if sketch_width else None)
             yield batch_of(_PRINTS, b.column(0), prints, sketches)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, sketch binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long, sketch binary")
 
 
 class _Classes:
@@ -229,7 +229,10 @@ def links(nodes: DataFrame, distance: int, segments: int, least: float | None =
         bits = group["bits"].to_numpy().view(np.uint64)
         order = np.argsort(bits, kind="stable")
         node = group["node"].to_numpy()[order]
-        sketches = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, SAMPLES)[order] if least is not None else None
+        sketches = None
+        if least is not None:  # the bytes of the sketches, without an object for each
+            flat = group["sketch"].cast(pa.binary(SAMPLES)).combine_chunks()
+            sketches = np.frombuffer(flat.buffers()[1], np.uint8)[flat.offset * SAMPLES : (flat.offset + len(flat)) * SAMPLES].reshape(-1, SAMPLES)[order]
         found = trie_links(bits[order], group["owned"].to_numpy(zero_copy_only=False)[order], budgets, sketches, least or 0.0)
         a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table({"src": node[a], "dst": node[b]})

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import map_arrow
+
 #: Labelled rows that are learned from, at most (in the order of a hash of their id); the examples of the index are among them.
 EXAMPLES = 20_000
 #: Terms of the index, at most: those whose presence tells most about the label: a significance that chance doesn't reach,
@@ -207,7 +209,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_examples: int = EXAMPLES, max_
             both = sorted(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(both), pa.array([seen[1][t] for t in both], pa.int64()), pa.array([seen[0][t] for t in both], pa.int64())], ["term", "yes", "no"])
 
-    counts = rows.select("_toxic", "_text").mapInArrow(words, "term string, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    counts = map_arrow(rows.select("_toxic", "_text"), words, "term string, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     total = counts.where("term = ''").collect()
     n_yes, n_no = (total[0]["yes"], total[0]["no"]) if total else (0, 0)
     n = n_yes + n_no
@@ -227,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_examples: int = EXAMPLES, max_
             held = [sorted(vocabulary.counts(text.as_py()).items()) for text in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[t for t, _ in h] for h in held], pa.list_(pa.string())), pa.array([[n for _, n in h] for h in held], pa.list_(pa.int64()))], ["id", "toxic", "terms", "counts"])
 
-    examples = rows.select(F.col("_id").cast("long").alias("id"), F.col("_toxic").alias("toxic"), "_text").mapInArrow(picked, "id long, toxic int, terms array<string>, counts array<long>")
+    examples = map_arrow(rows.select(F.col("_id").cast("long").alias("id"), F.col("_toxic").alias("toxic"), "_text"), picked, "id long, toxic int, terms array<string>, counts array<long>")
     got = sorted((r["id"], r["toxic"], r["terms"], r["counts"]) for r in examples.toLocalIterator())
     return build_index([(i, Counter(dict(zip(t, c, strict=True))), int(y == 1)) for i, y, t, c in got], idf)
 
@@ -258,4 +260,4 @@ def score(docs: DataFrame, index: Index, columns: list[str] | None = None, text:
             else:
                 yield pa.RecordBatch.from_arrays([*kept, pa.array([s for s, *_ in found], pa.float64()), pa.array([e for _, e, _ in found], pa.list_(pa.int64())), pa.array([m for *_, m in found], pa.list_(pa.string()))], names=[*columns, "score", "evidence", "matched"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text).cast("string").alias("_text_of_score")).mapInArrow(run, out)
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text).cast("string").alias("_text_of_score")), run, out)
