@@ -42,6 +42,14 @@ def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, key, "left_anti")
 
 
+def about(df: DataFrame, key: str, n: int) -> DataFrame:
+    """All rows if there are ``n`` at most, else about ``n`` of them: those whose key's hash is small. Counted, not sorted, so that no task or driver holds more than its share."""
+    total = df.count()
+    if total <= n:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1 << 40)) < F.lit(int((1 << 40) * n / total)))
+
+
 #: Rows of an Arrow batch: texts are long, and a task holds some batches at a time, on both sides of the pipe to Python.
 BATCH_ROWS = 2_000
 

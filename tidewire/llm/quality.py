@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidewire.llm.common import BLANKS
+from tidewire.llm.common import BLANKS, about
 
 #: Cutoffs of each rule, fixed before any label is seen (a condition of the tests below), loosest last.
 GRID = {
@@ -15,7 +15,7 @@ GRID = {
     "dup_line_share": [0.02 * i for i in range(1, 46)],
     "repeat_share": [0.01 * i for i in range(1, 46)],
 }
-#: Labelled rows that take part in choosing the cutoffs (in the order of a hash of their id).
+#: Labelled rows that take part in choosing the cutoffs, about (those whose id has a small hash).
 HOLDOUT_ROWS = 50_000
 #: Limit on the share of good documents that all rules together may reject in a stratum, and the chance that any limit is broken.
 RISK, DELTA = 0.05, 0.05
@@ -112,7 +112,7 @@ def choose_cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", gr
     """
     grid = GRID if grid is None else grid
     held = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_good"))
-    held = held.orderBy(F.xxhash64("_id"), "_id").limit(holdout_rows)
+    held = about(held, "_id", holdout_rows)
     base = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col("text").alias("text"))
     rows = text_features(base.join(F.broadcast(held), "_id"), keep=["stratum", "_good"])
     values = rule_values()

@@ -22,7 +22,7 @@ ROW_BYTES = 8
 def assign(docs: DataFrame, shards: int = 24, ranges: int = RANGES, sample: int = SAMPLE, label: str = "sharding") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, range, part): near equal bytes (law `bytes`), slots gapless from 0 in each shard.
 
-    1. The key is a hash of the text, so that equal texts stay together. Keys are sampled by size (a key's chance grows with its bytes), shards x ranges x sample at most,
+    1. The key is a hash of the text, so that equal texts stay together. Keys are sampled by size (a key's chance grows with its bytes), about shards x ranges x sample of them,
     and their quantiles are the boundaries of shards x ranges ranges of about equal bytes. 2. The bytes of each range are counted exactly. An overfull range (more than OVERFULL times its due: a
     large group of copies) is subdivided by a hash of the id. 3. Ranges and parts go, by falling size, each to the shard with the fewest bytes so far. 4. Slots are
     ranks within a part, offset by the rows of the shard's earlier parts, so that no task orders a whole shard.
@@ -31,13 +31,13 @@ def assign(docs: DataFrame, shards: int = 24, ranges: int = RANGES, sample: int
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")), label)
-    # exponential waiting times: the smallest are a sample in which a row's chance is proportional to its size
+    total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    # exponential waiting times: those below a bound are a sample in which a row's chance is proportional to its size, of about the number wanted
     draw = (F.pmod(F.xxhash64("doc_id", "key", F.lit(1)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    drawn = keyed.select("key", (-F.log(draw) / F.col("size")).alias("wait")).orderBy("wait", "key").limit(shards * ranges * sample)
+    drawn = keyed.where(-F.log(draw) / F.col("size") <= shards * ranges * sample / max(1, total)).select("key")
     keys = sorted(r["key"] for r in drawn.collect())
     cuts = sorted({keys[k * len(keys) // (shards * ranges)] for k in range(1, shards * ranges)}) if keys else []
     number = _range_of(keyed, cuts)
-    total = number.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     due = max(1, -(-total // (shards * ranges)))
     sizes = number.groupBy("range").agg(F.sum("size").alias("bytes")).collect()  # shards x ranges rows at most
     parts = {r["range"]: -(-r["bytes"] // due) for r in sizes if r["bytes"] > OVERFULL * due}

@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import map_arrow
+from tidewire.llm.common import about, map_arrow
 
-#: Labelled rows that are learned from, at most (in the order of a hash of their id); the examples of the index are among them.
+#: Labelled rows that are learned from, about (those whose id has a small hash); the examples of the index are among them.
 EXAMPLES = 20_000
 #: Terms of the index, at most: those whose presence tells most about the label: a significance that chance doesn't reach,
 #: and a share of toxic documents among those with the term of so many times the share among all.
@@ -197,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_examples: int = EXAMPLES, max_
     Null ids, null labels and labels without a document are left out; of repeated labels of an id the largest counts, of repeated documents the first text.
     """
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
-    chosen = F.broadcast(labels.orderBy(F.xxhash64("_id"), "_id").limit(max_examples))
+    chosen = F.broadcast(about(labels, "_id", max_examples))
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(chosen, "_id").groupBy("_id").agg(F.min("_toxic").alias("_toxic"), F.min("_text").alias("_text"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
