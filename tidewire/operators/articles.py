@@ -49,6 +49,14 @@ def paginate(rows: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
     return rows.orderBy(F.desc("id")).offset((page - 1) * size).limit(size)
 
 
+def page_before(rows: DataFrame, before_id: int | None = None, size: int = 20) -> DataFrame:
+    """The page after the row ``before_id``, newest id first (T1): a filter and a top list, so that a deep page holds no more rows than the first."""
+    if not 1 <= size <= MAX_PAGE:
+        raise ValueError(f"page size must be 1..{MAX_PAGE}")
+    rows = rows if before_id is None else rows.where(F.col("id") < before_id)
+    return rows.orderBy(F.desc("id")).limit(size)
+
+
 def total(rows: DataFrame) -> DataFrame:
     """The row count that goes with a page."""
     return rows.agg(F.count("*").alias("total"))

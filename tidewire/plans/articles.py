@@ -49,6 +49,11 @@ def _(spark, d):
     return ar.paginate(standins.articles(spark, d), 3, 50).select("id", "title")
 
 
+@query("T1_page_before", with_views("articles") + "SELECT id, title FROM articles WHERE id < 150 ORDER BY id DESC LIMIT 50")
+def _(spark, d):
+    return ar.page_before(standins.articles(spark, d), 150, 50).select("id", "title")
+
+
 @query("F2_search_page", with_views("articles") + "SELECT id, title FROM articles WHERE title ILIKE '%Tion_%' OR content ILIKE '%Tion_%' ORDER BY id DESC LIMIT 20")
 def _(spark, d):
     return ar.paginate(ar.search_articles(standins.articles(spark, d), "Tion_")).select("id", "title")
@@ -360,14 +365,14 @@ def _(spark, d):
 
 COMMENTS_SQL = with_views("comments", "articles") + """, stored AS (SELECT article_id, comment_ext_id, author, content, score, depth FROM comments
   QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY score DESC, published_at DESC, comment_ext_id) <= 3),
-lines AS (SELECT id, unnest(string_split(content, chr(10))[1:2]) AS line, generate_subscripts(string_split(content, chr(10))[1:2], 1) AS pos FROM articles
+lines AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM articles
   WHERE id NOT IN (SELECT article_id FROM comments))
 """
 
 
 def _with_listed_comments(spark, d):
-    """Articles whose JSON lists their first two lines as comments; the even positions carry their own id."""
-    lines = F.slice(F.split("content", "\n"), 1, 2)
+    """Articles whose JSON lists all lines of their text as comments; the first carries its own id."""
+    lines = F.split("content", "\n")
     shaped = F.transform(lines, lambda l, i: F.struct(F.when(i == 0, F.lit("own")).alias("comment_ext_id"), l.alias("content"), (i + 5).alias("score")))
     return standins.articles(spark, d).withColumn("metadata", F.to_json(F.struct(shaped.alias("top_comments"))))
 
@@ -410,6 +415,17 @@ def _(spark, d):
 _CAP = "chr(10) || chr(10) || '[🖼️ 첨부 이미지 #' || {o} || ' 내용: ' || {t} || ']' || chr(10) || chr(10)"
 
 
+@query(
+    "K3_merge_comment_patch",
+    with_views("comments", "articles")
+    + """SELECT a.id, CAST(count(*) AS VARCHAR) AS comment_count, '2026-01-02T12:00:00' AS crawled_at FROM articles a JOIN comments c ON c.article_id = a.id GROUP BY a.id""",
+)
+def _(spark, d):
+    patches = ar.comment_summary(standins.comments(spark, d), ts_literal(standins.ARTICLES_AS_OF)).select(F.col("article_id").alias("id"), "patch")
+    merged = standins.articles(spark, d).select("id", "metadata").join(patches, "id").select("id", sinks.merge_json(F.col("metadata"), F.col("patch")).alias("m"))
+    return merged.select("id", F.get_json_object("m", "$.comment_count").alias("comment_count"), F.get_json_object("m", "$.last_comment_crawled_at").alias("crawled_at"))
+
+
 @query(
     "M17_inject_captions",
     with_views("articles", "article_images")

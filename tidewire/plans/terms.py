@@ -9,6 +9,7 @@ from tidewire.functions.text import STOPWORDS, tokenize
 from tidewire.operators import sinks, terms
 from tidewire.plans.registry import listed, query, stamp
 from tidewire.plans.views import with_views
+from tidewire.session import scratch_dir
 from tidewire.sources import articles as article_scans
 from tidewire.sources import standins
 
@@ -166,6 +167,19 @@ def _(spark, d):
     return custom.select(F.col("doc_id").alias("id"), listed("tokens").alias("tokens"))
 
 
+@query(
+    "K5_append_term_rows",
+    TOKENS_SQL
+    + f"""SELECT source_id, term, count(*) AS frequency, count(DISTINCT doc_id) AS doc_count, strftime(TIMESTAMP '{standins.ARTICLES_AS_OF}', '%Y-%m-%d') AS dt FROM toks GROUP BY 1, 2
+QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY count(*) DESC, term) <= 100""",
+)
+def _(spark, d):
+    """The cycle of the term counter: tokens, the best terms of each source, appended by day and read back."""
+    path = scratch_dir(spark, "term-rows")
+    sinks.append_term_freq(terms.term_rows(_tokens(spark, d), ts_literal(standins.ARTICLES_AS_OF)), path)
+    return spark.read.parquet(path).select("source_id", "term", "frequency", "doc_count", F.col("dt").cast("string").alias("dt"))
+
+
 @query("X8_full_text", with_views("articles") + "SELECT id, title || ' ' || content AS full_text FROM articles")
 def _(spark, d):
     return standins.articles(spark, d).select("id", full_text("title", "content").alias("full_text"))
