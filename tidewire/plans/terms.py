@@ -16,6 +16,8 @@ from tidewire.sources import standins
 CENTER = "the"
 # The graph has every pair of terms that at least so many documents share, at every scale; nothing else bounds the vocabulary.
 MIN_DOCS = 100
+# The least weight of an edge of the reference's graph, which the queries named ..._whole are on.
+WHOLE = 2
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 TOKENS_SQL = with_views("articles") + rf""",
 raw_tokens AS (SELECT id AS doc_id, source_id, published_at, unnest(regexp_extract_all(title || ' ' || content, '[\p{{L}}\p{{N}}]{{2,}}')) AS term
@@ -40,8 +42,36 @@ def _tokens(spark, d):
     return terms.tokenize_articles(standins.articles(spark, d))
 
 
-def _edges(spark, d):
-    return terms.cooccurrence(_tokens(spark, d), MIN_DOCS)
+def _edges(spark, d, min_docs):
+    return terms.cooccurrence(_tokens(spark, d), min_docs)
+
+
+def graph_query(name, sql, pairs=None):
+    """A query on the graph, registered twice: on the pairs that MIN_DOCS documents share and, as ..._whole, on all pairs of the reference's graph.
+
+    ``pairs``: the column of pair counts of an edge table. The whole table is too large to compare by rows; it is summed by that column, over all edges.
+    """
+
+    def register(fn):
+        query(name, sql)(lambda spark, d: fn(spark, d, MIN_DOCS))
+        whole = sql.replace(">= 100", f">= {WHOLE}")
+        if pairs is None:
+            query(f"{name}_whole", whole)(lambda spark, d: fn(spark, d, WHOLE))
+            return fn
+        sums = f"""SELECT {pairs} AS pairs, count(*) AS edges, CAST(sum(3 * length(src) + length(dst)) AS BIGINT) AS letters,
+  CAST(sum(CAST(round(weight * 1000000) AS BIGINT)) AS BIGINT) AS millionths FROM ({whole}) q GROUP BY 1"""
+
+        def summed(spark, d):
+            return fn(spark, d, WHOLE).groupBy(F.col(pairs).alias("pairs")).agg(
+                F.count("*").alias("edges"),
+                F.sum(3 * F.length("src") + F.length("dst")).alias("letters"),
+                F.sum(F.round(F.col("weight") * 1000000).cast("long")).alias("millionths"),
+            )
+
+        query(f"{name}_whole", sums)(summed)
+        return fn
+
+    return register
 
 
 @query("A1_term_frequency", TOKENS_SQL + "SELECT term, frequency, doc_count FROM vocab")
@@ -60,9 +90,9 @@ def _(spark, d):
     return terms.term_frequency_by_source(_tokens(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("A2_cooccurrence", TOKENS_SQL + "SELECT src, dst, weight FROM edges")
-def _(spark, d):
-    return _edges(spark, d)
+@graph_query("A2_cooccurrence", TOKENS_SQL + "SELECT src, dst, weight FROM edges", "weight")
+def _(spark, d, min_docs):
+    return _edges(spark, d, min_docs)
 
 
 @query(
@@ -77,28 +107,30 @@ def _(spark, d):
     return terms.cooccurrence(titles)
 
 
-@query(
+@graph_query(
     "A3_cooccurrence_weight",
     TOKENS_SQL
     + """SELECT src, dst, weight AS co_count,
   CAST(round(CAST(weight / sqrt(CAST(i.doc_count AS DOUBLE) * j.doc_count) AS DECIMAL(38,10)), 6) AS DOUBLE) AS weight
 FROM edges JOIN tf i ON i.term = src JOIN tf j ON j.term = dst""",
+    "co_count",
 )
-def _(spark, d):
+def _(spark, d, min_docs):
     tokens = _tokens(spark, d)
-    return terms.cooccurrence_weight(terms.cooccurrence(tokens, MIN_DOCS), terms.document_frequency(tokens))
+    return terms.cooccurrence_weight(terms.cooccurrence(tokens, min_docs), terms.document_frequency(tokens))
 
 
-@query(
+@graph_query(
     "A3b_jaccard_weight",
     TOKENS_SQL
     + """SELECT src, dst, weight AS co_count,
   CAST(round(CAST(CAST(weight AS DOUBLE) / (i.doc_count + j.doc_count - weight) AS DECIMAL(38,10)), 6) AS DOUBLE) AS weight
 FROM edges JOIN tf i ON i.term = src JOIN tf j ON j.term = dst""",
+    "co_count",
 )
-def _(spark, d):
+def _(spark, d, min_docs):
     tokens = _tokens(spark, d)
-    return terms.jaccard_weight(terms.cooccurrence(tokens, MIN_DOCS), terms.document_frequency(tokens))
+    return terms.jaccard_weight(terms.cooccurrence(tokens, min_docs), terms.document_frequency(tokens))
 
 
 @query("A2_cooccurrence_within_top_terms", WITHIN_SQL + "SELECT src, dst, weight FROM within_edges")
@@ -107,9 +139,9 @@ def _(spark, d):
     return terms.cooccurrence_within(tokens, terms.term_frequency(tokens))
 
 
-@query("J10_cooccurrence_pairs", TOKENS_SQL + "SELECT src, dst, weight FROM edges")
-def _(spark, d):
-    return _edges(spark, d)
+@graph_query("J10_cooccurrence_pairs", TOKENS_SQL + "SELECT src, dst, weight FROM edges", "weight")
+def _(spark, d, min_docs):
+    return _edges(spark, d, min_docs)
 
 
 def _term_rows(spark, d):
@@ -185,20 +217,20 @@ def _(spark, d):
     return standins.articles(spark, d).select("id", full_text("title", "content").alias("full_text"))
 
 
-@query("T3_top_edges", TOKENS_SQL + "SELECT src, dst, weight FROM edges ORDER BY weight DESC, src, dst LIMIT 30")
-def _(spark, d):
-    return terms.top_edges(_edges(spark, d))
+@graph_query("T3_top_edges", TOKENS_SQL + "SELECT src, dst, weight FROM edges ORDER BY weight DESC, src, dst LIMIT 30")
+def _(spark, d, min_docs):
+    return terms.top_edges(_edges(spark, d, min_docs))
 
 
-@query(
+@graph_query(
     "J8_neighbors",
     BOTH_SQL + f"SELECT src AS source, dst AS target, weight FROM links WHERE src = '{CENTER}' ORDER BY weight DESC, dst LIMIT 30",
 )
-def _(spark, d):
-    return terms.neighbors(_edges(spark, d), CENTER)
+def _(spark, d, min_docs):
+    return terms.neighbors(_edges(spark, d, min_docs), CENTER)
 
 
-@query(
+@graph_query(
     "U4_graph_nodes",
     TOKENS_SQL
     + """, top AS (SELECT src, dst, weight FROM edges ORDER BY weight DESC, src, dst LIMIT 30),
@@ -207,16 +239,16 @@ seen AS (SELECT src AS name, 0 AS role, row_number() OVER (ORDER BY weight DESC,
 SELECT name, CAST(arg_min(role, pos) + 1 AS INTEGER) AS "group", CASE WHEN arg_min(role, pos) = 0 THEN 15.0::DOUBLE ELSE 10.0::DOUBLE END AS size
 FROM seen GROUP BY name""",
 )
-def _(spark, d):
-    return terms.graph_nodes(terms.top_edges(_edges(spark, d)))
+def _(spark, d, min_docs):
+    return terms.graph_nodes(terms.top_edges(_edges(spark, d, min_docs)))
 
 
-@query("M10_topic_expand", EXPAND_SQL + "SELECT term, weight, 1 AS level, 15.0::DOUBLE + weight * 2 AS size FROM expanded")
-def _(spark, d):
-    return terms.topic_expand(_edges(spark, d), CENTER)
+@graph_query("M10_topic_expand", EXPAND_SQL + "SELECT term, weight, 1 AS level, 15.0::DOUBLE + weight * 2 AS size FROM expanded")
+def _(spark, d, min_docs):
+    return terms.topic_expand(_edges(spark, d, min_docs), CENTER)
 
 
-@query(
+@graph_query(
     "M10_topic_expand_two_levels",
     EXPAND_SQL
     + f""", hop AS (SELECT src, dst, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM links
@@ -225,28 +257,28 @@ second AS (SELECT dst AS term, max(weight) AS weight FROM hop WHERE r <= 8 AND d
 SELECT term, weight, 1 AS level, 15.0::DOUBLE + weight * 2 AS size FROM expanded
 UNION ALL SELECT term, weight, 2, 15.0::DOUBLE + weight * 2 FROM second""",
 )
-def _(spark, d):
-    return terms.topic_expand(_edges(spark, d), CENTER, depth=2)
+def _(spark, d, min_docs):
+    return terms.topic_expand(_edges(spark, d, min_docs), CENTER, depth=2)
 
 
-@query(
+@graph_query(
     "M10_topic_query",
     EXPAND_SQL
     + f"SELECT '{CENTER} ' || string_agg(term, ' OR ' ORDER BY weight DESC, term) AS suggested_query FROM (SELECT * FROM expanded ORDER BY weight DESC, term LIMIT 4) q",
 )
-def _(spark, d):
-    return terms.topic_query(terms.topic_expand(_edges(spark, d), CENTER), CENTER)
+def _(spark, d, min_docs):
+    return terms.topic_query(terms.topic_expand(_edges(spark, d, min_docs), CENTER), CENTER)
 
 
-@query(
+@graph_query(
     "J9_term_match",
     EXPAND_SQL
     + f""", m AS (SELECT a.id, string_agg(e.term, '|' ORDER BY e.term) AS hits FROM articles a
   JOIN expanded e ON contains(lower(a.title || ' ' || coalesce(a.summary, '')), lower(e.term)) GROUP BY 1)
 SELECT a.id, coalesce(m.hits, '{CENTER}') AS matched_terms FROM articles a LEFT JOIN m ON m.id = a.id""",
 )
-def _(spark, d):
-    expanded = terms.topic_expand(_edges(spark, d), CENTER)
+def _(spark, d, min_docs):
+    expanded = terms.topic_expand(_edges(spark, d, min_docs), CENTER)
     return terms.term_match(standins.articles(spark, d), expanded, CENTER).withColumn("matched_terms", listed("matched_terms"))
 
 
@@ -259,53 +291,55 @@ batch AS (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM pick a JO
 """
 
 
-def _stored_and_batch(spark, d):
+def _stored_and_batch(spark, d, min_docs):
     a = standins.articles(spark, d)
-    stored = terms.cooccurrence(terms.tokenize_articles(a.where(F.col("published_at") < ts_literal(SPLIT_TO))), MIN_DOCS)
-    batch = terms.cooccurrence(terms.tokenize_articles(a.where(F.col("published_at") >= ts_literal(SPLIT_FROM))), MIN_DOCS)
+    stored = terms.cooccurrence(terms.tokenize_articles(a.where(F.col("published_at") < ts_literal(SPLIT_TO))), min_docs)
+    batch = terms.cooccurrence(terms.tokenize_articles(a.where(F.col("published_at") >= ts_literal(SPLIT_FROM))), min_docs)
     return stored, batch
 
 
-@query(
+@graph_query(
     "K6_merge_edges",
     _STORED_SQL
     + """SELECT coalesce(b.src, s.src) AS src, coalesce(b.dst, s.dst) AS dst, coalesce(b.weight, s.weight) AS weight,
   CASE WHEN b.src IS NULL THEN '2024-01-01 00:00:00' ELSE '2024-01-02 00:00:00' END AS updated_at
 FROM stored s FULL JOIN batch b ON s.src = b.src AND s.dst = b.dst""",
+    "weight",
 )
-def _(spark, d):
-    stored, batch = _stored_and_batch(spark, d)
+def _(spark, d, min_docs):
+    stored, batch = _stored_and_batch(spark, d, min_docs)
     at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return sinks.merge_edges(stored.withColumn("updated_at", at), batch, "2024-01-02 00:00:00").withColumn("updated_at", stamp("updated_at"))
 
 
-@query(
+@graph_query(
     "K6_merge_nodes",
     _STORED_SQL + "SELECT src AS name FROM stored UNION SELECT dst FROM stored UNION SELECT src FROM batch UNION SELECT dst FROM batch",
 )
-def _(spark, d):
-    stored, batch = _stored_and_batch(spark, d)
+def _(spark, d, min_docs):
+    stored, batch = _stored_and_batch(spark, d, min_docs)
     return sinks.merge_nodes(sinks.edge_ends(stored), batch)
 
 
-@query(
+@graph_query(
     "K6b_merge_edges_ema",
     _STORED_SQL
     + """SELECT coalesce(s.src, b.src) AS src, coalesce(s.dst, b.dst) AS dst,
   CAST(round(CAST(CASE WHEN s.src IS NULL THEN b.weight WHEN b.src IS NULL THEN s.weight ELSE s.weight * 0.8::DOUBLE + b.weight * 0.2::DOUBLE END AS DECIMAL(38,10)), 6) AS DOUBLE) AS weight,
   coalesce(s.weight, 0) + coalesce(b.weight, 0) AS co_count
 FROM stored s FULL JOIN batch b ON s.src = b.src AND s.dst = b.dst""",
+    "co_count",
 )
-def _(spark, d):
-    stored, batch = _stored_and_batch(spark, d)
+def _(spark, d, min_docs):
+    stored, batch = _stored_and_batch(spark, d, min_docs)
     shape = lambda e: e.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.col("weight").alias("co_count"))
     return sinks.merge_edges_ema(shape(stored), shape(batch))
 
 
-@query(
+@graph_query(
     "K6b_merge_node_counts",
     _STORED_SQL + "SELECT name, CAST(sum(n) AS BIGINT) AS count FROM (SELECT src AS name, weight AS n FROM stored UNION ALL SELECT dst, weight FROM batch) q GROUP BY 1",
 )
-def _(spark, d):
-    stored, batch = _stored_and_batch(spark, d)
+def _(spark, d, min_docs):
+    stored, batch = _stored_and_batch(spark, d, min_docs)
     return sinks.merge_node_counts(stored.select(F.col("src").alias("name"), F.col("weight").alias("count")), batch.select(F.col("dst").alias("name"), F.col("weight").alias("count")))
