@@ -81,6 +81,25 @@ def test_groups_of_near_copies(spark):
     assert simhash.near_duplicate_groups(table(spark, rows[:0])).count() == 0
 
 
+def shingle_jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_groups_of_copies_that_differ_in_a_block(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(300):
+        w = [f"q{rng.randint(0, 5000)}" for _ in range(rng.randint(100, 400))]
+        cut = int(len(w) * rng.uniform(0.82, 0.86))
+        other = w[:cut] if k % 2 else w + [f"q{rng.randint(0, 5000)}" for _ in range(len(w) - cut)]
+        assert shingle_jaccard(w, other) >= 0.8
+        rows += [(2 * k, " ".join(w), "en"), (2 * k + 1, " ".join(other), "en")]
+    got = dict(map(tuple, simhash.near_duplicate_groups(table(spark, rows)).collect()))
+    assert len(got) == 600 and all(c in (i, i - i % 2) for i, c in got.items())
+    assert sum(got[2 * k + 1] == 2 * k for k in range(300)) >= 299  # one pair in 5,000 is expected to be missed
+
+
 def test_components_are_those_of_union_find(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randint(0, 80), 100 + rng.randint(0, 80)) for _ in range(60)] + [(500, x) for x in range(501, 560)] + [(7, 7), (None, 3)]

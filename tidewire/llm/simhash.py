@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import batch_of, map_arrow, stored
+from tidewire.llm.common import BROADCAST_ROWS, batch_of, map_arrow, stored
 from tidewire.llm.components import components
 
 #: Fingerprints that own a subtree of the top of the trie, about; tasks grow in number, not in size.
@@ -20,6 +20,10 @@ SUBTREE = 8192
 CHUNK = 1 << 18
 #: Samples in a sketch: one minimum for each of so many classes of shingle hashes.
 SAMPLES = 256
+#: Bands of min-hashes for near copies, and the min-hashes in each: at a similarity of 0.8 all bands differ with a chance of (1 - 0.8 ** 7) ** 36 = 0.0002.
+BANDS, BAND_ROWS = 36, 7
+#: Nodes of a group that are compared with the rest of it in a round after the first, and pairs from which a set of shingles is copied to further tasks.
+HEADS, PAIRS_OF_A_SET = 16, 1000
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary())])
 
@@ -264,21 +268,90 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, segments
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
 
 
-def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, distance: int = 10, segments: int = 4, print_width: int = 2, sketch_width: int = 5, label: str = "copies") -> DataFrame:
+def _multipliers() -> np.ndarray:
+    """Odd numbers, fixed by a seed: two rows for the hash functions, one for the band keys."""
+    return np.random.default_rng(11).integers(0, 2**64, (3, BANDS * BAND_ROWS), np.uint64) | np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """A key for each of BANDS bands of BAND_ROWS min-hashes each; sets of Jaccard similarity j share a band with probability j ** BAND_ROWS."""
+    times, plus, mix = multipliers
+    least = np.full(len(times), np.uint64(2**64 - 1))
+    for at in range(0, len(shingles), 2048):
+        least = np.minimum(least, (shingles[at : at + 2048, None] * times + plus).min(0))
+    return ((least ^ (least >> np.uint64(29))) * mix).reshape(BANDS, BAND_ROWS).sum(1, dtype=np.uint64)
+
+
+def _shingle_sets(docs: DataFrame, width: int, keys: bool) -> DataFrame:
+    """(doc_id, node, then keys or shingles): node is a hash of the document's set of shingles; no keys for a text without words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("x", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        multipliers = _multipliers()
+        for b in batches:
+            nodes, held = [], []
+            for text in b.column(1):
+                shingles = np.unique(shingle_hashes((text.as_py() or "").encode().lower().split(), width))
+                nodes.append(xxhash.xxh64_intdigest(shingles.tobytes(), 42) - (1 << 63))
+                held.append((band_keys(shingles, multipliers) if keys and len(shingles) else shingles).view(np.int64))
+            yield batch_of(schema, b.column(0), nodes, held)
+
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_arrow(base, run, "doc_id long, node long, x array<long>").withColumnRenamed("x", "keys" if keys else "shingles")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose sets have a Jaccard similarity of ``similarity`` or more, counted exactly. A set that many pairs have as src is copied to several tasks."""
+    heavy = F.broadcast(pairs.groupBy(F.col("src").alias("node")).count().where(F.col("count") > PAIRS_OF_A_SET).select("node", F.ceil(F.col("count") / PAIRS_OF_A_SET).cast("int").alias("parts")))
+    left = sets.join(pairs.select(F.col("src").alias("node")).distinct(), "node", "left_semi").join(heavy, "node", "left")
+    left = left.select(F.col("node").alias("src"), F.col("shingles").alias("_a"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("_part"))
+    dealt = pairs.join(heavy.withColumnRenamed("node", "src"), "src", "left").select("src", "dst", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int").alias("_part"))
+    both = dealt.join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("_b")), "dst").join(left, ["src", "_part"])
+    common = F.size(F.array_intersect("_a", "_b"))
+    return both.select("src", "dst", F.size("_a").alias("a"), F.size("_b").alias("b"), common.alias("c")).where(F.col("c") >= similarity * (F.col("a") + F.col("b") - F.col("c")) - 1e-9).select("src", "dst")
+
+
+def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, label: str = "copies") -> DataFrame:
     """(doc_id, component_id): classes of documents whose five-word shingles have a Jaccard similarity of ``similarity`` or more, directly or by others.
 
-    Fingerprints over word pairs find the candidates: at a similarity of 0.8 in five-word shingles, those differ in six bits on average, while
-    fingerprints over five-word shingles differ in ten to fifteen, too far for a trie to prune. A sketch of 256 min-hashes of the five-word shingles decides
-    on each candidate (standard error 0.025 at most; close to exact for short texts). Documents with equal fingerprint and sketch are one node. A first pass over
-    fingerprints alone leaves only the nodes that have a neighbour at all; the second compares their sketches.
+    Documents with the same set of shingles are one node. Candidates are nodes that share a band of min-hashes, wherever their texts differ: of the pairs at a similarity of
+    0.8 one in 5,000 shares none. Each candidate is decided on the sets of shingles themselves. A group of nodes with a band in common is compared in rounds, each of
+    which compares some of its nodes (of its smallest classes) with all that are in other classes, and lets them go; it is done when all that are left are in one class. So a
+    dense group of copies costs no square, and a node that fails with one member of a class is still compared with the others.
 
     Only documents that have an id are grouped. Documents without words are one class. component_id is the class's smallest id.
     """
-    prints = stored(fingerprints(docs.where("doc_id IS NOT NULL"), print_width, sketch_width), f"{label}-prints")
-    nodes = stored(prints.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node")), f"{label}-nodes")
-    near = links(nodes.select("node", "fp", F.lit(None).cast("binary").alias("sketch")), distance, segments)
-    ends = near.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    some = stored(nodes.join(ends, "node", "left_semi"), f"{label}-near")
-    roots = components(links(some, distance, segments, similarity), label)
-    classes = nodes.join(roots, "node", "left").select("fp", "sketch", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(classes, ["fp", "sketch"]).select("doc_id", "component_id")
+    docs = docs.where("doc_id IS NOT NULL")
+    prints = stored(_shingle_sets(docs, width, keys=True), f"{label}-prints")
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
+    rows = stored(prints.groupBy("node").agg(F.any_value("keys").alias("keys")).select("node", F.explode("keys").alias("key")), f"{label}-bands")
+    rows = stored(rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), f"{label}-shared")
+    some = nodes.join(rows.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    few = some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sets = _shingle_sets(docs.join(F.broadcast(some) if few else some, "doc_id", "left_semi"), width, keys=False)
+    sets = stored(sets.select("node", "shingles").dropDuplicates(["node"]), f"{label}-sets")
+    roots = found = tested = None
+    round_no = 0
+    while True:
+        round_no += 1
+        named = rows.withColumn("class", F.col("node")) if roots is None else rows.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("class"))
+        sizes = named.groupBy("key", "class").agg(F.count("*").alias("n"))
+        mixed = sizes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1").select("key")
+        named = stored(named.join(mixed, "key", "left_semi"), f"{label}-named{round_no}")
+        if named.isEmpty():
+            break
+        sizes = named.groupBy("key", "class").agg(F.count("*").alias("n"))
+        first = Window.partitionBy("key").orderBy("n", "class", "node")
+        heads = named.join(sizes, ["key", "class"]).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= (1 if round_no == 1 else HEADS))
+        heads = stored(heads.select("key", F.col("node").alias("head"), F.col("class").alias("head_class")), f"{label}-heads{round_no}")
+        pairs = named.join(heads, "key").where("class <> head_class").select(F.least("node", "head").alias("src"), F.greatest("node", "head").alias("dst")).distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["src", "dst"], "left_anti"), f"{label}-pairs{round_no}")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        new = stored(_alike(pairs, sets, similarity), f"{label}-links{round_no}")
+        found = new if found is None else found.unionByName(new)
+        if roots is None or not new.isEmpty():
+            roots = components(found, f"{label}-round{round_no}")
+        rows = named.join(heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti").select("node", "key")
+    classes = nodes.select("node", "least", F.col("node").alias("root")) if roots is None else nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.select("doc_id", "node").join(classes.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
