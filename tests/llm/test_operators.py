@@ -100,6 +100,19 @@ def test_groups_of_copies_that_differ_in_a_block(spark):
     assert sum(got[2 * k + 1] == 2 * k for k in range(300)) >= 299  # one pair in 5,000 is expected to be missed
 
 
+def test_groups_are_decided_by_exact_similarity(spark):
+    rows, want = [], []
+    for k in range(40):  # 800 shingles and 199 or 201 more: a similarity of 0.8008 or 0.7992
+        w = [f"t{k}x{i}" for i in range(804)]
+        more = [f"m{k}x{i}" for i in range(199 if k % 2 else 201)]
+        rows += [(10 * k, " ".join(w), "en"), (10 * k + 1, " ".join(w + more), "en")]
+        want += [(10 * k, 10 * k), (10 * k + 1, 10 * k + 1 - k % 2)]
+        if k % 4 == 0:  # a text between the two that are too far apart joins them
+            rows.append((10 * k + 2, " ".join(w + more[:100]), "en"))
+            want[-1:] = [(10 * k + 1, 10 * k), (10 * k + 2, 10 * k)]
+    assert sorted(map(tuple, simhash.near_duplicate_groups(table(spark, rows)).collect())) == want
+
+
 def test_components_are_those_of_union_find(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randint(0, 80), 100 + rng.randint(0, 80)) for _ in range(60)] + [(500, x) for x in range(501, 560)] + [(7, 7), (None, 3)]
