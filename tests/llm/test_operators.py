@@ -189,6 +189,18 @@ def test_contamination(spark, texts):
     assert sum(1 for _ in decontaminate.build_indexes(items, 7)) == 5  # several indexes
 
 
+def test_long_items_are_found(spark):
+    rng = random.Random(13)
+    vocabulary = [f"item{i}" for i in range(900)]
+    made = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    bench = [(k, made(n - 10) + ". " + made(10) + ".") for k, n in enumerate((20, 63, 130, 400, 1500))]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    docs = table(spark, [(100 + k, "lead in words " * 70 + t + " and on" * 300, "en") for k, t in bench] + [(7, made(3000), "en")])
+    got = decontaminate.contamination(docs, items).where("contaminated").collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(100 + k, k) for k, _ in bench]
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [7]
+
+
 def test_packing(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import map_arrow
 
-#: Words of a passage and the step to the next one: any run of STRIDE words lies in some passage.
-PASSAGE, STRIDE = 96, 48
+#: Items are indexed by length class: those of at most STRIDE words, of at most GROWTH times as many, and so on without end. A class's length is the step from passage to passage, and
+#: passages have twice that length, so that any copy of an item lies in some passage of its class.
+STRIDE, GROWTH = 64, 4
+#: Words of all passages that are searched together.
+WORDS = 1 << 15
 #: Share of an item's score against itself from which it is retrieved, and the shares of its question's and answer's word runs that must then be found.
 RETRIEVE, QUESTION, ANSWER = 0.5, 0.6, 0.5
 #: Words of a run, items of one index (more items make more indexes, each searched in turn) and items of a block.
@@ -57,6 +60,15 @@ class ItemIndex:
     first: np.ndarray  # its first posting, and the end of the last
     item: np.ndarray  # of each posting: the item
     impact: np.ndarray
+    stride: int = STRIDE  # the length class of the items
+
+
+def length_class(n: int) -> int:
+    """The smallest class length that ``n`` words fit into."""
+    size = STRIDE
+    while size < n:
+        size *= GROWTH
+    return size
 
 
 def build_index(items: list[tuple[int, str]], statistics: tuple[int, float, dict[bytes, int]]) -> ItemIndex:
@@ -68,6 +80,7 @@ def build_index(items: list[tuple[int, str]], statistics: tuple[int, float, dict
         words = words_of(text)
         if not words:
             continue
+        index.stride = max(index.stride, length_class(len(words)))
         question, answer = parts_of(text)
         k = len(index.ids)
         index.ids.append(item_id)
@@ -129,17 +142,19 @@ def search(index: ItemIndex, text: str | None, retrieve: float = RETRIEVE) -> li
     words = words_of(text)
     get = index.term.get
     known = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-    starts = np.arange(0, max(1, len(words) - STRIDE), STRIDE)
-    ends = np.minimum(starts + PASSAGE, len(words))
+    passage = 2 * index.stride
+    starts = np.arange(0, max(1, len(words) - index.stride), index.stride)
+    ends = np.minimum(starts + passage, len(words))
+    step = max(1, WORDS // passage)
     best: dict[int, tuple[int, float, float, float, int, int]] = {}
-    for at in range(0, len(starts), 256):  # bounded memory for texts of any length
-        word, query = _ranges(starts[at : at + 256], ends[at : at + 256])
+    for at in range(0, len(starts), step):  # bounded memory for texts of any length
+        word, query = _ranges(starts[at : at + step], ends[at : at + step])
         query, term = query[known[word] >= 0], known[word][known[word] >= 0]
         distinct = np.unique(query * max(1, len(index.term)) + term)
         query, term = distinct // max(1, len(index.term)), distinct % max(1, len(index.term))
         for q, item, score in zip(*(x.tolist() for x in wand(index, query, term, retrieve)), strict=True):
             a, b = int(starts[at + q]), int(ends[at + q])
-            near = runs(words[max(0, a - PASSAGE) : b + PASSAGE])  # an item may begin before the passage or end after it
+            near = runs(words[max(0, a - passage) : b + passage])  # an item may begin before the passage or end after it
             question, answer = index.questions[item], index.answers[item]
             row = (item, score, len(question & near) / max(1, len(question)), len(answer & near) / max(1, len(answer)), a, b - a)
             if item not in best or row[1:4] > best[item][1:4]:
@@ -148,7 +163,7 @@ def search(index: ItemIndex, text: str | None, retrieve: float = RETRIEVE) -> li
 
 
 def build_indexes(items: DataFrame, index_items: int = INDEX_ITEMS) -> Iterator[ItemIndex]:
-    """Indexes of at most ``index_items`` items each, with statistics over all. Items without words, and null ids, are left out; of equal ids the first text stays."""
+    """Indexes of at most ``index_items`` items of one length class each, with statistics over all. Items without words, and null ids, are left out; of equal ids the first text stays."""
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
     held = [(r["item_id"], r["text"]) for r in items.orderBy("item_id").toLocalIterator()]
     lengths = [words_of(t) for _, t in held]
@@ -158,8 +173,12 @@ def build_indexes(items: DataFrame, index_items: int = INDEX_ITEMS) -> Iterator[
         for t in set(w):
             df[t] = df.get(t, 0) + 1
     mean = sum(map(len, lengths)) / max(1, len(lengths))
-    for k in range(0, len(held), index_items):
-        yield build_index(held[k : k + index_items], (len(lengths), mean, df))
+    classes: dict[int, list[tuple[int, str]]] = {}
+    for item_id, text in held:
+        classes.setdefault(length_class(len(words_of(text))), []).append((item_id, text))
+    for _, members in sorted(classes.items()):
+        for k in range(0, len(members), index_items):
+            yield build_index(members[k : k + index_items], (len(lengths), mean, df))
 
 
 def contamination(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, question: float = QUESTION, answer: float = ANSWER, text: str = "text") -> DataFrame:
