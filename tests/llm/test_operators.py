@@ -201,6 +201,25 @@ def test_long_items_are_found(spark):
     assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [7]
 
 
+def test_copies_with_an_edited_end_and_hidden_copies_are_found(spark):
+    rng = random.Random(14)
+    vocabulary = [f"item{i}" for i in range(900)]
+    bench = [(k, " ".join(rng.choice(vocabulary) for _ in range(24)) + ". " + " ".join(rng.choice(vocabulary) for _ in range(3)) + ".") for k in range(3)]
+    words = [t.split() for _, t in bench]
+    between = " and on" * 300
+    rows = [
+        (100, " ".join([*words[0][:-1], "misspelt"]) + between),
+        (101, " ".join(words[1][:24]) + between),  # the last sentence is cut off
+        (102, " ".join(rng.sample(words[2], 27)) + between + " ".join(words[2][:26]) + between),  # all words in another order score higher than the copy
+        (103, " ".join(rng.sample(words[2], 27)) + between),
+    ]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    docs = table(spark, [(*r, "en") for r in rows])
+    got = decontaminate.contamination(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["contaminated"]) for r in got) == [(100, 0, True), (101, 1, True), (102, 2, True), (103, 2, False)]
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [103]
+
+
 def test_packing(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -17,7 +17,7 @@ from tidewire.llm.common import map_arrow
 STRIDE, GROWTH = 64, 4
 #: Words of all passages that are searched together.
 WORDS = 1 << 15
-#: Share of an item's score against itself from which it is retrieved, and the shares of its question's and answer's word runs that must then be found.
+#: Share of an item's score against itself from which it is retrieved, and the shares of its question's (or the whole item's) and answer's word runs that must then be found.
 RETRIEVE, QUESTION, ANSWER = 0.5, 0.6, 0.5
 #: Words of a run, items of one index (more items make more indexes, each searched in turn) and items of a block.
 RUN, INDEX_ITEMS, BLOCK = 3, 20_000, 8
@@ -52,6 +52,7 @@ class ItemIndex:
     ids: list[int]
     questions: list[set[bytes]]
     answers: list[set[bytes]]
+    wholes: list[set[bytes]]
     term: dict[bytes, int]
     bound: np.ndarray  # largest impact of each term on any item
     entries: np.ndarray  # of each term the first entry, and the end of the last
@@ -74,7 +75,7 @@ def length_class(n: int) -> int:
 def build_index(items: list[tuple[int, str]], statistics: tuple[int, float, dict[bytes, int]]) -> ItemIndex:
     """``statistics``: number of items, their mean length in words, and the items that hold each term, over all indexes."""
     n, mean, df = statistics
-    index = ItemIndex([], [], [], {}, *(np.zeros(0),) * 7)
+    index = ItemIndex([], [], [], [], {}, *(np.zeros(0),) * 7)
     rows: dict[bytes, list[tuple[int, float]]] = {}
     for item_id, text in sorted(items, key=lambda x: len(x[1] or "")):  # items of like length share a block
         words = words_of(text)
@@ -86,6 +87,7 @@ def build_index(items: list[tuple[int, str]], statistics: tuple[int, float, dict
         index.ids.append(item_id)
         index.questions.append(runs(question))
         index.answers.append(runs(answer))
+        index.wholes.append(runs(words))
         # a passage counts each of its words once, so that repeats in the item only enter by their BM25 weight
         tf: dict[bytes, int] = {}
         for w in words:
@@ -137,8 +139,11 @@ def wand(index: ItemIndex, query: np.ndarray, term: np.ndarray, threshold: float
     return pair // max(1, len(index.ids)), pair % max(1, len(index.ids)), score
 
 
-def search(index: ItemIndex, text: str | None, retrieve: float = RETRIEVE) -> list[tuple[int, float, float, float, int, int]]:
-    """(item, score, question share, answer share, first word, words) of each item retrieved by some passage of the whole text, at its best passage."""
+def search(index: ItemIndex, text: str | None, retrieve: float = RETRIEVE, question: float = QUESTION, answer: float = ANSWER) -> list[tuple[int, float, float, float, int, int, float, bool]]:
+    """(item, score, question share, answer share, first word, words, whole share, verified) of each item retrieved by some passage of the whole text, at its best passage.
+
+    verified: the shares of question and answer, or of the whole item, as the answer is only a guess from the text. A passage that verifies is better than any other, whatever its score.
+    """
     words = words_of(text)
     get = index.term.get
     known = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
@@ -146,7 +151,7 @@ def search(index: ItemIndex, text: str | None, retrieve: float = RETRIEVE) -> li
     starts = np.arange(0, max(1, len(words) - index.stride), index.stride)
     ends = np.minimum(starts + passage, len(words))
     step = max(1, WORDS // passage)
-    best: dict[int, tuple[int, float, float, float, int, int]] = {}
+    best: dict[int, tuple[int, float, float, float, int, int, float, bool]] = {}
     for at in range(0, len(starts), step):  # bounded memory for texts of any length
         word, query = _ranges(starts[at : at + step], ends[at : at + step])
         query, term = query[known[word] >= 0], known[word][known[word] >= 0]
@@ -155,9 +160,9 @@ def search(index: ItemIndex, text: str | None, retrieve: float = RETRIEVE) -> li
         for q, item, score in zip(*(x.tolist() for x in wand(index, query, term, retrieve)), strict=True):
             a, b = int(starts[at + q]), int(ends[at + q])
             near = runs(words[max(0, a - passage) : b + passage])  # an item may begin before the passage or end after it
-            question, answer = index.questions[item], index.answers[item]
-            row = (item, score, len(question & near) / max(1, len(question)), len(answer & near) / max(1, len(answer)), a, b - a)
-            if item not in best or row[1:4] > best[item][1:4]:
+            shares = [len(part[item] & near) / max(1, len(part[item])) for part in (index.questions, index.answers, index.wholes)]
+            row = (item, score, shares[0], shares[1], a, b - a, shares[2], shares[2] >= question or (shares[0] >= question and shares[1] >= answer))
+            if item not in best or (row[7], *row[1:4]) > (best[item][7], *best[item][1:4]):
                 best[item] = row
     return sorted(best.values())
 
@@ -182,14 +187,14 @@ def build_indexes(items: DataFrame, index_items: int = INDEX_ITEMS) -> Iterator[
 
 
 def contamination(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, question: float = QUESTION, answer: float = ANSWER, text: str = "text") -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap, first_word, n_words, contaminated) for each retrieved item of each document's whole text.
+    """(doc_id, item_id, score, question_overlap, answer_overlap, first_word, n_words, item_overlap, contaminated) for each retrieved item of each document's whole text.
 
-    contaminated: ``question`` of the question's runs and ``answer`` of the answer's occur around the passage. Null, empty and blank texts and an empty benchmark
+    contaminated: around some retrieved passage occur ``question`` of the runs of the whole item, or ``question`` of the question's and ``answer`` of the answer's. Null, empty and blank texts and an empty benchmark
     give no row; repeated documents give a row each. The test items are a stated small table; an index of at most INDEX_ITEMS items is broadcast at a time.
     """
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word int, n_words int, contaminated boolean"
-    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word", "n_words", "contaminated"]
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.bool_()]
+    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word int, n_words int, item_overlap double, contaminated boolean"
+    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word", "n_words", "item_overlap", "contaminated"]
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for n, index in enumerate(build_indexes(items)):
@@ -198,8 +203,8 @@ def contamination(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE,
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
             for b in batches:
-                rows = [(i.as_py(), index.ids[f[0]], *f[1:], f[2] >= question and f[3] >= answer) for i, t in zip(b.column(0), b.column(1), strict=True) for f in search(index, t.as_py(), retrieve)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names=names)
+                rows = [(i.as_py(), index.ids[f[0]], *f[1:]) for i, t in zip(b.column(0), b.column(1), strict=True) for f in search(index, t.as_py(), retrieve, question, answer)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, types, strict=True)], names=names)
 
         found = map_arrow(base, run, schema)
         out = found if n == 0 else out.unionByName(found)
@@ -215,7 +220,7 @@ def clean(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, questio
         def run(batches: Iterator[pa.RecordBatch], held=held, columns=columns) -> Iterator[pa.RecordBatch]:
             index = held.value
             for b in batches:
-                keep = [not any(f[2] >= question and f[3] >= answer for f in search(index, t.as_py(), retrieve)) for t in b.column(b.num_columns - 1)]
+                keep = [not any(f[7] for f in search(index, t.as_py(), retrieve, question, answer)) for t in b.column(b.num_columns - 1)]
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([c.filter(mask) for c in b.columns[:-1]], names=columns)
 
