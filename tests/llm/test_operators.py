@@ -172,6 +172,16 @@ def test_cutoffs_are_certified_and_keep_the_good(spark, texts):
     assert quality.judge(odd.limit(0), cuts, keep=["doc_id"]).count() == 0
 
 
+def test_cutoffs_count_every_label(spark):
+    words = F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), F.col("doc_id")) for i in range(24)])
+    bad = F.col("doc_id") % 6 == 0
+    rows = spark.range(100_600).withColumnRenamed("id", "doc_id").withColumn("lang", F.when(F.col("doc_id") < 600, "small").otherwise("large"))
+    docs = rows.withColumn("text", F.concat(words, F.when(bad, " ### $$$ %%% ||| ### $$$").otherwise("")))
+    cuts = quality.choose_cutoffs(docs, rows.select("doc_id", F.when(bad, 0).otherwise(1).alias("quality"))).collect()
+    found = {(r["stratum"], r["rule"]): r["n_good"] for r in cuts}
+    assert found == {("small", "symbol_share"): 500, ("large", "symbol_share"): 83_333}
+
+
 def test_contamination(spark, texts):
     rng = random.Random(5)
     vocabulary = [f"item{i}" for i in range(300)]

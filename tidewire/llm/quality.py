@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidewire.llm.common import BLANKS, about
+from tidewire.llm.common import BLANKS, BROADCAST_ROWS
 
 #: Cutoffs of each rule, fixed before any label is seen (a condition of the tests below), loosest last.
 GRID = {
@@ -15,8 +15,6 @@ GRID = {
     "dup_line_share": [0.02 * i for i in range(1, 46)],
     "repeat_share": [0.01 * i for i in range(1, 46)],
 }
-#: Labelled rows that take part in choosing the cutoffs, about (those whose id has a small hash).
-HOLDOUT_ROWS = 50_000
 #: Limit on the share of good documents that all rules together may reject in a stratum, and the chance that any limit is broken.
 RISK, DELTA = 0.05, 0.05
 
@@ -99,22 +97,22 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.aggregate(terms, first, step, lambda a: a["s"]))
 
 
-def choose_cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", grid: dict[str, list[float]] | None = None, holdout_rows: int = HOLDOUT_ROWS, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+def choose_cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", grid: dict[str, list[float]] | None = None, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """(stratum, rule, cutoff, n_good, rejected_good, p_value): the certified cutoff of each rule; a rule without one is missing.
 
     Of the good documents of a stratum, a cutoff would reject a share that must not exceed ``risk`` / rules. That it does is the hypothesis
     tested, with the exact binomial tail, from the loosest cutoff on until the first that isn't refuted (fixed-sequence testing needs no correction within
     a rule); ``delta`` is divided by rules x strata (Bonferroni). With probability 1 - delta every certified cutoff keeps its limit.
     Among the certified ones the cutoff is taken that gains most (share of bad documents less five times the share of good ones),
-    ties going to the loosest; without gain the rule is off. Strata of few labels certify nothing.
+    ties going to the loosest; without gain the rule is off. Strata of few labels certify nothing. Every labelled row is counted.
 
     A null stratum counts as the stratum "". Labels without a document, null labels and repeated labels of an id (the smallest counts) are left out.
     """
     grid = GRID if grid is None else grid
     held = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_good"))
-    held = about(held, "_id", holdout_rows)
+    few = held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     base = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col("text").alias("text"))
-    rows = text_features(base.join(F.broadcast(held), "_id"), keep=["stratum", "_good"])
+    rows = text_features(base.join(F.broadcast(held) if few else held, "_id"), keep=["stratum", "_good"])
     values = rule_values()
     level = lambda r: F.size(F.filter(F.array(*map(F.lit, grid[r])), lambda c: c < values[r]))  # noqa: E731  cutoffs that reject the document
     entries = F.array(*[F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in grid])
@@ -138,7 +136,7 @@ def choose_cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", gr
 def judge(docs: DataFrame, cutoffs: DataFrame, stratum: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all), ``quality``, ``base_failed``, ``broken`` (names of the rules that are broken) and ``kept``.
 
-    ``cutoffs`` has a row for each stratum and rule, few by construction (strata are seen in a bounded holdout), and is broadcast.
+    ``cutoffs`` has a row for each stratum and rule, few by construction (a stratum needs hundreds of labels for one), and is broadcast.
     """
     keep = docs.columns if keep is None else keep
     by = cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(F.collect_list(F.struct("rule", "cutoff")).alias("_cutoffs"))
