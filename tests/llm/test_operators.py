@@ -283,6 +283,16 @@ def test_language(spark):
     assert {tuple(r) for r in language.predict(table(spark, made[:2]), none, ["doc_id"]).collect()} == {(0, "und", 0.0), (1, "und", 0.0)}
 
 
+def test_languages_of_small_scripts(spark):
+    rng = random.Random(15)
+    starts = {"big": 0x4E00, "yi": 0xA002, "vai": 0xA500, "ge": 0x10D1, "am": 0x1200}  # the small ones have the same words, each in its own letters
+    words = {n: [[rng.randrange(n) for _ in range(rng.randint(2, 8))] for _ in range(200)] for n in (9, 300)}
+    made = [(i, " ".join("".join(chr(starts[k] + x) for x in rng.choice(words[300 if k == "big" else 9])) for _ in range(3000 if k == "big" else 30)), k) for i, k in enumerate(list(starts) * 40)]
+    profiles = language.learn(table(spark, made[:100]))
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(table(spark, made[100:]), profiles, ["doc_id"]).collect()}
+    assert [got[i] for i, _, _ in made[100:]] == [k for _, _, k in made[100:]]
+
+
 def test_url_rules(spark):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("org", "/", "block")]
     rows = [(1, "http://A.Example.ORG/es/1?x"), (2, "https://x.org/"), (3, None), (4, "no scheme"), (5, ""), (6, "a://org?q=/"), (7, "http://forg/"), (8, "http://x.org/a#/b"), (8, "http://x.org/a#/b"), (None, "http://x.org/es/")]

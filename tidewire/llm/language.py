@@ -7,121 +7,166 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Length of a vector; letters that have a vector of their own (the rest share SHARED more by code point); letters of a text that are worked on together.
-DIMENSIONS, LETTERS, SHARED, CHUNK = 1024, 60, 3, 1 << 20
+#: Length of a vector; letters of a text that are worked on together; trigrams that are multiplied together.
+DIMENSIONS, CHUNK, SLICE = 1024, 1 << 20, 1 << 14
+#: Letters whose vectors are kept from batch to batch, and kinds of trigrams whose counts are kept in learning; beyond that they are computed again.
+KEPT, KINDS = 8192, 1 << 18
 SEED = 7
+_MASK = (1 << 21) - 1
 
 
 @dataclass
 class Profiles:
-    letters: str  # those with their own vector, most frequent first
     languages: list[str]
-    prototypes: np.ndarray  # languages x DIMENSIONS, of unit length, less their mean
+    prototypes: np.ndarray  # languages x DIMENSIONS, of unit length
+
+
+def letter_vector(c: str) -> np.ndarray:
+    """The vector of a letter, 1 and -1, from hashes of its code point; every code point has its own."""
+    point = ord(c).to_bytes(4, "little")
+    bits = np.array([xxhash.xxh64_intdigest(point, SEED + k) for k in range(DIMENSIONS // 64)], np.uint64)
+    return np.unpackbits(bits.view(np.uint8)).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 class Coder:
-    """Trigrams of letter classes and their vectors. Class 0 is the gap between words; a trigram of three gaps doesn't occur."""
-
-    def __init__(self, letters: str):
-        self.size = LETTERS + SHARED + 1
-        self.classes = np.zeros(0x110000, np.uint8)
-        self.own = {c: i + 1 for i, c in enumerate(letters[:LETTERS])}
-        self.known = np.zeros(0x110000, bool)  # code points whose class has been looked up
-        rng = np.random.default_rng(SEED)
-        base = rng.choice(np.array([-1, 1], np.int8), (self.size, DIMENSIONS))
+    """Trigrams of letters and their vectors. Letters are numbered as they are met; number 0 is the gap between words; a trigram of three gaps doesn't occur."""
+
+    def __init__(self, letters: str = ""):
+        self.letters = letters
+        self.forget()
+
+    def forget(self) -> None:
+        """Only the first letters have numbers; trigrams found before have no meaning any more."""
+        self.classes = np.zeros(0x110000, np.int32)
+        self.own: dict[str, int] = {}
+        self.known = np.zeros(0x110000, bool)  # code points that have been looked up
+        base = letter_vector("\0")[None]
         # the first letter's vector is permuted twice, the second's once: the order of the letters counts
         self.at = [np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base]
+        self.add(self.letters)
+
+    def add(self, letters: str) -> None:
+        for c in letters:
+            self.own[c] = self.classes[ord(c)] = len(self.own) + 1
+            self.known[ord(c)] = True
+        if letters:
+            base = np.stack([letter_vector(c) for c in letters])
+            self.at = [np.concatenate([old, np.roll(base, k, axis=1)]) for old, k in zip(self.at, (2, 1, 0), strict=True)]
 
     def vectors(self, trigrams: np.ndarray) -> np.ndarray:
         """Bound vectors: the product of the three letters' permuted ones."""
-        n = self.size
-        return self.at[0][trigrams // (n * n)] * self.at[1][trigrams // n % n] * self.at[2][trigrams % n]
+        return self.at[0][trigrams >> 42] * self.at[1][trigrams >> 21 & _MASK] * self.at[2][trigrams & _MASK]
 
     def trigrams(self, text: str) -> np.ndarray:
         """The trigrams of a text, lower-cased, with a gap at both ends and one gap for any run of other characters."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        new = np.unique(points[~self.known[points]])
-        for p in new.tolist():
-            c = chr(p)
-            self.classes[p] = self.own.get(c, LETTERS + 1 + p % SHARED) if c.isalpha() else 0
-        self.known[new] = True
-        x = np.concatenate([[0], self.classes[points], [0]]).astype(np.int32)
-        x = x[np.concatenate([[True], (x[1:] != 0) | (x[:-1] != 0)])]
-        return x[:-2] * (self.size * self.size) + x[1:-1] * self.size + x[2:] if len(x) > 2 else np.zeros(0, np.int32)
+        fresh = points[~self.known[points]]
+        if len(fresh):
+            new = np.unique(fresh)
+            self.add("".join(c for c in map(chr, new.tolist()) if c.isalpha()))
+            self.known[new] = True
+        x = np.concatenate([[0], self.classes[points], [0]])
+        x = x[np.concatenate([[True], (x[1:] != 0) | (x[:-1] != 0)])].astype(np.int64)
+        return x[:-2] << 42 | x[1:-1] << 21 | x[2:] if len(x) > 2 else np.zeros(0, np.int64)
+
+    def kinds(self, trigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct trigrams, ascending, and the place of each trigram among them; without a sort while letters are few."""
+        n = len(self.own) + 1
+        if n > 128:
+            return np.unique(trigrams, return_inverse=True)
+        small = ((trigrams >> 42) * n + (trigrams >> 21 & _MASK)) * n + (trigrams & _MASK)
+        held = np.bincount(small, minlength=1) > 0
+        k = np.nonzero(held)[0]
+        return k // (n * n) << 42 | k // n % n << 21 | k % n, (np.cumsum(held) - 1)[small]
+
+    def of_text(self, text: str | None) -> Iterator[np.ndarray]:
+        """The trigrams of a whole text, part by part; the two letters before a part go with it, so that no trigram is lost."""
+        for at in range(0, len(text or ""), CHUNK):
+            yield self.trigrams(text[at : at + CHUNK] if at == 0 else text[at - 2 : at + CHUNK])
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
         """The sum of the vectors of all trigrams of each whole text, a row each; zero for a text without a letter.
 
-        Counts of the trigrams that occur in the texts, times their vectors, is one matrix product for many texts.
+        Counts of the trigrams that occur in the texts, times their vectors, is one matrix product for many texts and a slice of the trigrams.
         """
+        if len(self.own) > KEPT:
+            self.forget()
         out = np.zeros((len(texts), DIMENSIONS), np.float32)
         rows, found = [], []
         for i, t in enumerate(texts):
-            for at in range(0, len(t or ""), CHUNK):  # the two letters before a part go with it, so that no trigram is lost
-                x = self.trigrams(t[at : at + CHUNK] if at == 0 else t[at - 2 : at + CHUNK])
+            for x in self.of_text(t):
                 rows.append(np.full(len(x), i, np.int64))
                 found.append(x)
         if not found:
             return out
         row, tri = np.concatenate(rows), np.concatenate(found)
-        held = np.bincount(tri, minlength=1) > 0
-        number = np.cumsum(held) - 1
-        kinds = np.nonzero(held)[0]
-        if not len(kinds):
-            return out
         for at in range(0, len(texts), 256):
             a, b = np.searchsorted(row, [at, at + 256])
             m = min(256, len(texts) - at)
-            counts = np.bincount((row[a:b] - at) * len(kinds) + number[tri[a:b]], minlength=m * len(kinds)).reshape(m, -1).astype(np.float32)
-            some = np.nonzero(counts.any(0))[0]
-            out[at : at + m] = counts[:, some] @ self.vectors(kinds[some]).astype(np.float32)
+            kinds, number = self.kinds(tri[a:b])
+            for lo in range(0, len(kinds), SLICE):
+                width = min(SLICE, len(kinds) - lo)
+                inside = slice(None) if width == len(kinds) else (number >= lo) & (number < lo + width)
+                counts = np.bincount((row[a:b][inside] - at) * width + number[inside] - lo, minlength=m * width).reshape(m, -1).astype(np.float32)
+                out[at : at + m] += counts @ self.vectors(kinds[lo : lo + width]).astype(np.float32)
         return out
 
 
+class _Sums:
+    """Counts of the trigrams of one language, and the sum of the vectors of those that are no longer counted."""
+
+    def __init__(self):
+        self.kinds, self.counts, self.parts, self.waiting, self.sum = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0, np.zeros(DIMENSIONS)
+
+    def add(self, coder: Coder, trigrams: np.ndarray) -> None:
+        self.parts.append(trigrams)
+        self.waiting += len(trigrams)
+        if self.waiting >= CHUNK:
+            self.count(coder)
+            if len(self.kinds) > KINDS:
+                self.bundle(coder)
+
+    def count(self, coder: Coder) -> None:
+        if self.parts:
+            kinds, number = coder.kinds(np.concatenate(self.parts))
+            counts = np.bincount(number, minlength=len(kinds))
+            self.kinds, at = np.unique(np.concatenate([self.kinds, kinds]), return_inverse=True)
+            self.counts = np.bincount(at, np.concatenate([self.counts, counts]), len(self.kinds)).astype(np.int64)
+            self.parts, self.waiting = [], 0
+
+    def bundle(self, coder: Coder) -> np.ndarray:
+        self.count(coder)
+        for at in range(0, len(self.kinds), 4096):
+            self.sum += self.counts[at : at + 4096].astype(np.float64) @ coder.vectors(self.kinds[at : at + 4096]).astype(np.float64)
+        self.kinds, self.counts = self.kinds[:0], self.counts[:0]
+        return self.sum
+
+
 def learn(docs: DataFrame) -> Profiles:
     """Profiles of the languages of ``docs`` (text, lang), which the caller has cleared of what is held out.
 
-    The letters with their own vector are the most frequent ones. Every training text counts with its whole length. What comes to the driver is bounded by letters and by languages x DIMENSIONS numbers.
+    Every training text counts with its whole length, and every letter with its own vector. What comes to the driver is bounded by languages x DIMENSIONS numbers.
     Rows with a null text or language are left out.
     """
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
-    def letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        for b in batches:
-            for t in b.column(0):
-                points = np.frombuffer(t.as_py().lower().encode("utf-32-le", "replace"), np.uint32)
-                p, n = np.unique(points, return_counts=True) if len(points) < 4096 or points.max() >= 65536 else _small_counts(points)
-                for x, k in zip(p.tolist(), n.tolist(), strict=True):
-                    total[x] = total.get(x, 0) + k
-        letters = [(chr(x), n) for x, n in total.items() if chr(x).isalpha()]
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in letters], pa.string()), pa.array([n for _, n in letters], pa.int64())], names=["letter", "n"])
-
-    top = known.select("text").mapInArrow(letter_counts, "letter string, n long").groupBy("letter").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "letter").limit(LETTERS).collect()
-    letters = "".join(r["letter"] for r in top)
-
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, total = Coder(letters), {}
+        coder, total = Coder(), {}
         for b in batches:
-            langs = np.array(b.column(0).to_pylist(), object)
             # trigram counts are summed first: bundling is linear
-            for lang in sorted(set(langs.tolist())):
-                counts = total.setdefault(lang, np.zeros(coder.size**3, np.int64))
-                for i in np.nonzero(langs == lang)[0].tolist():
-                    t = b.column(1)[i].as_py()
-                    for at in range(0, len(t), CHUNK):
-                        x = coder.trigrams(t[at : at + CHUNK] if at == 0 else t[at - 2 : at + CHUNK])
-                        counts += np.bincount(x, minlength=len(counts)) if len(x) > 10_000 else 0
-                        if len(x) <= 10_000:
-                            np.add.at(counts, x, 1)
-        for lang, counts in total.items():
-            kinds = np.nonzero(counts)[0]
-            v = np.zeros(DIMENSIONS)
-            for at in range(0, len(kinds), 4096):
-                v += counts[kinds[at : at + 4096]].astype(np.float64) @ coder.vectors(kinds[at : at + 4096]).astype(np.float64)
+            for lang, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for x in coder.of_text(t.as_py()):
+                    total.setdefault(lang, _Sums()).add(coder, x)
+            if len(coder.own) > KEPT:
+                for held in total.values():
+                    held.bundle(coder)
+                coder.forget()
+        for lang, held in total.items():
+            v = held.bundle(coder)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS), pa.int32()), pa.array(v.astype(np.int64))], names=["lang", "d", "v"])
 
     found = known.mapInArrow(sums, "lang string, d int, v long").groupBy("lang", "d").agg(F.sum("v").alias("v")).collect()
@@ -131,13 +176,7 @@ def learn(docs: DataFrame) -> Profiles:
     for r in found:
         prototypes[at[r["lang"]], r["d"]] = r["v"]
     prototypes /= np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)
-    return Profiles(letters, languages, prototypes.astype(np.float32))
-
-
-def _small_counts(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = np.bincount(points)
-    p = np.nonzero(n)[0]
-    return p, n[p]
+    return Profiles(languages, prototypes.astype(np.float32))
 
 
 def predict(docs: DataFrame, profiles: Profiles, columns: list[str], text: str = "text") -> DataFrame:
@@ -151,7 +190,7 @@ def predict(docs: DataFrame, profiles: Profiles, columns: list[str], text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = held.value
-        coder = Coder(profiles.letters)
+        coder = Coder()
         for b in batches:
             names, scores = [], []
             for at in range(0, b.num_rows, 512):
