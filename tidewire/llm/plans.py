@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, language, language_model, licenses, packing, quality, sharding, simhash, toxicity, urls
+from tidewire.llm import decontaminate, language, language_model, licenses, packing, quality, repeats, sharding, simhash, toxicity, urls
 from tidewire.llm.common import rest_of_crc, table
 
 
@@ -74,7 +74,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (rest_of_crc("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "matched")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_best_fit_packing, op4_language_model, op5_language, op6_url_rules, op7_sharding, op8_quality_rules, op9_toxicity, op10_licenses)}
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document when strings of 100 bytes that begin earlier are removed."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.coalesce(F.sha2("kept", 256), "text_sha256").alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        *(op1_simhash, op2_decontaminate, op3_best_fit_packing, op4_language_model, op5_language, op6_url_rules, op7_sharding, op8_quality_rules, op9_toxicity, op10_licenses),
+        *(op11_suffix_array_dedup,),
+    )
+}
 SQL: dict[str, str] = {
     "op6_url_rules": """
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -82,4 +95,16 @@ p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGH
 r(h, f, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 m AS (SELECT page_id, arg_max(h || f, length(h) * 1000 + length(f)) AS rule, arg_max(v, length(h) * 1000 + length(f)) AS v FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f) GROUP BY page_id)
 SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
+    "op11_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, md5_number(substr(x, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, x, unnest(range(0, greatest(n - 99, 0))) AS p FROM d)),
+later AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+runs AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r
+  FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM later)),
+spans AS (SELECT doc_id, min(p) AS b, max(p) + 100 AS e FROM runs GROUP BY doc_id, r),
+gaps AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS a FROM spans),
+cut AS (SELECT g.doc_id, sum(e - b) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY b) || substr(any_value(x), 2 * max(e) + 1) AS kept
+  FROM gaps g JOIN d ON g.doc_id = d.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id""",
 }
