@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, language, language_model, licenses, packing, quality, repeats, sharding, simhash, toxicity, urls
+from tidewire.llm import decontaminate, language, language_model, licenses, merkle, packing, quality, repeats, sharding, simhash, toxicity, urls
 from tidewire.llm.common import rest_of_crc, table
 
 
@@ -81,13 +81,53 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.coalesce(F.sha2("kept", 256), "text_sha256").alias("kept_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document; every fifth one by crc32 is checked with its text in lower case."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    found = merkle.manifest(table(spark, sf_dir, "documents"), replaced={"text": F.translate("text", upper, lower)}, where=rest_of_crc("doc_id", 5) == 0)
+    proof = F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         *(op1_simhash, op2_decontaminate, op3_best_fit_packing, op4_language_model, op5_language, op6_url_rules, op7_sharding, op8_quality_rules, op9_toxicity, op10_licenses),
-        *(op11_suffix_array_dedup,),
+        *(op11_suffix_array_dedup, op12_merkle_manifest),
     )
 }
+
+
+def _merkle_sql(levels: int = 4, group_levels: int = 3) -> str:
+    """SQL for op12: so many levels of sixteen for a source's leaves and for the sources, enough for 65,536 documents a source and 4,096 sources."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    byte = "list_reduce(list_prepend(xor(c, b), [CAST(x AS BIGINT) FOR x IN range(8)]), lambda d, _: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295, [CAST(ord(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, b: {byte}), 4294967295)"
+    parts = [f"l0 AS (SELECT doc_id, source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, {leaf('text')} AS h, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS f FROM documents)"]
+    parts.append("n0 AS (SELECT g, i, h FROM l0)")
+
+    def up(name: str, k: int) -> str:  # a group's only node stays as it is
+        one = "count(*) = 1 AND any_value(t) = 1"
+        return f"{name}{k + 1} AS (SELECT g, i // 16 AS i, CASE WHEN {one} THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM (SELECT *, count(*) OVER (PARTITION BY g) AS t FROM {name}{k}) GROUP BY g, i // 16)"
+
+    parts += [up("n", k) for k in range(levels)]
+    parts.append(f"s0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, h, g AS name FROM n{levels})")
+    parts += [up("s", k) for k in range(group_levels)]
+
+    def step(before: str, after: str, tree: str, i: str, g: str) -> str:  # what a run's others are, and the folded node with them
+        run = f"(SELECT g, i // 16 AS run, list(h ORDER BY i) AS hs, any_value(t) AS t FROM (SELECT *, count(*) OVER (PARTITION BY g) AS t FROM {tree}) GROUP BY g, i // 16)"
+        left, right = f"array_to_string(hs[1:CAST({i} % 16 AS BIGINT)], '')", f"array_to_string(hs[CAST({i} % 16 + 2 AS BIGINT):], '')"
+        return f"{after} AS (SELECT x.* REPLACE ({i} // 16 AS {i}, CASE WHEN t = 1 THEN p ELSE p || {left} || {right} END AS p, CASE WHEN t = 1 THEN f ELSE sha256({left} || f || {right}) END AS f) FROM {before} x JOIN {run} r ON x.{g} IS NOT DISTINCT FROM r.g AND x.{i} // 16 = r.run)"
+
+    parts.append("w0 AS (SELECT l0.*, '' AS p, l0.i AS k, 0 AS zero FROM l0)")
+    parts += [step(f"w{k}", f"w{k + 1}", f"n{k}", "k", "g") for k in range(levels)]
+    parts.append(f"v0 AS (SELECT w.* REPLACE (s0.i AS k), s0.h AS subroot FROM w{levels} w JOIN s0 ON w.g IS NOT DISTINCT FROM s0.name)")
+    parts += [step(f"v{k}", f"v{k + 1}", f"s{k}", "k", "zero") for k in range(group_levels)]
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, v.h AS leaf, subroot, s.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = s.h AS verified FROM v{group_levels} v, s{group_levels} s"
+
+
 SQL: dict[str, str] = {
     "op6_url_rules": """
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -95,6 +135,7 @@ p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGH
 r(h, f, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 m AS (SELECT page_id, arg_max(h || f, length(h) * 1000 + length(f)) AS rule, arg_max(v, length(h) * 1000 + length(f)) AS v FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f) GROUP BY page_id)
 SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
+    "op12_merkle_manifest": _merkle_sql(),
     "op11_suffix_array_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 w AS (SELECT doc_id, p, md5_number(substr(x, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, x, unnest(range(0, greatest(n - 99, 0))) AS p FROM d)),
