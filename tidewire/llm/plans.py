@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, language, language_model, licenses, merkle, packing, quality, repeats, sharding, simhash, toxicity, urls
+from tidewire.llm import alignment, decontaminate, language, language_model, licenses, merkle, packing, quality, repeats, sharding, simhash, toxicity, urls
 from tidewire.llm.common import rest_of_crc, table
 
 
@@ -89,11 +89,17 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the ids of two tokenizers for every document, weighed by the counts of the whole corpus."""
+    found = alignment.align(table(spark, sf_dir, "documents"), outcome=alignment.sha256_of)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         *(op1_simhash, op2_decontaminate, op3_best_fit_packing, op4_language_model, op5_language, op6_url_rules, op7_sharding, op8_quality_rules, op9_toxicity, op10_licenses),
-        *(op11_suffix_array_dedup, op12_merkle_manifest),
+        *(op11_suffix_array_dedup, op12_merkle_manifest, op13_token_alignment),
     )
 }
 
