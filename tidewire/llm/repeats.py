@@ -126,12 +126,19 @@ def _anchor_counts(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _filter_of(anchors: DataFrame) -> np.ndarray:
-    """Bits of the anchors, FILTER_BITS in all, put together by tasks as 64-bit words."""
+    """Bits of the anchors, FILTER_BITS in all: words are put together by sums in tasks, then stretches of 1,024 words, and the driver gets those, of a fixed size in all."""
     words = anchors.select(F.pmod("anchor", F.lit(FILTER_BITS)).alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    at = words.toPandas()  # FILTER_BITS / 64 rows at most
-    out[at["word"].to_numpy()] = at["bits"].to_numpy()
-    return out.view(np.uint64)
+
+    def stretch(rows: pa.Table) -> pa.Table:
+        out = np.zeros(1024, np.int64)
+        word = rows.column("word").to_numpy()
+        out[word & 1023] = rows.column("bits").to_numpy()
+        return pa.table({"at": pa.array([word[0] >> 10], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    for r in words.groupBy(F.shiftright("word", 10).alias("_at")).applyInArrow(stretch, "at long, bits binary").toLocalIterator():
+        bits[r["at"] << 10 : (r["at"] + 1) << 10] = np.frombuffer(r["bits"], np.uint64)
+    return bits
 
 
 def _repeated_segments(docs: DataFrame, bits, length: int) -> DataFrame:
