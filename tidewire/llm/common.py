@@ -42,6 +42,12 @@ def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, key, "left_anti")
 
 
+def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids``; the ids are broadcast only if they are counted and few, else both sides are shuffled."""
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
 def about(df: DataFrame, key: str, n: int) -> DataFrame:
     """All rows if there are ``n`` at most, else about ``n`` of them: those whose key's hash is small. Counted, not sorted, so that no task or driver holds more than its share."""
     total = df.count()

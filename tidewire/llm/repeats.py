@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import batch_of, map_arrow, stored, without
+from tidewire.llm.common import batch_of, map_arrow, only, stored, without
 from tidewire.llm.suffix_arrays import common_prefixes, suffix_array
 
 LENGTH, ANCHOR = 100, 32
@@ -272,7 +272,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield batch_of(schema, b.column(0), b.column(1), [[{"begin": x, "end": y} for x, y in spans] for spans, _ in done], [kept for _, kept in done])
 
     by_row = starts.select(F.struct("doc_id", "tie").alias("row"), "starts")
-    one = docs.withColumn("row", F.struct("doc_id", "tie")).join(by_row, "row")
+    one = only(docs.withColumn("row", F.struct("doc_id", "tie")), by_row.select("row"), "row").join(by_row, "row")  # only texts that lose something are dealt out
     kinds = "doc_id long, tie long, spans array<struct<begin:bigint,end:bigint>>, kept binary"
     done = map_arrow(one.select("doc_id", "tie", "text", "starts"), run, kinds).dropDuplicates(["doc_id", "tie"])
     done = done.select(F.struct("doc_id", "tie").alias("row"), "spans", "kept")
