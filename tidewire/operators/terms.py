@@ -57,16 +57,34 @@ def document_frequency(tokens: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("docs"))
 
 
-def _pair_counts(sets: DataFrame, min_count: int) -> DataFrame:
+#: Terms in a block of a document's term set.
+BLOCK_TERMS = 128
+
+
+def block_pairs(sets: DataFrame, size: int = BLOCK_TERMS) -> DataFrame:
+    """Rows (n, left, right) from rows (n, terms): each sorted term set cut into blocks of ``size``, and every block paired with itself and with those after it.
+
+    Sets of one block stay where they are. The block pairs of larger ones are dealt out one by one, so that a very long document is spread over tasks like many short ones; the terms dealt are
+    as many as the document's pairs over half a block.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("terms") - 1) / size).cast("int")), lambda k: F.slice("terms", k * size + 1, size))
+    small = sets.where((F.size("terms") > 1) & (F.size("terms") <= size)).select("n", F.col("terms").alias("left"), F.col("terms").alias("right"))
+    large = sets.where(F.size("terms") > size).select("n", blocks.alias("blocks"))
+    lefts = large.select("n", "blocks", F.posexplode("blocks").alias("i", "left"))
+    pairs = lefts.select("n", "left", F.explode(F.slice("blocks", F.col("i") + 1, F.size("blocks"))).alias("right"))
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: adaptive execution would put these few bytes, and all their pairs, into one task
+    return small.unionByName(pairs.repartition(tasks, F.xxhash64("left", "right")))
+
+
+def _pair_counts(sets: DataFrame, min_count: int, size: int = BLOCK_TERMS) -> DataFrame:
     """Pair counts from one sorted term set per document.
 
-    Documents with the same set are merged first, so a large group of copies is expanded once. Pairs leave the
-    generator one at a time and are summed on the map side before the shuffle on (src, dst).
+    Documents with the same set are merged first, so a large group of copies is expanded once. The pairs of two blocks leave the generator together and are summed on the map side before the
+    shuffle on (src, dst).
     """
     merged = sets.groupBy("terms").agg(F.count("*").alias("n"))
-    heads = merged.select("n", "terms", F.posexplode_outer("terms").alias("i", "src"))
-    rest = F.slice("terms", F.col("i") + 2, F.size("terms"))
-    pairs = heads.select("n", "src", F.explode_outer(rest).alias("dst")).where(F.col("dst").isNotNull())
+    pair = lambda x: F.transform(F.filter("right", lambda y: y > x), lambda y: F.struct(x.alias("src"), y.alias("dst")))
+    pairs = block_pairs(merged, size).select("n", F.inline(F.flatten(F.transform("left", pair))))
     return pairs.groupBy("src", "dst").agg(F.sum("n").alias("weight")).where(F.col("weight") >= min_count)
 
 

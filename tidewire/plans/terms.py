@@ -12,12 +12,9 @@ from tidewire.plans.views import with_views
 from tidewire.session import scratch_dir
 from tidewire.sources import articles as article_scans
 from tidewire.sources import standins
+from tidewire.streaming.operators import edge_table, ema_table
 
 CENTER = "the"
-# The graph has every pair of terms that at least so many documents share, at every scale; nothing else bounds the vocabulary.
-MIN_DOCS = 100
-# The least weight of an edge of the reference's graph, which the queries named ..._whole are on.
-WHOLE = 2
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 TOKENS_SQL = with_views("articles") + rf""",
 raw_tokens AS (SELECT id AS doc_id, source_id, published_at, unnest(regexp_extract_all(title || ' ' || content, '[\p{{L}}\p{{N}}]{{2,}}')) AS term
@@ -25,9 +22,9 @@ raw_tokens AS (SELECT id AS doc_id, source_id, published_at, unnest(regexp_extra
 toks AS (SELECT * FROM raw_tokens WHERE term NOT IN ({_STOP})),
 tf AS (SELECT term, count(*) AS frequency, count(DISTINCT doc_id) AS doc_count FROM toks GROUP BY term),
 vocab AS (SELECT term, frequency, doc_count FROM tf ORDER BY frequency DESC, term LIMIT 100),
-pick AS MATERIALIZED (SELECT DISTINCT doc_id, published_at, term FROM toks WHERE term IN (SELECT term FROM tf WHERE doc_count >= 100)),
+pick AS MATERIALIZED (SELECT DISTINCT doc_id, published_at, term FROM toks WHERE term IN (SELECT term FROM tf WHERE doc_count >= 2)),
 edges AS (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM pick a JOIN pick b ON a.doc_id = b.doc_id AND a.term < b.term
-  GROUP BY 1, 2 HAVING count(*) >= 100)
+  GROUP BY 1, 2 HAVING count(*) >= 2)
 """
 WITHIN_SQL = TOKENS_SQL + """, within AS (SELECT DISTINCT doc_id, term FROM toks WHERE term IN (SELECT term FROM vocab)),
 within_edges AS (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM within a JOIN within b ON a.doc_id = b.doc_id AND a.term < b.term
@@ -42,33 +39,24 @@ def _tokens(spark, d):
     return terms.tokenize_articles(standins.articles(spark, d))
 
 
-def _edges(spark, d, min_docs):
-    return terms.cooccurrence(_tokens(spark, d), min_docs)
-
+def _edges(spark, d):
+    return terms.cooccurrence(_tokens(spark, d))
 
-def graph_query(name, sql, pairs=None):
-    """A query on the graph, registered twice: on the pairs that MIN_DOCS documents share and, as ..._whole, on all pairs of the reference's graph.
 
-    ``pairs``: the column of pair counts of an edge table. The whole table is too large to compare by rows; it is summed by that column, over all edges.
-    """
+def edge_query(name, sql, pairs):
+    """A query whose result is an edge table. It is too large to compare by rows, and is summed by the column of pair counts, over all its edges."""
+    sums = f"""SELECT {pairs} AS pairs, count(*) AS edges, CAST(sum(3 * length(src) + length(dst)) AS BIGINT) AS letters,
+  CAST(sum(CAST(round(weight * 1000000) AS BIGINT)) AS BIGINT) AS millionths FROM ({sql}) q GROUP BY 1"""
 
     def register(fn):
-        query(name, sql)(lambda spark, d: fn(spark, d, MIN_DOCS))
-        whole = sql.replace(">= 100", f">= {WHOLE}")
-        if pairs is None:
-            query(f"{name}_whole", whole)(lambda spark, d: fn(spark, d, WHOLE))
-            return fn
-        sums = f"""SELECT {pairs} AS pairs, count(*) AS edges, CAST(sum(3 * length(src) + length(dst)) AS BIGINT) AS letters,
-  CAST(sum(CAST(round(weight * 1000000) AS BIGINT)) AS BIGINT) AS millionths FROM ({whole}) q GROUP BY 1"""
-
+        @query(name, sums)
         def summed(spark, d):
-            return fn(spark, d, WHOLE).groupBy(F.col(pairs).alias("pairs")).agg(
+            return fn(spark, d).groupBy(F.col(pairs).alias("pairs")).agg(
                 F.count("*").alias("edges"),
                 F.sum(3 * F.length("src") + F.length("dst")).alias("letters"),
                 F.sum(F.round(F.col("weight") * 1000000).cast("long")).alias("millionths"),
             )
 
-        query(f"{name}_whole", sums)(summed)
         return fn
 
     return register
@@ -90,9 +78,9 @@ def _(spark, d):
     return terms.term_frequency_by_source(_tokens(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@graph_query("A2_cooccurrence", TOKENS_SQL + "SELECT src, dst, weight FROM edges", "weight")
-def _(spark, d, min_docs):
-    return _edges(spark, d, min_docs)
+@edge_query("A2_cooccurrence", TOKENS_SQL + "SELECT src, dst, weight FROM edges", "weight")
+def _(spark, d):
+    return _edges(spark, d)
 
 
 @query(
@@ -107,7 +95,7 @@ def _(spark, d):
     return terms.cooccurrence(titles)
 
 
-@graph_query(
+@edge_query(
     "A3_cooccurrence_weight",
     TOKENS_SQL
     + """SELECT src, dst, weight AS co_count,
@@ -115,12 +103,12 @@ def _(spark, d):
 FROM edges JOIN tf i ON i.term = src JOIN tf j ON j.term = dst""",
     "co_count",
 )
-def _(spark, d, min_docs):
+def _(spark, d):
     tokens = _tokens(spark, d)
-    return terms.cooccurrence_weight(terms.cooccurrence(tokens, min_docs), terms.document_frequency(tokens))
+    return terms.cooccurrence_weight(terms.cooccurrence(tokens), terms.document_frequency(tokens))
 
 
-@graph_query(
+@edge_query(
     "A3b_jaccard_weight",
     TOKENS_SQL
     + """SELECT src, dst, weight AS co_count,
@@ -128,9 +116,9 @@ def _(spark, d, min_docs):
 FROM edges JOIN tf i ON i.term = src JOIN tf j ON j.term = dst""",
     "co_count",
 )
-def _(spark, d, min_docs):
+def _(spark, d):
     tokens = _tokens(spark, d)
-    return terms.jaccard_weight(terms.cooccurrence(tokens, min_docs), terms.document_frequency(tokens))
+    return terms.jaccard_weight(terms.cooccurrence(tokens), terms.document_frequency(tokens))
 
 
 @query("A2_cooccurrence_within_top_terms", WITHIN_SQL + "SELECT src, dst, weight FROM within_edges")
@@ -139,9 +127,9 @@ def _(spark, d):
     return terms.cooccurrence_within(tokens, terms.term_frequency(tokens))
 
 
-@graph_query("J10_cooccurrence_pairs", TOKENS_SQL + "SELECT src, dst, weight FROM edges", "weight")
-def _(spark, d, min_docs):
-    return _edges(spark, d, min_docs)
+@edge_query("J10_cooccurrence_pairs", TOKENS_SQL + "SELECT src, dst, weight FROM edges", "weight")
+def _(spark, d):
+    return _edges(spark, d)
 
 
 def _term_rows(spark, d):
@@ -217,20 +205,20 @@ def _(spark, d):
     return standins.articles(spark, d).select("id", full_text("title", "content").alias("full_text"))
 
 
-@graph_query("T3_top_edges", TOKENS_SQL + "SELECT src, dst, weight FROM edges ORDER BY weight DESC, src, dst LIMIT 30")
-def _(spark, d, min_docs):
-    return terms.top_edges(_edges(spark, d, min_docs))
+@query("T3_top_edges", TOKENS_SQL + "SELECT src, dst, weight FROM edges ORDER BY weight DESC, src, dst LIMIT 30")
+def _(spark, d):
+    return terms.top_edges(_edges(spark, d))
 
 
-@graph_query(
+@query(
     "J8_neighbors",
     BOTH_SQL + f"SELECT src AS source, dst AS target, weight FROM links WHERE src = '{CENTER}' ORDER BY weight DESC, dst LIMIT 30",
 )
-def _(spark, d, min_docs):
-    return terms.neighbors(_edges(spark, d, min_docs), CENTER)
+def _(spark, d):
+    return terms.neighbors(_edges(spark, d), CENTER)
 
 
-@graph_query(
+@query(
     "U4_graph_nodes",
     TOKENS_SQL
     + """, top AS (SELECT src, dst, weight FROM edges ORDER BY weight DESC, src, dst LIMIT 30),
@@ -239,16 +227,16 @@ seen AS (SELECT src AS name, 0 AS role, row_number() OVER (ORDER BY weight DESC,
 SELECT name, CAST(arg_min(role, pos) + 1 AS INTEGER) AS "group", CASE WHEN arg_min(role, pos) = 0 THEN 15.0::DOUBLE ELSE 10.0::DOUBLE END AS size
 FROM seen GROUP BY name""",
 )
-def _(spark, d, min_docs):
-    return terms.graph_nodes(terms.top_edges(_edges(spark, d, min_docs)))
+def _(spark, d):
+    return terms.graph_nodes(terms.top_edges(_edges(spark, d)))
 
 
-@graph_query("M10_topic_expand", EXPAND_SQL + "SELECT term, weight, 1 AS level, 15.0::DOUBLE + weight * 2 AS size FROM expanded")
-def _(spark, d, min_docs):
-    return terms.topic_expand(_edges(spark, d, min_docs), CENTER)
+@query("M10_topic_expand", EXPAND_SQL + "SELECT term, weight, 1 AS level, 15.0::DOUBLE + weight * 2 AS size FROM expanded")
+def _(spark, d):
+    return terms.topic_expand(_edges(spark, d), CENTER)
 
 
-@graph_query(
+@query(
     "M10_topic_expand_two_levels",
     EXPAND_SQL
     + f""", hop AS (SELECT src, dst, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM links
@@ -257,48 +245,48 @@ second AS (SELECT dst AS term, max(weight) AS weight FROM hop WHERE r <= 8 AND d
 SELECT term, weight, 1 AS level, 15.0::DOUBLE + weight * 2 AS size FROM expanded
 UNION ALL SELECT term, weight, 2, 15.0::DOUBLE + weight * 2 FROM second""",
 )
-def _(spark, d, min_docs):
-    return terms.topic_expand(_edges(spark, d, min_docs), CENTER, depth=2)
+def _(spark, d):
+    return terms.topic_expand(_edges(spark, d), CENTER, depth=2)
 
 
-@graph_query(
+@query(
     "M10_topic_query",
     EXPAND_SQL
     + f"SELECT '{CENTER} ' || string_agg(term, ' OR ' ORDER BY weight DESC, term) AS suggested_query FROM (SELECT * FROM expanded ORDER BY weight DESC, term LIMIT 4) q",
 )
-def _(spark, d, min_docs):
-    return terms.topic_query(terms.topic_expand(_edges(spark, d, min_docs), CENTER), CENTER)
+def _(spark, d):
+    return terms.topic_query(terms.topic_expand(_edges(spark, d), CENTER), CENTER)
 
 
-@graph_query(
+@query(
     "J9_term_match",
     EXPAND_SQL
     + f""", m AS (SELECT a.id, string_agg(e.term, '|' ORDER BY e.term) AS hits FROM articles a
   JOIN expanded e ON contains(lower(a.title || ' ' || coalesce(a.summary, '')), lower(e.term)) GROUP BY 1)
 SELECT a.id, coalesce(m.hits, '{CENTER}') AS matched_terms FROM articles a LEFT JOIN m ON m.id = a.id""",
 )
-def _(spark, d, min_docs):
-    expanded = terms.topic_expand(_edges(spark, d, min_docs), CENTER)
+def _(spark, d):
+    expanded = terms.topic_expand(_edges(spark, d), CENTER)
     return terms.term_match(standins.articles(spark, d), expanded, CENTER).withColumn("matched_terms", listed("matched_terms"))
 
 
 # Two overlapping periods for the merges: what was published before SPLIT_TO is stored, what came from SPLIT_FROM on is the batch.
 SPLIT_FROM, SPLIT_TO = "2026-01-01 00:00:00", "2026-01-03 00:00:00"
 _STORED_SQL = TOKENS_SQL + f""", stored AS (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM pick a JOIN pick b
-  ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.published_at < TIMESTAMP '{SPLIT_TO}' GROUP BY 1, 2 HAVING count(*) >= 100),
+  ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.published_at < TIMESTAMP '{SPLIT_TO}' GROUP BY 1, 2 HAVING count(*) >= 2),
 batch AS (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM pick a JOIN pick b
-  ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.published_at >= TIMESTAMP '{SPLIT_FROM}' GROUP BY 1, 2 HAVING count(*) >= 100)
+  ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.published_at >= TIMESTAMP '{SPLIT_FROM}' GROUP BY 1, 2 HAVING count(*) >= 2)
 """
 
 
-def _stored_and_batch(spark, d, min_docs):
+def _stored_and_batch(spark, d):
     a = standins.articles(spark, d)
-    stored = terms.cooccurrence(terms.tokenize_articles(a.where(F.col("published_at") < ts_literal(SPLIT_TO))), min_docs)
-    batch = terms.cooccurrence(terms.tokenize_articles(a.where(F.col("published_at") >= ts_literal(SPLIT_FROM))), min_docs)
+    stored = terms.cooccurrence(terms.tokenize_articles(a.where(F.col("published_at") < ts_literal(SPLIT_TO))))
+    batch = terms.cooccurrence(terms.tokenize_articles(a.where(F.col("published_at") >= ts_literal(SPLIT_FROM))))
     return stored, batch
 
 
-@graph_query(
+@edge_query(
     "K6_merge_edges",
     _STORED_SQL
     + """SELECT coalesce(b.src, s.src) AS src, coalesce(b.dst, s.dst) AS dst, coalesce(b.weight, s.weight) AS weight,
@@ -306,22 +294,22 @@ def _stored_and_batch(spark, d, min_docs):
 FROM stored s FULL JOIN batch b ON s.src = b.src AND s.dst = b.dst""",
     "weight",
 )
-def _(spark, d, min_docs):
-    stored, batch = _stored_and_batch(spark, d, min_docs)
+def _(spark, d):
+    stored, batch = _stored_and_batch(spark, d)
     at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return sinks.merge_edges(stored.withColumn("updated_at", at), batch, "2024-01-02 00:00:00").withColumn("updated_at", stamp("updated_at"))
 
 
-@graph_query(
+@query(
     "K6_merge_nodes",
     _STORED_SQL + "SELECT src AS name FROM stored UNION SELECT dst FROM stored UNION SELECT src FROM batch UNION SELECT dst FROM batch",
 )
-def _(spark, d, min_docs):
-    stored, batch = _stored_and_batch(spark, d, min_docs)
+def _(spark, d):
+    stored, batch = _stored_and_batch(spark, d)
     return sinks.merge_nodes(sinks.edge_ends(stored), batch)
 
 
-@graph_query(
+@edge_query(
     "K6b_merge_edges_ema",
     _STORED_SQL
     + """SELECT coalesce(s.src, b.src) AS src, coalesce(s.dst, b.dst) AS dst,
@@ -330,16 +318,68 @@ def _(spark, d, min_docs):
 FROM stored s FULL JOIN batch b ON s.src = b.src AND s.dst = b.dst""",
     "co_count",
 )
-def _(spark, d, min_docs):
-    stored, batch = _stored_and_batch(spark, d, min_docs)
+def _(spark, d):
+    stored, batch = _stored_and_batch(spark, d)
     shape = lambda e: e.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.col("weight").alias("co_count"))
     return sinks.merge_edges_ema(shape(stored), shape(batch))
 
 
-@graph_query(
+@query(
     "K6b_merge_node_counts",
     _STORED_SQL + "SELECT name, CAST(sum(n) AS BIGINT) AS count FROM (SELECT src AS name, weight AS n FROM stored UNION ALL SELECT dst, weight FROM batch) q GROUP BY 1",
 )
-def _(spark, d, min_docs):
-    stored, batch = _stored_and_batch(spark, d, min_docs)
+def _(spark, d):
+    stored, batch = _stored_and_batch(spark, d)
     return sinks.merge_node_counts(stored.select(F.col("src").alias("name"), F.col("weight").alias("count")), batch.select(F.col("dst").alias("name"), F.col("weight").alias("count")))
+
+
+def _logged(spark, table, stored, batch):
+    """An edge table with two batches: the stored period, then the new one."""
+    table.write(stored, 0)
+    table.write(batch, 1)
+    return table.read(spark)
+
+
+_MERGED_SQL = """SELECT coalesce(b.src, s.src) AS src, coalesce(b.dst, s.dst) AS dst, coalesce(b.weight, s.weight) AS weight FROM stored s FULL JOIN batch b ON s.src = b.src AND s.dst = b.dst"""
+
+
+def _stored_edges(spark, d):
+    stored, batch = _stored_and_batch(spark, d)
+    dated = lambda e, at: e.withColumn("updated_at", ts_literal(at))
+    return _logged(spark, edge_table(scratch_dir(spark, "edge-table")), dated(stored, "2024-01-01 00:00:00"), dated(batch, "2024-01-02 00:00:00"))
+
+
+@edge_query("K6_edge_table", _STORED_SQL + _MERGED_SQL, "weight")
+def _(spark, d):
+    """K6 on the stored table: the second batch writes its own edges only, reading folds them over the first."""
+    return _stored_edges(spark, d)
+
+
+@query("K6_then_top_edges", _STORED_SQL + f", edges2 AS ({_MERGED_SQL}) SELECT src, dst, weight FROM edges2 ORDER BY weight DESC, src, dst LIMIT 30")
+def _(spark, d):
+    """What the graph's readers see after an update."""
+    return terms.top_edges(_stored_edges(spark, d))
+
+
+@query(
+    "K6_then_neighbors",
+    _STORED_SQL + f", edges2 AS ({_MERGED_SQL}), links2 AS (SELECT src, dst, weight FROM edges2 UNION ALL SELECT dst, src, weight FROM edges2) SELECT src AS source, dst AS target, weight FROM links2 WHERE src = '{CENTER}' ORDER BY weight DESC, dst LIMIT 30",
+)
+def _(spark, d):
+    """The neighbours of a keyword after an update."""
+    return terms.neighbors(_stored_edges(spark, d), CENTER)
+
+
+@edge_query(
+    "K6b_edge_table_ema",
+    _STORED_SQL
+    + """SELECT coalesce(s.src, b.src) AS src, coalesce(s.dst, b.dst) AS dst,
+  CAST(round(CAST(CASE WHEN s.src IS NULL THEN b.weight WHEN b.src IS NULL THEN s.weight ELSE s.weight * 0.8::DOUBLE + b.weight * 0.2::DOUBLE END AS DECIMAL(38,10)), 6) AS DOUBLE) AS weight,
+  coalesce(s.weight, 0) + coalesce(b.weight, 0) AS co_count
+FROM stored s FULL JOIN batch b ON s.src = b.src AND s.dst = b.dst""",
+    "co_count",
+)
+def _(spark, d):
+    stored, batch = _stored_and_batch(spark, d)
+    shape = lambda e: e.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.col("weight").alias("co_count"))
+    return _logged(spark, ema_table(scratch_dir(spark, "ema-table")), shape(stored), shape(batch))
