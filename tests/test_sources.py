@@ -49,8 +49,8 @@ PAGE = """<html><head><title>T &amp; t</title><meta name="author" content="kimki
 <script>var a = "<p>not text</p>";</script></body>"""
 
 
-def scan(spark, *html):
-    return pages.scan_pages(spark.createDataFrame([(i, "https://x.com/list", h) for i, h in enumerate(html)], "page_id long, url string, html string"))
+def scan(spark, *html, **parts):
+    return pages.scan_pages(spark.createDataFrame([(i, "https://x.com/list", h) for i, h in enumerate(html)], "page_id long, url string, html string"), **parts)
 
 
 def test_page_scan(spark):
@@ -73,7 +73,7 @@ def test_page_operators(spark):
     assert links == [("https://x.com/view?id=1", 65), ("https://x.com/view?id=2", 50), ("https://sub.x.com/news/9", 30)]
     groups = [(r["selector"], r["link_count"], r["probable"]) for r in pg.anchor_groups(s).orderBy("rank").collect()]
     assert groups == [("#main a", 4, True), ("ul.gnb a", 3, False)]
-    cascade = [(r["method"], r["link"]) for r in pg.link_cascade(s).orderBy("pos").collect()]
+    cascade = [(r["method"], r["link"]) for r in pg.link_cascade(scan(spark, PAGE, elements=True)).orderBy("pos").collect()]
     assert cascade == [("rows", "https://x.com/view?id=1"), ("rows", "https://x.com/view?id=2")]
     best = pg.content_density(s, 1).first()
     assert (best["selector"], best["score"]) == ("div.post_content", 1044.0)
@@ -81,6 +81,55 @@ def test_page_operators(spark):
     assert pg.common_parent(s, examples).count() == 0  # the list items carry no class
 
 
+CASCADE = {
+    "rule": (
+        """<ul><li><img data-src="/t.png"><b class="mine"><i>x</i><a href="/n/1">One <b>title</b></a></b><p class="newsDesc">a lead</p><span class="Writer-name">Kim</span><time>10:00</time></li>
+        <li class="mine"><a href="/n/2">Two</a></li><li class="mine"><a href="/n/1#">Other</a></li><a class="mine" href="mailto:x">no</a></ul><div class="sa_item"><a href="/article/9">card</a></div>""",
+        [("/n/1", "One title", "a lead", "Kim", "10:00", "https://x.com/t.png"), ("/n/2", "Two", None, None, None, None), ("/n/1#", "Other", None, None, None, None)],
+    ),
+    "cards": (
+        """<div class="sa_item"><div class="sa_text"><a class="sa_text_title" href="/a/1"><strong>Head</strong> line</a><div class="sa_text_lede">lead <i>in</i></div><div class="sa_text_press">P</div><div class="sa_text_datetime">1h</div></div>
+        <img class="sa_thumb_inner" src="https://i.org/1.png"></div><ul class="type06"><li><dl><a href="/x">skipped</a><a href="/article/2">Two</a><span class="writing">W</span><span class="date">d</span></dl></li></ul><tr><td><a href="/view/7">row</a></td></tr>""",
+        [("/a/1", "Head line", "lead in", "P", "1h", "https://i.org/1.png"), ("/article/2", "Two", None, "W", "d", None)],
+    ),
+    "items": (
+        """<div class="list_item"><a href="/else">e</a><a class="list_subject" href="/s/1">Subject</a><span class="nickname">N</span><span class="timestamp">t</span><img src="/i.png"></div>
+        <div class="list_content"><a href="/service/board/2">By link</a></div>""",
+        [("/s/1", "Subject", None, "N", "t", None), ("/service/board/2", "By link", None, None, None, None)],
+    ),
+    "rows": (
+        """<table><tr><td class="eng">23/01</td><td><a href="/x">no</a><a href="/zboard?id=1">Row one</a><span class="user">U</span></td></tr><tr><td><a href="/view/2">x</a></td></tr><tr><td><a href="/view/2">again</a></td></tr>
+        <tr><td><a href="/view/login">login</a></td></tr></table>""",
+        [("/zboard?id=1", "Row one", None, "U", "23/01", None)],
+    ),
+    "any": (
+        """<table><tr><td><a href="/view/2">x</a></td></tr></table><a href="/view/2">a longer one</a><a href="/post/3">Post</a><a href="/post/3">Again</a><a href="/post/share">s</a><a href="/other">o</a><a>none</a><a href="/read/4"></a>""",
+        [("/post/3", "Post", None, None, None, None), ("/read/4", None, None, None, None, None)],
+    ),
+}
+
+
+def test_every_method_of_the_cascade_with_its_fields(spark):
+    made = scan(spark, *[html for html, _ in CASCADE.values()], None, "", "<p>no link", elements=True, anchors=False, blocks=False)
+    found = pg.link_cascade(made.withColumn("own", F.when(F.col("page_id") == 0, "mine")), F.col("own"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInArrow")[0]
+    rows = found.orderBy("page_id", "pos").collect()
+    for k, (method, (_, want)) in enumerate(CASCADE.items()):
+        mine = [r for r in rows if r["page_id"] == k]
+        assert [r["method"] for r in mine] == [method] * len(want) and [r["pos"] for r in mine] == list(range(len(want)))
+        assert [(r["link"].removeprefix("https://x.com"), r["title"], r["snippet"], r["press"], r["time_text"], r["thumbnail"]) for r in mine] == want
+        assert all(r["title"] == r["anchor_text"] for r in mine)
+    assert {r["page_id"] for r in rows} == set(range(5))
+
+
+def test_page_operators_do_not_shuffle_after_the_scan(spark):
+    s = scan(spark, PAGE, partitions=3)
+    for found in (pg.article_links(s), pg.content_density(s), pg.anchor_groups(s)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.split("MapInArrow")[0] and "Exchange" in plan
+
+
 def test_selector_vote_and_negative_terms(spark):
     votes = spark.createDataFrame([("s", 1, "t", "h1"), ("s", 1, "t", "h1"), ("s", 2, "t", "b"), ("s", 3, "t", "b"), ("s", 4, "t", "a"), ("s", 5, "t", "a")], "site string, page_id long, field string, selector string")
     assert tuple(pg.selector_vote(votes).first()) == ("s", "t", "a", 2)
@@ -95,7 +144,7 @@ def test_page_scan_time_grows_with_the_page():
         spent = []
         for n in (2000, 16000):
             start = time.process_time()
-            scanner = pages._PageScanner("http://x.com/")
+            scanner = pages._PageScanner("http://x.com/", elements=True)
             scanner.feed(unit * n)
             scanner.row(1)
             spent.append(time.process_time() - start)

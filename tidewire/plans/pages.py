@@ -15,7 +15,7 @@ from tidewire.sources import standins
 
 
 def _scan(spark, d, **parts):
-    return scans.scan_pages(standins.table(spark, d, "pages"), **parts)
+    return scans.scan_pages(standins.table(spark, d, "pages"), partitions=spark.sparkContext.defaultParallelism, **parts)
 
 
 def _rich_pages(spark, d):
@@ -39,10 +39,11 @@ def _rich_pages(spark, d):
 
 
 def _rich_scan(spark, d, **parts):
-    return scans.scan_pages(_rich_pages(spark, d), **parts)
+    return scans.scan_pages(_rich_pages(spark, d), partitions=spark.sparkContext.defaultParallelism, **parts)
 
 
 LINKS = {"blocks": False}
+ELEMENTS = {"anchors": False, "blocks": False, "elements": True}
 BLOCKS = {"anchors": False}
 HEAD = {"anchors": False, "blocks": False}
 
@@ -204,11 +205,12 @@ def _(spark, d):
     + """, ru AS (SELECT doc_id, 'rule' AS method, pos, '/view/' || pos || CASE WHEN pos % 4 = 3 THEN '/login' ELSE '' END AS href, line FROM r WHERE lang = 'fr'),
 rw AS (SELECT doc_id, 'rows' AS method, pos, '/view/' || pos AS href, line FROM r WHERE lang <> 'fr' AND pos % 4 <> 3 AND length(line) >= 2),
 al AS (SELECT * FROM ru UNION ALL SELECT * FROM rw)
-SELECT doc_id AS page_id, method, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, 'https://list.example.com' || href AS link, regexp_replace(line, ' +', ' ', 'g') AS text FROM al""",
+SELECT doc_id AS page_id, method, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, 'https://list.example.com' || href AS link, trim(line) AS title, trim(line) AS anchor_text,
+  NULL::VARCHAR AS snippet, NULL::VARCHAR AS press, NULL::VARCHAR AS time_text, NULL::VARCHAR AS thumbnail FROM al""",
 )
 def _(spark, d):
     langs = standins.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.when(F.col("lang") == "fr", "t").alias("rule"))
-    return pg.link_cascade(_rich_scan(spark, d, **LINKS).join(langs, "page_id"), F.col("rule"))
+    return pg.link_cascade(_rich_scan(spark, d, **ELEMENTS).join(langs, "page_id"), F.col("rule"))
 
 
 _NOTICES = " OR ".join(f"contains(text, '{w}')" for w in pg.NOTICE_WORDS)

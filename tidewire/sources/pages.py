@@ -28,13 +28,15 @@ NOISE_IDS = ("comment", "reply", "memo_", "cmt_")
 NOISE_CLASSES = NOISE_IDS + ("reply_area", "d_drag", "photo_drag", "sidebar", "banner", "menu", "nav", "footer", "ad_")
 BLOCK_TAGS = {"td", "article", "section", "div", "p"}
 GROUP_TAGS = {"table", "ul", "ol", "div"}
+BOX_TAGS = {"li", "tr", "div", "article"}
 MISSING_AUTHOR = "미지정"
 
 SCAN_SCHEMA = (
     "page_id long, url string, title string, h1 string, canonical_link string, meta map<string,string>, "
     "anchors array<struct<pos:int,href:string,abs_url:string,text:string,class:string,path:string,parent_class:string,"
-    "in_chrome:boolean,hidden:boolean,first:boolean,row:int,groups:array<int>>>, "
-    "groups array<struct<gid:int,tag:string,id:string,class:string>>, "
+    "in_chrome:boolean,hidden:boolean,first:boolean>>, "
+    "groups array<struct<gid:int,tag:string,id:string,class:string,from:int,after:int>>, "
+    "elements array<struct<at:int,tag:string,class:string,href:string,link:string,last:int,box:int,piece:int,pieces:int>>, pieces array<string>, "
     "blocks array<struct<pos:int,tag:string,id:string,class:string,text_len:int,link_len:int,img_count:int,preview:string>>"
 )
 PREVIEW_CHARS = 120
@@ -63,9 +65,9 @@ def _attributes(text: str) -> dict[str, str]:
 class _PageScanner:
     """Collects anchors, containers, text blocks and head metadata in one pass over the tags of a page."""
 
-    def __init__(self, url: str, anchors: bool = True, blocks: bool = True):
+    def __init__(self, url: str, anchors: bool = True, blocks: bool = True, elements: bool = False):
         self.url = url
-        self.want_anchors, self.want_blocks = anchors, blocks
+        self.want_anchors, self.want_blocks, self.want_elements = anchors, blocks, elements
         origin = _ORIGIN.match(url)
         self.origin = origin.group(0) if origin else ""
         self.open: list[dict] = []
@@ -75,7 +77,8 @@ class _PageScanner:
         self.anchors: list[dict] = []
         self.groups: list[dict] = []
         self.blocks: list[dict] = []
-        self.rows = 0
+        self.elements: list[dict] = []  # in document order: what an element holds are the ones up to its ``last``
+        self.pieces: list[str] = []
         self.meta: dict[str, str] = {}
         self.title: list[str] | None = None
         self.h1: list[str] | None = None
@@ -144,6 +147,8 @@ class _PageScanner:
             if home:
                 home["img_count"] += 1
         if tag in VOID_TAGS:
+            if tag == "img" and self.want_elements:
+                self._element(tag, a, {})["last"] = len(self.elements) - 1
             return
         if tag == "a" and self.counts.get("a"):
             self._close("a")
@@ -159,8 +164,9 @@ class _PageScanner:
             "noise": tag in NOISE_TAGS or parent.get("noise", False),
             "linked": tag == "a" or parent.get("linked", False),
             "home": parent.get("home"),
-            "row": parent.get("row", -1),
         }
+        if self.want_elements:
+            e["element"] = self._element(tag, a, parent)
         if not e["noise"] and (cls or ident):
             low_id, low_cls = ident.lower(), cls.lower()
             e["noise"] = any(k in low_id for k in NOISE_IDS) or any(k in low_cls for k in NOISE_CLASSES)
@@ -174,20 +180,15 @@ class _PageScanner:
                 "parent_class": parent.get("class", ""),
                 "in_chrome": e["chrome"],
                 "hidden": e["hidden"],
-                "row": e["row"],
-                "groups": [x["gid"] for x in self.open if "gid" in x],
             }
             self.anchors.append(e["anchor"])
-        elif tag == "tr":
-            e["row"] = self.rows
-            self.rows += 1
         elif tag == "title" and self.title is None:
             self.title = e["text"] = []
         elif tag == "h1" and self.h1 is None:
             self.h1 = e["text"] = []
         if self.want_anchors and tag in GROUP_TAGS:
-            e["gid"] = len(self.groups)
-            self.groups.append({"gid": e["gid"], "tag": tag, "id": ident, "class": cls})
+            e["group"] = {"gid": len(self.groups), "tag": tag, "id": ident, "class": cls, "from": len(self.anchors)}
+            self.groups.append(e["group"])
         if self.want_blocks and tag in BLOCK_TAGS and not e["noise"]:
             e["block"] = {
                 "pos": len(self.blocks), "tag": tag, "id": ident, "class": cls, "text_len": 0, "link_len": 0, "img_count": 0, "preview": "", "pieces": 0, "above": e["home"],
@@ -200,9 +201,22 @@ class _PageScanner:
         self.counts[tag] = self.counts.get(tag, 0) + 1
         self.open.append(e)
 
+    def _element(self, tag: str, a: dict[str, str], parent: dict) -> dict:
+        """An element by its number, with the nearest card around it and the text pieces from which on its own come; class names stand between spaces."""
+        above = parent.get("element", {})
+        box = above["at"] if above.get("tag") in BOX_TAGS else above.get("box", -1)
+        source = a.get("href") if tag == "a" else (a.get("src") or a.get("data-src")) if tag == "img" else None
+        cls = " ".join(a.get("class", "").split())
+        self.elements.append({"at": len(self.elements), "tag": tag, "class": f" {cls} " if cls else "", "href": source, "link": self._absolute(source) if source else None, "box": box, "piece": len(self.pieces), "pieces": 0})
+        return self.elements[-1]
+
     def _end(self) -> None:
         """Close the innermost element; a block hands its sums to the block around it."""
         e = self.open.pop()
+        if "element" in e:
+            e["element"].update(last=len(self.elements) - 1, pieces=len(self.pieces) - e["element"]["piece"])
+        if "group" in e:
+            e["group"]["after"] = len(self.anchors)
         self.counts[e["tag"]] -= 1
         if self.listening and self.listening[-1] is e:
             self.listening.pop()
@@ -228,6 +242,8 @@ class _PageScanner:
         if "&" in piece:
             piece = unescape(piece)
         top = self.open[-1]
+        if self.want_elements:
+            self.pieces.append(piece)
         for e in self.listening:
             (e["text"] if "text" in e else e["anchor"]["text"]).append(piece)
         home = top["home"]
@@ -273,16 +289,18 @@ class _PageScanner:
             "meta": list(self.meta.items()),
             "anchors": self.anchors,
             "groups": self.groups,
+            "elements": self.elements,
+            "pieces": self.pieces,
             "blocks": self.blocks,
         }
 
 
-def _scan_batches(batches: Iterator[pa.RecordBatch], anchors: bool, blocks: bool) -> Iterator[pa.RecordBatch]:
+def _scan_batches(batches: Iterator[pa.RecordBatch], anchors: bool, blocks: bool, elements: bool) -> Iterator[pa.RecordBatch]:
     schema = _arrow_schema()
     for batch in batches:
         rows = []
         for page_id, url, html in zip(*((x.as_py() for x in batch.column(i)) for i in range(3))):
-            scanner = _PageScanner(url or "", anchors, blocks)
+            scanner = _PageScanner(url or "", anchors, blocks, elements)
             scanner.feed(html or "")
             rows.append(scanner.row(page_id))
             if len(rows) == SLICE:
@@ -295,22 +313,27 @@ def _arrow_schema() -> pa.Schema:
     s, i, b = pa.string(), pa.int32(), pa.bool_()
     anchor = pa.struct(
         [("pos", i), ("href", s), ("abs_url", s), ("text", s), ("class", s), ("path", s), ("parent_class", s), ("in_chrome", b), ("hidden", b),
-         ("first", b), ("row", i), ("groups", pa.list_(i))]
+         ("first", b)]
     )
-    group = pa.struct([("gid", i), ("tag", s), ("id", s), ("class", s)])
+    group = pa.struct([("gid", i), ("tag", s), ("id", s), ("class", s), ("from", i), ("after", i)])
+    element = pa.struct([("at", i), ("tag", s), ("class", s), ("href", s), ("link", s), ("last", i), ("box", i), ("piece", i), ("pieces", i)])
     block = pa.struct(
         [("pos", i), ("tag", s), ("id", s), ("class", s), ("text_len", i), ("link_len", i), ("img_count", i), ("preview", s)]
     )
     return pa.schema(
         [("page_id", pa.int64()), ("url", s), ("title", s), ("h1", s), ("canonical_link", s), ("meta", pa.map_(s, s)),
-         ("anchors", pa.list_(anchor)), ("groups", pa.list_(group)), ("blocks", pa.list_(block))]
+         ("anchors", pa.list_(anchor)), ("groups", pa.list_(group)), ("elements", pa.list_(element)), ("pieces", pa.list_(s)), ("blocks", pa.list_(block))]
     )
 
 
-def scan_pages(pages: DataFrame, anchors: bool = True, blocks: bool = True) -> DataFrame:
-    """Parse every page once. Input: page_id, url, html. Head metadata is always read; skip the arrays nobody asks for."""
-    scan = partial(_scan_batches, anchors=anchors, blocks=blocks)
-    return pages.select("page_id", "url", "html").mapInArrow(scan, SCAN_SCHEMA)
+def scan_pages(pages: DataFrame, anchors: bool = True, blocks: bool = True, elements: bool = False, partitions: int | None = None) -> DataFrame:
+    """Parse every page once. Input: page_id, url, html. Head metadata is always read; skip the arrays nobody asks for.
+
+    ``partitions``: deal the pages out to so many tasks before they are parsed, where their files are fewer or of uneven size.
+    """
+    scan = partial(_scan_batches, anchors=anchors, blocks=blocks, elements=elements)
+    pages = pages.select("page_id", "url", "html")
+    return (pages.repartition(partitions) if partitions else pages).mapInArrow(scan, SCAN_SCHEMA)
 
 
 def anchor_rows(scan: DataFrame) -> DataFrame:
@@ -348,13 +371,12 @@ def page_metadata(scan: DataFrame) -> DataFrame:
     )
 
 
+def block_selector(b: Column) -> Column:
+    """Selector of a text block: its id, else its tag and first class."""
+    by_class = F.when(b["class"] != "", F.concat(b["tag"], F.lit("."), F.substring_index(b["class"], ".", 1))).otherwise(b["tag"])
+    return F.when(b["id"] != "", F.concat(F.lit("#"), F.lower(b["id"]))).otherwise(by_class)
+
+
 def page_blocks(scan: DataFrame) -> DataFrame:
     """Text blocks outside page chrome and comment areas."""
-    b = scan.select("page_id", "url", F.explode("blocks").alias("b")).select("page_id", "url", "b.*")
-    first_class = F.substring_index("class", ".", 1)
-    selector = (
-        F.when(F.col("id") != "", F.concat(F.lit("#"), F.lower("id")))
-        .when(F.col("class") != "", F.concat(F.col("tag"), F.lit("."), first_class))
-        .otherwise(F.col("tag"))
-    )
-    return b.withColumn("selector", selector)
+    return scan.select("page_id", "url", F.explode("blocks").alias("b")).select("page_id", "url", "b.*", block_selector(F.col("b")).alias("selector"))
