@@ -86,25 +86,18 @@ def needs_images() -> Column:
 def pending_text(articles: DataFrame, n: int = 8, skip_failed: bool = False) -> DataFrame:
     """The next ``n`` articles to analyse, newest first, no url and no title twice.
 
-    A row is taken when neither its url nor its title was taken before. Each round folds the newest 2n pending rows that share neither with a taken
-    one; the first of them is always taken, so that copies at the head of the queue cost rounds, not rows.
+    A row is taken when neither its url nor its title was taken before; nulls count as one url, and as an empty title. Only the newest ``n`` urls of a title and ``n`` titles of a url can be
+    taken: whoever stands behind them comes after ``n`` taken rows. Each taken row then shuts out fewer than 2n others, so that the newest 2n * n of what is left decide. They are folded in one row.
     """
     cols = ["id", "source_id", "url", "title", "published_at"]
-    rows = articles.where(needs_text(skip_failed)).select(*cols)
-    taken: list = []
-    while len(taken) < n:
-        left = rows
-        if taken:
-            urls = [r["url"] for r in taken if r["url"] is not None]
-            titles = [r["title"] or "" for r in taken]
-            left = rows.where(~F.coalesce(F.col("url").isin(urls), F.lit(False)) & ~F.coalesce("title", F.lit("")).isin(titles) & ~F.col("id").isin([r["id"] for r in taken]))
-        newest = left.orderBy(F.desc("published_at"), F.desc("id")).limit(2 * n).collect()
-        for r in newest:
-            if len(taken) < n and not any(t["url"] == r["url"] or (t["title"] or "") == (r["title"] or "") for t in taken):
-                taken.append(r)
-        if len(newest) < 2 * n:
-            break
-    return articles.sparkSession.createDataFrame([tuple(r) for r in sorted(taken, key=lambda r: (r["published_at"], r["id"]), reverse=True)], rows.schema)
+    rows = articles.where(needs_text(skip_failed)).select(*cols, F.coalesce("title", F.lit("")).alias("__title"))
+    newest = [F.desc("published_at"), F.desc("id")]
+    of_title = top_per(top_per(rows, ["url", "__title"], newest), ["__title"], newest, n)
+    head = top_per(of_title, ["url"], newest, n).orderBy(*newest).limit(2 * n * n)
+    queue = head.agg(F.sort_array(F.collect_list(F.struct("published_at", "id", "source_id", "url", "title", "__title")), asc=False).alias("queue"))
+    free = lambda taken, r: ~F.exists(taken, lambda t: t["url"].eqNullSafe(r["url"]) | (t["__title"] == r["__title"]))
+    taken = F.aggregate("queue", F.slice("queue", 1, 0), lambda taken, r: F.when((F.size(taken) < n) & free(taken, r), F.concat(taken, F.array(r))).otherwise(taken))
+    return queue.select(F.inline(taken)).select(*cols)
 
 
 def pending_images(articles: DataFrame, n: int = 4) -> DataFrame:

@@ -207,11 +207,8 @@ def rate_compliance(summary: DataFrame, window_events: DataFrame, articles: Data
         F.coalesce(F.bool_and(F.when(F.col("category") == "source", F.col("peak_rate") <= MAX_RATE)), F.lit(True)).alias("compliant"),
         F.max(F.when(F.col("category") == "total", F.col("peak_rate"))).alias("global_max_rate"),
         F.count("*").alias("active_lanes"),
-    ).select(
-        "*",
-        window_events.agg(F.count("*")).scalar().alias("total_events"),
-        window_events.agg(F.max("created_at")).scalar().alias("latest_event"),
-        duplicate_keys(articles, "url").scalar().alias("duplicate_count"),
+    ).select("*", window_events.agg(F.struct(F.count("*").alias("n"), F.max("created_at").alias("latest"))).scalar().alias("__window"), duplicate_keys(articles, "url").scalar().alias("duplicate_count")).select(
+        "compliant", "global_max_rate", "active_lanes", F.col("__window.n").alias("total_events"), F.col("__window.latest").alias("latest_event"), "duplicate_count"
     )
 
 

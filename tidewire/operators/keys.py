@@ -26,19 +26,23 @@ def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return top_per(df, keys, [F.asc(order)], 1)
 
 
-def gaps_between_times(df: DataFrame, key: str, ts: str, tie: str, chunk_seconds: int = 60) -> DataFrame:
+def gaps_between_times(df: DataFrame, key: str, ts: str, tie: str, chunk_seconds: int = 60, chunks: int = 1440) -> DataFrame:
     """One row per key and distinct time: ``n`` rows at that time, the smallest ``tie`` and the gap to the time before.
 
-    Equal times are merged by a partial aggregation first. The distinct times are then ordered inside (key, time chunk),
-    and the first of a chunk takes the end of the key's previous chunk from a table with one row per key and chunk. So
-    neither a key nor an instant that holds a third of all rows meets in one task; a chunk holds at most its microseconds.
+    Equal times are merged by a partial aggregation first. The distinct times are then ordered inside (key, time chunk); the first of a chunk takes the end of the chunk before, which is carried
+    in two levels: inside a span of ``chunks`` chunks (a day), and from span to span. So neither a key nor an instant that holds a third of all rows meets in one task: a chunk holds at most
+    its microseconds, a span its chunks, and a key the days of its history.
     """
     times = df.groupBy(key, ts).agg(F.count("*").alias("n"), F.min(tie).alias("first_tie"))
-    chunked = times.withColumn("__chunk", F.floor(epoch_seconds(ts) / F.lit(chunk_seconds)).cast("long"))
+    chunk = F.floor(epoch_seconds(ts) / F.lit(chunk_seconds)).cast("long")
+    chunked = times.withColumn("__chunk", chunk)
     inner = F.lag(ts).over(W.partitionBy(key, "__chunk").orderBy(ts))
-    ends = chunked.groupBy(key, "__chunk").agg(F.max(ts).alias("__end"))
-    carried = ends.select(
-        F.col(key).alias("__key"), F.col("__chunk").alias("__c"), F.lag("__end").over(W.partitionBy(key).orderBy("__chunk")).alias("__carried")
+    ends = chunked.groupBy(key, "__chunk").agg(F.max(ts).alias("__end")).withColumn("__span", F.floor(F.col("__chunk") / chunks))
+    in_span = ends.withColumn("__last", F.lag("__end").over(W.partitionBy(key, "__span").orderBy("__chunk")))
+    spans = ends.groupBy(key, "__span").agg(F.max("__end").alias("__end"))
+    from_span = spans.select(F.col(key).alias("__of"), F.col("__span").alias("__s"), F.lag("__end").over(W.partitionBy(key).orderBy("__span")).alias("__far"))
+    carried = in_span.join(from_span, F.col(key).eqNullSafe(F.col("__of")) & (F.col("__span") == F.col("__s")), "left").select(
+        F.col(key).alias("__key"), F.col("__chunk").alias("__c"), F.coalesce("__last", "__far").alias("__carried")
     )
     joined = chunked.withColumn("__before", inner).join(
         carried, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__chunk") == F.col("__c")), "left"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewire.functions.core import as_col, full_text, let, round_half_up, ts_literal
+from tidewire.functions.core import as_col, full_text, round_half_up, ts_literal
 from tidewire.functions.text import tokenize
 
 
@@ -128,18 +128,38 @@ def jaccard_weight(edges: DataFrame, docs: DataFrame) -> DataFrame:
     return _with_ends(edges, docs).select("src", "dst", F.col("weight").alias("co_count"), round_half_up(weight, 6).alias("weight"))
 
 
-def term_rollup(term_rows: DataFrame, minutes: int = 10) -> DataFrame:
-    """Frequency per term and time bucket, with the change against the bucket just before it (A4).
-
-    The window runs over bucket sums, so its groups are as long as the time range, not as long as the input.
-    """
-    sums = term_rows.groupBy("term", F.window("time", f"{minutes} minutes")["start"].alias("bucket")).agg(F.sum("frequency").alias("frequency"))
+def _with_change(sums: DataFrame, minutes: int) -> DataFrame:
+    """``previous`` and ``change`` against the bucket just before. The window runs over bucket sums, so its groups are as long as the time range, not as long as the input."""
     w = W.partitionBy("term").orderBy("bucket")
     before = F.when(
         F.timestamp_diff("MINUTE", F.lag("bucket").over(w), F.col("bucket")) == minutes, F.lag("frequency").over(w)
     ).otherwise(F.lit(0))
-    out = sums.withColumn("previous", before)
-    return out.withColumn("change", F.col("frequency") - F.col("previous"))
+    return sums.withColumn("previous", before).withColumn("change", F.col("frequency") - F.col("previous"))
+
+
+def _bucket_sums(rows: DataFrame, time: str, minutes: int) -> DataFrame:
+    return rows.groupBy("term", F.window(time, f"{minutes} minutes")["start"].alias("bucket")).agg(F.sum("frequency").alias("frequency"))
+
+
+def term_rollup(term_rows: DataFrame, minutes: int = 10) -> DataFrame:
+    """Frequency per term and time bucket, with the change against the bucket just before it (A4)."""
+    return _with_change(_bucket_sums(term_rows, "time", minutes), minutes)
+
+
+#: Minutes of a fine bucket, an hour and a day.
+GRAINS = (10, 60, 1440)
+
+
+def term_rollups(term_rows: DataFrame, grains: tuple[int, ...] = GRAINS) -> DataFrame:
+    """A4 at several grains, each a multiple of the one before: coarse sums are sums of the finer ones, and only the finest reads the rows."""
+    sums, out = _bucket_sums(term_rows, "time", grains[0]), None
+    for k, minutes in enumerate(grains):
+        if minutes % grains[max(0, k - 1)]:
+            raise ValueError(f"{minutes} minutes are no multiple of {grains[k - 1]}")
+        sums = _bucket_sums(sums, "bucket", minutes) if k else sums
+        rows = _with_change(sums, minutes).withColumn("minutes", F.lit(minutes))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def term_series(term_rows: DataFrame, term: str, as_of, hours: int = 24) -> DataFrame:
@@ -222,14 +242,22 @@ def topic_query(expanded: DataFrame, center: str, n: int = 4) -> DataFrame:
     return first.agg(F.trim(F.concat(F.lit(center + " "), joined)).alias("suggested_query"))
 
 
+_RUN = r"[\p{L}\p{N}]+"
+
+
 def term_match(docs: DataFrame, terms: DataFrame, center: str) -> DataFrame:
-    """Which graph terms occur in title plus summary, ignoring case (J9); none means the center itself.
+    """Which graph terms occur in title plus summary, ignoring case (J9); none means the center itself. ``docs``: id, title, summary; ids are unique.
 
-    ``terms`` is the result of ``topic_expand``: at most n + n * n rows at two levels, whatever the corpus holds. It
-    enters as one array value, so the documents are scanned once and nothing is joined.
+    A graph term has letters and digits only, so that it can occur inside a run of them and nowhere else. The distinct runs of all texts are cut into their parts of up to the longest term's
+    length, and met with the terms by an equality join; the runs of a document then bring their terms along. The work is linear in the text, and the list of terms may be of any length.
     """
-    listed = terms.agg(F.array_sort(F.collect_set("term")))
     text = F.lower(full_text(F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
-    hits = F.filter("wanted", lambda t: F.contains(F.col("text"), F.lower(t)))
-    matched = let(hits, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(center))))
-    return docs.select("id", text.alias("text"), listed.scalar().alias("wanted")).select("id", matched.alias("matched_terms"))
+    wanted = terms.select(F.col("term"), F.lower("term").alias("part")).distinct()
+    runs = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_RUN})"), F.lit(1)))).alias("run"))
+    longest = wanted.agg(F.coalesce(F.max(F.length("part")), F.lit(0))).scalar()
+    parts_at = lambda i, m: F.transform(F.sequence(F.lit(1), F.least(m, F.length("run") - i + 1)), lambda n: F.substr("run", i, n))
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: parts_at(i, F.col("longest"))))
+    cut = runs.select("run").distinct().withColumn("longest", longest).where("longest > 0").select("run", F.explode(F.array_distinct(parts)).alias("part"))
+    hits = cut.join(wanted, "part").select("run", "term")
+    found = runs.join(hits, "run").groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("matched"))
+    return docs.select("id").join(found, "id", "left").select("id", F.coalesce("matched", F.array(F.lit(center))).alias("matched_terms"))

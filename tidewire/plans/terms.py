@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions.core import full_text, ts_literal
-from tidewire.functions.text import STOPWORDS, tokenize
+from tidewire.functions.text import STOPWORDS, extractive_summary, tokenize
 from tidewire.operators import sinks, terms
 from tidewire.plans.registry import listed, query, stamp
 from tidewire.plans.views import with_views
@@ -156,6 +156,20 @@ def _(spark, d):
     return terms.term_rollup(_term_rows(spark, d)).withColumn("bucket", stamp("bucket"))
 
 
+@query(
+    "A4_term_rollups",
+    TERM_ROWS_SQL
+    + ", b AS ("
+    + " UNION ALL ".join(f"SELECT {m} AS minutes, term, time_bucket(INTERVAL {m} MINUTES, time) AS bucket, CAST(sum(frequency) AS BIGINT) AS frequency FROM term_rows GROUP BY ALL" for m in terms.GRAINS)
+    + """), p AS (SELECT minutes, term, bucket, frequency, CASE WHEN lag(bucket) OVER w = bucket - to_minutes(minutes) THEN lag(frequency) OVER w ELSE 0 END AS previous
+  FROM b WINDOW w AS (PARTITION BY minutes, term ORDER BY bucket))
+SELECT minutes, term, strftime(bucket, '%Y-%m-%d %H:%M:%S') AS bucket, frequency, previous, frequency - previous AS change FROM p""",
+)
+def _(spark, d):
+    """Ten minutes, hours and days."""
+    return terms.term_rollups(_term_rows(spark, d)).withColumn("bucket", stamp("bucket"))
+
+
 @query(
     "F4_term_series",
     TERM_ROWS_SQL
@@ -258,16 +272,36 @@ def _(spark, d):
     return terms.topic_query(terms.topic_expand(_edges(spark, d), CENTER), CENTER)
 
 
+_SUMMARY_SQL = r"""s AS (SELECT id, title, list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 15) AS lines FROM articles),
+texts AS (SELECT id, lower(title || ' ' || CASE WHEN len(lines) > 0 THEN array_to_string(list_transform(lines[1:3], lambda x, i: i || '. ' || x), chr(10)) ELSE title END) AS text FROM s)"""
+
+
+def _summarised(spark, d):
+    """Articles with their extractive summary."""
+    return standins.articles(spark, d).select("id", "title", extractive_summary("content", "title").alias("summary"))
+
+
 @query(
     "J9_term_match",
     EXPAND_SQL
-    + f""", m AS (SELECT a.id, string_agg(e.term, '|' ORDER BY e.term) AS hits FROM articles a
-  JOIN expanded e ON contains(lower(a.title || ' ' || coalesce(a.summary, '')), lower(e.term)) GROUP BY 1)
-SELECT a.id, coalesce(m.hits, '{CENTER}') AS matched_terms FROM articles a LEFT JOIN m ON m.id = a.id""",
+    + f""", {_SUMMARY_SQL}, m AS (SELECT a.id, string_agg(e.term, '|' ORDER BY e.term) AS hits FROM texts a JOIN expanded e ON contains(a.text, lower(e.term)) GROUP BY 1)
+SELECT a.id, coalesce(m.hits, '{CENTER}') AS matched_terms FROM texts a LEFT JOIN m ON m.id = a.id""",
+)
+def _(spark, d):
+    return terms.term_match(_summarised(spark, d), terms.topic_expand(_edges(spark, d), CENTER), CENTER).withColumn("matched_terms", listed("matched_terms"))
+
+
+@query(
+    "J9_term_match_of_all_terms",
+    TOKENS_SQL
+    + f""", {_SUMMARY_SQL}, v AS (SELECT DISTINCT term FROM tf WHERE doc_count >= 2),
+m AS (SELECT a.id, string_agg(v.term, '|' ORDER BY v.term) AS hits FROM texts a JOIN v ON contains(a.text, lower(v.term)) GROUP BY 1)
+SELECT a.id, coalesce(m.hits, '{CENTER}') AS matched_terms FROM texts a LEFT JOIN m ON m.id = a.id""",
 )
 def _(spark, d):
-    expanded = terms.topic_expand(_edges(spark, d), CENTER)
-    return terms.term_match(standins.articles(spark, d), expanded, CENTER).withColumn("matched_terms", listed("matched_terms"))
+    """Every term of two documents or more is looked for in every summary."""
+    every = terms.document_frequency(_tokens(spark, d)).where("docs >= 2").select("term")
+    return terms.term_match(_summarised(spark, d), every, CENTER).withColumn("matched_terms", listed("matched_terms"))
 
 
 # Two overlapping periods for the merges: what was published before SPLIT_TO is stored, what came from SPLIT_FROM on is the batch.
