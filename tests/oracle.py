@@ -57,7 +57,7 @@ def main(sf_dir: str, names: list[str]) -> int:
     if os.environ.get("PLAIN_SESSION"):
         spark = SparkSession.builder.master("local[8]").getOrCreate()
     else:
-        spark = build_session("local[8]", 8)
+        spark = build_session("local[8]", 8, **{"spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
