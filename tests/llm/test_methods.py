@@ -126,6 +126,18 @@ def test_plans_hold_every_piece_once():
     assert check_plan(counts, 2048) <= 1.01 * math.ceil(sum(k * n for k, n in counts.items()) / 2048)
 
 
+def test_merges_of_many_parts_are_the_tokenizers():
+    import public_tokenizers
+
+    encoder = packing.encoder_of(public_tokenizers.path(packing.VOCABULARY))
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzéèüñßœøđ'"
+    parts = ["".join(rng.choice(letters[:-1]) for _ in range(rng.randint(1, 12))) for _ in range(20_000)] + ["aaaaaaaaaaaa", "ababababab", "a", "the", "'s", "ﬁ"] + [chr(c) for c in range(0xE0, 0x250) if chr(c).islower()]
+    parts = [p for p in parts if len(p.encode()) <= packing.Merges.LONGEST]
+    assert encoder.merges.usable and encoder.merges.ids([p.encode() for p in parts]) == encoder._ids(parts)
+    assert encoder.merges.ids([]) == []
+
+
 def test_word_by_word_ids_are_the_tokenizers(monkeypatch):
     import public_tokenizers
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,82 @@ def _lower(text: str) -> str:
     return text.lower()
 
 
+class Merges:
+    """The ids of word parts by the merges of a byte-level vocabulary with word ends, for very many parts at once.
+
+    A row of symbols for each part; in every step the merge that ranks first in a row, the leftmost if it is there twice, is carried out in all rows together. A merge's product never takes part
+    in one that ranks before it, so that this is the tokenizer's own order.
+    """
+
+    END, LONGEST, NONE = "</w>", 24, np.int32(2**31 - 1)
+
+    def __init__(self, path: str):
+        with open(path) as f:
+            model = json.load(f)["model"]
+        self.usable = model.get("end_of_word_suffix") == self.END and not any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix"))
+        if not self.usable:
+            return
+        vocabulary = model["vocab"]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that are written as themselves; the others follow from 256 on
+        others = [b for b in range(256) if b not in printable]
+        marks = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+        self.inner, self.last = (np.array([vocabulary.get(marks[b] + end, -1) for b in range(256)], np.int32) for end in ("", self.END))
+        self.usable = min(self.inner.min(), self.last.min()) >= 0
+        self.width = np.int64(max(vocabulary.values()) + 1)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        keys = np.array([vocabulary[a] * int(self.width) + vocabulary[b] for a, b in pairs], np.int64)
+        self.order = np.argsort(keys, kind="stable").astype(np.int32)
+        self.keys = keys[self.order]
+        self.product = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each two symbols; NONE where there is none, or no symbol."""
+        keys = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (left >= 0) & (right >= 0), self.order[at], self.NONE)
+
+    def ids(self, parts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of parts of 1 to LONGEST bytes."""
+        out: list[bytes] = [b""] * len(parts)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        for low, high in ((0, 6), (6, 10), (10, 15), (15, self.LONGEST)):
+            rows = np.flatnonzero((sizes > low) & (sizes <= high))
+            if len(rows):
+                self._merge([parts[k] for k in rows.tolist()], sizes[rows], rows, out)
+        return out
+
+    def _merge(self, parts: list[bytes], size: np.ndarray, rows: np.ndarray, out: list[bytes]) -> None:
+        width = int(size.max())
+        raw = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in parts]), np.uint8).reshape(-1, width)
+        place = np.arange(width)
+        symbols = np.where(place < size[:, None] - 1, self.inner[raw], np.where(place == size[:, None] - 1, self.last[raw], np.int32(-1))).astype(np.int64)
+        ranks = self._ranks(symbols[:, :-1], symbols[:, 1:]) if width > 1 else np.full((len(parts), 1), self.NONE)
+        while len(rows):
+            best = ranks.argmin(1)
+            every = np.arange(len(rows))
+            least = ranks[every, best]
+            done = least == self.NONE
+            if done.any():
+                for k, n, ids in zip(rows[done].tolist(), size[done].tolist(), symbols[done].astype("<u4"), strict=True):
+                    out[k] = ids[:n].tobytes()
+                go = ~done
+                rows, size, symbols, ranks, best, least = rows[go], size[go], symbols[go], ranks[go], best[go], least[go]
+                every = np.arange(len(rows))
+                if not len(rows):
+                    return
+            symbols[every, best] = self.product[least]
+            later = place[None, :-1] > best[:, None]
+            symbols[:, :-1] = np.where(later, symbols[:, 1:], symbols[:, :-1])
+            symbols[:, -1] = -1
+            size = size - 1
+            later = place[None, : width - 2] > best[:, None]
+            ranks[:, :-1] = np.where(later, ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = self.NONE
+            for at in (best - 1, best):  # only the pairs with the new symbol are looked up again
+                ok = np.flatnonzero((at >= 0) & (at < width - 1))
+                ranks[ok, at[ok]] = self._ranks(symbols[ok, at[ok]], symbols[ok, at[ok] + 1])
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit numbers; those of each word between white space are worked out once.
 
@@ -50,6 +127,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Merges(path)
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
@@ -58,8 +136,15 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
 
     def _learn(self, words: set[str]) -> None:
-        split = {w: _PARTS.findall(w.lower()) for w in words if w.isascii() or max(w) < "\u0250"}
+        split = {}
+        for w in words:
+            if w.isascii() or max(w) < "\u0250":
+                split[w] = [w] if w.isalpha() else [w[:-1], w[-1]] if w[-1] in ".,|" and w[:-1].isalpha() else _PARTS.findall(w.lower())
         new = {p for parts in split.values() for p in parts} - self.parts.keys()
+        if self.merges.usable:
+            short = [p for p in new if len(p) <= Merges.LONGEST // 2 and p.islower()]  # of at most LONGEST bytes; lower already
+            self.parts.update(zip(short, self.merges.ids([p.encode() for p in short]), strict=True))
+            new.difference_update(short)
         plain = [p for p in new if _MARK not in p] if len(self.mark) == 1 else []
         if plain:  # all in one text, with a mark between them that none of them holds
             ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(plain), add_special_tokens=False).ids, "<u4")
