@@ -337,15 +337,8 @@ def test_toxicity(spark, texts):
     assert toxicity.score(docs, blank, below=0.6).count() == len(made) + 12 and toxicity.score(docs.limit(0), index, ["doc_id"]).count() == 0
 
 
-def test_licenses(spark, texts):
-    rng = random.Random(9)
-    notices = list(licenses.TEMPLATES.items())
-    made = []
-    for i in range(40):
-        words = [f"p{rng.randint(0, 500)}" for _ in range(rng.randint(0, 120))]
-        at = rng.randint(0, len(words))
-        made.append((i, " ".join([*words[:at], notices[i % len(notices)][1] if i % 3 else "", *words[at:]]), "en"))
-    rows = made + [(90 + k, t, "en") for k, (_, t, _) in enumerate(texts[-14:])] + [(None, "ALL rights, reserved", None)]
+def windows_that_hold(notices, rows):
+    """(doc_id, template) to (share, first word, windows), every window of every text against every notice."""
     split = lambda t: [w for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w]
     want = {}
     for name, notice in notices:
@@ -360,6 +353,47 @@ def test_licenses(spark, texts):
             hits = [(c, s) for c, s in best if c >= licenses.CONTAINED - 1e-9]
             if hits:
                 want[i, name] = (round(max(hits)[0], 6), min(s for _, s in hits), len(hits))
-    got = {(r["doc_id"], r["template"]): (round(r["containment"], 6), r["first_word"], r["n_windows"]) for r in licenses.scan(table(spark, rows)).collect()}
-    assert got == want and len(want) >= 25
+    return want
+
+
+def scanned(docs, *more):
+    return {(r["doc_id"], r["template"]): (round(r["containment"], 6), r["first_word"], r["n_windows"]) for r in licenses.scan(docs, *more).collect()}
+
+
+def test_licenses(spark, texts):
+    rng = random.Random(9)
+    notices = list(licenses.TEMPLATES.items())
+    made = []
+    for i in range(40):
+        words = [f"p{rng.randint(0, 500)}" for _ in range(rng.randint(0, 120))]
+        at = rng.randint(0, len(words))
+        made.append((i, " ".join([*words[:at], notices[i % len(notices)][1] if i % 3 else "", *words[at:]]), "en"))
+    rows = made + [(90 + k, t, "en") for k, (_, t, _) in enumerate(texts[-14:])] + [(None, "ALL rights, reserved", None)]
+    want = windows_that_hold(notices, rows)
+    assert scanned(table(spark, rows)) == want and len(want) >= 25
     assert licenses.scan(table(spark, rows[:0])).count() == 0 and licenses.scan(table(spark, rows), {}).count() == 0
+
+
+@pytest.mark.parametrize("searched", [0, 10_000])
+def test_whole_licenses_and_edited_notices(spark, monkeypatch, searched):
+    """A text of 1,600 words, and copies of it and of short notices with words changed, near both sides of the limit."""
+    monkeypatch.setattr(licenses, "SEARCHED", searched)
+    rng = random.Random(10)
+    some = [f"{a}{b}{c}" for a in "bdfgklm" for b in ("ai", "on", "ur") for c in ("ret", "sion", "", "ment")]
+    notices = {"whole": " ".join(rng.choice(some) for _ in range(1600)), "short": "Under the terms of Some License v 2", "two": "Copyright Holders"} | {f"n{k}": " ".join(rng.choice(some) for _ in range(rng.randint(2, 60))) for k in range(30)}
+    rows = []
+    for i in range(60):
+        words = rng.choice(list(notices.values())).split() if i % 4 else notices["whole"].split()
+        for k in rng.sample(range(len(words)), int(len(words) * rng.choice((0, 0, 0.05, 0.1, 0.12)))):
+            words[k] = f"changed{k}"
+        rows.append((i, " ".join([*(rng.choice(some) for _ in range(rng.randint(0, 300))), *words, "end"]), "en"))
+    want = windows_that_hold(list(notices.items()), rows)
+    assert scanned(table(spark, rows), notices) == want and len({i for i, n in want if n == "whole"}) >= 8
+
+
+def test_needed_pairs():
+    pairs = [("all", "rights"), ("rights", "reserved")]
+    assert licenses.needed(pairs, 0.8) == ({1}, {"reserved"})
+    many = [(f"w{k}", f"w{k + 1}") for k in range(20)]
+    held, words = licenses.needed(many, 0.8)
+    assert len(held) >= 5 and all(set(many[k]) & words for k in held)
