@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import BROADCAST_ROWS, batch_of, map_arrow, stored
@@ -282,9 +282,14 @@ def band_keys(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return ((least ^ (least >> np.uint64(29))) * mix).reshape(BANDS, BAND_ROWS).sum(1, dtype=np.uint64)
 
 
+def row_tie() -> Column:
+    """Tells rows with one doc_id and different texts apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _shingle_sets(docs: DataFrame, width: int, keys: bool) -> DataFrame:
-    """(doc_id, node, then keys or shingles): node is a hash of the document's set of shingles; no keys for a text without words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("x", pa.list_(pa.int64()))])
+    """(doc_id, tie, node, then keys or shingles): tie is a hash of the text, node one of its set of shingles; no keys for a text without words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("node", pa.int64()), ("x", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = _multipliers()
@@ -294,10 +299,10 @@ def _shingle_sets(docs: DataFrame, width: int, keys: bool) -> DataFrame:
                 shingles = np.unique(shingle_hashes((text.as_py() or "").encode().lower().split(), width))
                 nodes.append(xxhash.xxh64_intdigest(shingles.tobytes(), 42) - (1 << 63))
                 held.append((band_keys(shingles, multipliers) if keys and len(shingles) else shingles).view(np.int64))
-            yield batch_of(schema, b.column(0), nodes, held)
+            yield batch_of(schema, b.column(0), b.column(2), nodes, held)
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(base, run, "doc_id long, node long, x array<long>").withColumnRenamed("x", "keys" if keys else "shingles")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_tie().alias("tie"))
+    return map_arrow(base, run, "doc_id long, tie long, node long, x array<long>").withColumnRenamed("x", "keys" if keys else "shingles")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -312,21 +317,27 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, label: str = "copies") -> DataFrame:
-    """(doc_id, component_id): classes of documents whose five-word shingles have a Jaccard similarity of ``similarity`` or more, directly or by others.
+    """(doc_id, component_id) of ``near_duplicate_rows``."""
+    return near_duplicate_rows(docs, similarity, width, label).select("doc_id", "component_id")
+
+
+def near_duplicate_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, label: str = "copies") -> DataFrame:
+    """(doc_id, tie, component_id, is_first): classes of documents whose five-word shingles have a Jaccard similarity of ``similarity`` or more, directly or by others.
 
     Documents with the same set of shingles are one node. Candidates are nodes that share a band of min-hashes, wherever their texts differ: of the pairs at a similarity of
     0.8 one in 5,000 shares none. Each candidate is decided on the sets of shingles themselves. A group of nodes with a band in common is compared in rounds, each of
     which compares some of its nodes (of its smallest classes) with all that are in other classes, and lets them go; it is done when all that are left are in one class. So a
     dense group of copies costs no square, and a node that fails with one member of a class is still compared with the others.
 
-    Only documents that have an id are grouped. Documents without words are one class. component_id is the class's smallest id.
+    Only documents that have an id are grouped. Documents without words are one class. component_id is the class's smallest id. ``is_first`` marks the class's smallest row by id and ``tie``
+    (``row_tie``), so that rows with one id and different texts are told apart; wholly equal rows are all marked or none.
     """
     docs = docs.where("doc_id IS NOT NULL")
     prints = stored(_shingle_sets(docs, width, keys=True), f"{label}-prints")
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
+    nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("least"))
     rows = stored(prints.groupBy("node").agg(F.any_value("keys").alias("keys")).select("node", F.explode("keys").alias("key")), f"{label}-bands")
     rows = stored(rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), f"{label}-shared")
-    some = nodes.join(rows.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    some = nodes.join(rows.select("node").distinct(), "node", "left_semi").select(F.col("least.doc_id").alias("doc_id")).distinct()
     few = some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sets = _shingle_sets(docs.join(F.broadcast(some) if few else some, "doc_id", "left_semi"), width, keys=False)
     sets = stored(sets.select("node", "shingles").dropDuplicates(["node"]), f"{label}-sets")
@@ -353,5 +364,6 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, width: int =
             roots = components(found, f"{label}-round{round_no}")
         rows = named.join(heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti").select("node", "key")
     classes = nodes.select("node", "least", F.col("node").alias("root")) if roots is None else nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "node").join(classes.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    smallest = classes.groupBy("root").agg(F.min("least").alias("first"))
+    named = prints.select("doc_id", "tie", "node").join(classes.join(smallest, "root").select("node", "first"), "node")
+    return named.select("doc_id", "tie", F.col("first.doc_id").alias("component_id"), (F.struct("doc_id", "tie") == F.col("first")).alias("is_first"))
