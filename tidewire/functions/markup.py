@@ -21,6 +21,7 @@ PROSE_MARKS = ("warning", "cannot", "not determined", "not found", "provided dom
 PROSE_WORDS = ("the", "this", "selector", "contains", "element")
 PROSE_MIN_WORDS = 7
 
+# Fields of a model's answer.
 MODEL_SCHEMA = (
     "summary string, sentiment_score string, sentiment_label string, "
     "key_topics string, entities string, related_stocks string"
@@ -92,6 +93,10 @@ def _json_list(c: Column) -> Column:
     )
 
 
+# Fixed value: the label of an answer without one.
+NEUTRAL = "중립"
+
+
 def parse_model_output(raw: ColumnLike) -> Column:
     """Fields of the JSON object inside a model answer, with defaults for what is missing or mistyped.
 
@@ -111,7 +116,7 @@ def parse_model_output(raw: ColumnLike) -> Column:
         valid.alias("parsed"),
         text("summary", F.substring(body, 1, 300)).alias("summary"),
         F.coalesce(doc["sentiment_score"].try_cast("double"), F.lit(0.0)).alias("sentiment_score"),
-        text("sentiment_label", F.lit("중립")).alias("sentiment_label"),
+        text("sentiment_label", F.lit(NEUTRAL)).alias("sentiment_label"),
         F.coalesce(_json_list(doc["key_topics"]), F.array().cast("array<string>")).alias("key_topics"),
         F.coalesce(_json_list(doc["entities"]), F.array().cast("array<string>")).alias("entities"),
         F.coalesce(_json_list(doc["related_stocks"]), F.array().cast("array<string>")).alias("related_stocks"),

@@ -108,7 +108,11 @@ def extract_tickers(text: ColumnLike, variant: str = "forum") -> Column:
     return F.slice(F.sort_array(F.array_distinct(F.transform(F.concat(cash, known), F.upper))), 1, limit)
 
 
-def rule_confidence(link_count: ColumnLike, content: ColumnLike, title: ColumnLike, missing_title: str = "제목 없음") -> Column:
+# Fixed value: the title that stands for none.
+MISSING_TITLE = "제목 없음"
+
+
+def rule_confidence(link_count: ColumnLike, content: ColumnLike, title: ColumnLike, missing_title: str = MISSING_TITLE) -> Column:
     """How far an extraction rule can be trusted, 0..1."""
     links, chars = as_col(link_count), F.length(F.coalesce(as_col(content), F.lit("")))
     title = F.coalesce(as_col(title), F.lit(""))

@@ -18,6 +18,8 @@ ARTICLE_KEYS = ["url", "published_at"]
 TARGET_KEYS = ["target_dt", "code", "strategy_name"]
 COMMENT_KEYS = ["article_id", "comment_ext_id"]
 TITLE_CHARS, AUTHOR_CHARS, ERROR_CHARS = 500, 100, 200
+# Fixed value: what the title of an image event begins with.
+IMAGE_TITLE = "이미지: "
 
 
 def new_rows(target: DataFrame, batch: DataFrame, keys: list[str] = ARTICLE_KEYS, order: str = "pos") -> DataFrame:
@@ -90,7 +92,7 @@ def ingest_events(batch: DataFrame, max_images: int = 3) -> DataFrame:
         F.slice(F.coalesce("images", F.array().cast("array<string>")), 1, max_images),
         lambda u: F.struct(
             F.lit("image_ingest").alias("event_type"),
-            F.concat(F.lit("이미지: "), F.substring("title", 1, 40)).alias("title"),
+            F.concat(F.lit(IMAGE_TITLE), F.substring("title", 1, 40)).alias("title"),
             u.alias("image_url"),
             F.to_json(F.struct(u.alias("image_url"))).alias("details"),
         ),

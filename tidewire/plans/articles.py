@@ -74,6 +74,12 @@ def _(spark, d):
     return ar.keep_content(standins.articles(spark, d), "content", 400).select("id")
 
 
+@query("F13_backfill_gate", with_views("articles") + f"SELECT id FROM articles WHERE length(content) >= {ar.MIN_BACKFILLED}")
+def _(spark, d):
+    """What a backfill keeps of the pages that it has extracted."""
+    return ar.keep_content(standins.articles(spark, d), "content", ar.MIN_BACKFILLED).select("id")
+
+
 TEXT_SQL = """((summary IS NULL OR summary = '' OR NOT coalesce(CAST(metadata->>'$.nlp_processed' AS BOOLEAN), false)))"""
 IMAGE_SQL = """(coalesce(json_array_length(metadata->'$.images'), 0) > 0 AND NOT coalesce(CAST(metadata->>'$.vision_processed' AS BOOLEAN), false))"""
 
@@ -464,3 +470,27 @@ def _(spark, d):
     rows = standins.articles(spark, d).groupBy(F.date_trunc("day", "published_at").alias("time"), "source_id", F.col("category").alias("term")).agg(F.count("*").alias("frequency"))
     sinks.append_term_freq(rows, path)
     return spark.read.parquet(path).select("term", "source_id", "frequency", F.col("dt").cast("string").alias("dt"))
+
+
+@query(
+    "K4_events_by_day",
+    with_views("articles")
+    + """, i AS (SELECT source_id, url, crawled_at, string_split(content, ' ')[1:3] AS images FROM articles),
+e AS (SELECT source_id, url, 'article_ingest' AS event_type, crawled_at FROM i UNION ALL SELECT source_id, url, 'image_ingest', crawled_at FROM (SELECT source_id, url, crawled_at, unnest(images) FROM i) q)
+SELECT strftime(crawled_at, '%Y-%m-%d') AS dt, event_type, count(*) AS events, count(DISTINCT url) AS urls FROM e GROUP BY 1, 2""",
+)
+def _(spark, d):
+    """Events of ingested articles, appended by day and read back."""
+    path = scratch_dir(spark, "events-by-day")
+    batch = standins.articles(spark, d).select(
+        "source_id", "title", "url", F.split("content", " ").alias("images"), F.to_json(F.struct("author")).alias("details"), F.col("crawled_at").alias("created_at")
+    )
+    sinks.append_events(batch, path)
+    return spark.read.parquet(path).groupBy(F.col("dt").cast("string").alias("dt"), "event_type").agg(F.count("*").alias("events"), F.countDistinct("url").alias("urls"))
+
+
+@query("K1_article_rows", with_views("articles") + "SELECT id, substring(content, 1, 500) AS title, substring(author || content, 1, 100) AS author FROM articles")
+def _(spark, d):
+    """Long titles and authors cut to the stored widths."""
+    long = standins.articles(spark, d).select("id", F.col("content").alias("title"), F.concat("author", "content").alias("author"))
+    return sinks.article_row(long)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import signals
 from tidewire.functions.urls import url_domain
 from tidewire.operators import pages as pg
+from tidewire.operators.articles import MIN_ANCHOR, keep_content
 from tidewire.operators.keys import top_per
 from tidewire.plans.feeds import LINES_SQL, _joined, _lines
 from tidewire.plans.registry import listed, query, stamp
@@ -61,6 +62,15 @@ def _(spark, d):
     return scans.page_anchors(_scan(spark, d, **LINKS)).select("page_id", "pos", "abs_url", "text")
 
 
+@query(
+    "F13_anchor_gate",
+    ANCHORS_SQL + f"SELECT page_id, CAST(pos AS INTEGER) AS pos FROM (SELECT page_id, min(pos) AS pos, trim(arg_min(text, pos)) AS text FROM a GROUP BY page_id, home || href) q WHERE length(text) >= {MIN_ANCHOR}",
+)
+def _(spark, d):
+    """Links whose text is long enough to be a headline."""
+    return keep_content(scans.page_anchors(_scan(spark, d, **LINKS)), "text", MIN_ANCHOR).select("page_id", "pos")
+
+
 @query(
     "S10_page_anchors_of_lists",
     LINES_SQL

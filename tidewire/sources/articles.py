@@ -65,11 +65,6 @@ def archive_calendar(days: DataFrame, section_code: str, pages: int = 5) -> Data
 SECTIONS = {"economy": "101", "tech": "105", "society": "102", "politics": "100", "world": "104"}
 
 
-def recent_range(start, end) -> tuple[dt.date, dt.date]:
-    """The requested range of days; without one, the last seven days up to ``end``."""
-    return (start or end - dt.timedelta(days=7), end)
-
-
 def stock_snapshot(bars: DataFrame, day) -> DataFrame:
     """All codes of one day."""
     return bars.where(F.col("target_dt") == F.lit(day).cast("date"))
