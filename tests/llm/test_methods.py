@@ -144,8 +144,11 @@ def test_word_by_word_ids_are_the_tokenizers(monkeypatch):
     e = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
     texts = ["it's a TEST\x1d b", "<|endoftext|> x", " Á ́b l'été 12ab!?", "", " x\u0085y\u3000z", "a" * 5000, "…—“q” \n\n\t end", "I'LL we'Re ''s ~ a~b ~~ 'sx", "İ Σς ΑΣ Ǆ ŉ ß", "1234 ½ ²³ ª º"]
     assert e.encode(texts) == e._ids(texts)
-    monkeypatch.setattr(packing, "WORDS", 5)  # forgets all the time
-    monkeypatch.setattr(packing, "PART_WORDS", 7)
+    rng = random.Random(3)
+    some = [chr(c) for c in range(0x20, 0x100)] + ["\n", "\t", " ", "'s", "'ll", " don't ", "__", " İ", "œ", "Ω", "日", "<|", "\x1c", "\x85"]
+    made = ["".join(rng.choice(some) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    assert e.encode(made) == e._ids(made)
+    monkeypatch.setattr(packing, "PARTS_KNOWN", 5)  # forgets all the time
     small = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
     assert [x for t in texts * 2 for x in small.encode([t])] == e._ids(texts) * 2
 

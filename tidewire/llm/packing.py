@@ -5,12 +5,12 @@ from __future__ import annotations
 import bisect
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -20,22 +20,14 @@ from tidewire.llm.common import batch_of, map_arrow, stored
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Parts of each length for the ranking, so that one very common length is not one task.
 PARTS = 64
-#: Words, and parts of words, that a worker's encoder remembers: together about 150 MB at most.
-WORDS, PART_WORDS = 300_000, 600_000
+#: Parts of texts that a worker's encoder remembers: about 150 MB at most.
+PARTS_KNOWN = 600_000
 
 #: White space of Python that the tokenizer doesn't take for white space, and marks of its special tokens: such texts are encoded whole.
 _WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
-#: The tokenizer's pattern (a fixed value), and a word that is one token.
-_PARTS, _MARK = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), "~"
-
-
-def _lower(text: str) -> str:
-    """A Latin-1 text in lower case, as the tokenizer makes it anyway, so that fewer different words occur; others unchanged."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
+#: The tokenizer's pattern (a fixed value) as it reads on Latin-1 texts without the numerals below, which Python's letters would include.
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_NUMERALS = "²³¹¼½¾"
 
 
 class Merges:
@@ -115,11 +107,10 @@ class Merges:
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit numbers; those of each word between white space are worked out once.
+    """Ids of a text as little-endian unsigned 32-bit numbers; those of each part are worked out once.
 
-    The tokenizer drops white space and never joins letters across it, so that a text's ids are those of its words, one after the other. A word's ids
-    in turn are those of the parts into which the tokenizer's own pattern splits the lower-cased word, so that few parts are encoded in all. Words with letters
-    beyond the extended Latin ones, where pattern libraries may differ, are encoded as they are.
+    A Latin-1 text in lower case is split into parts by the tokenizer's own pattern; a text's ids are those of its parts, one after the other. In other texts words between white space take the
+    place of parts: the tokenizer drops white space and never joins letters across it. Texts with special tokens' marks, or control characters that Python takes for white space, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -129,48 +120,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = Merges(path)
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
 
-    def _learn(self, words: set[str]) -> None:
-        split = {}
-        for w in words:
-            if w.isascii() or max(w) < "\u0250":
-                split[w] = [w] if w.isalpha() else [w[:-1], w[-1]] if w[-1] in ".,|" and w[:-1].isalpha() else _PARTS.findall(w.lower())
-        new = {p for parts in split.values() for p in parts} - self.parts.keys()
-        if self.merges.usable:
-            short = [p for p in new if len(p) <= Merges.LONGEST // 2 and p.islower()]  # of at most LONGEST bytes; lower already
-            self.parts.update(zip(short, self.merges.ids([p.encode() for p in short]), strict=True))
-            new.difference_update(short)
-        plain = [p for p in new if _MARK not in p] if len(self.mark) == 1 else []
-        if plain:  # all in one text, with a mark between them that none of them holds
-            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(plain), add_special_tokens=False).ids, "<u4")
-            at = np.nonzero(ids == self.mark[0])[0].tolist()
-            raw = ids.tobytes()
-            self.parts.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(plain, [0, *(k + 1 for k in at)], [*at, len(ids)], strict=True))
-        rest = list(new - self.parts.keys())
-        self.parts.update(zip(rest, self._ids(rest), strict=True))
-        parts = self.parts
-        self.known.update((w, b"".join([parts[p] for p in found])) for w, found in split.items())
-        others = [w for w in words if w not in split]
-        self.known.update(zip(others, self._ids(others), strict=True))
+    @staticmethod
+    def _parts(text: str) -> list[str] | None:
+        if any(x in text for x in _WHOLE):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        return text.split() if any(x in text for x in _NUMERALS) else _LATIN.findall(text.lower())
+
+    def _learn(self, new: set[str]) -> None:
+        short = [p for p in new if p.isalpha() and len(p) <= Merges.LONGEST // 2 and p.islower()] if self.merges.usable else []  # letters of at most LONGEST bytes
+        latin = [p for p in short if max(p) < "\u0100"]
+        self.known.update(zip(latin, self.merges.ids([p.encode() for p in latin]) if latin else [], strict=True))
+        rest = list(new.difference(latin))
+        self.known.update(zip(rest, self._ids(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; a few hundred texts at a time keep the memory bounded."""
-        words = [None if any(x in t for x in _WHOLE) else _lower(t).split() for t in texts]
+        parts = [self._parts(t) for t in texts]
         known = self.known
-        new = {w for ws in words if ws for w in ws if w not in known}
-        if len(self.parts) > PART_WORDS:
-            self.parts.clear()
-        if len(known) + len(new) > WORDS:
+        met = set().union(*[p for p in parts if p])
+        new = met - known.keys()
+        if len(known) + len(new) > PARTS_KNOWN:
             known.clear()
-            new = {w for ws in words if ws for w in ws}
+            new = met
         if new:
             self._learn(new)
-        return [self._ids([t])[0] if ws is None else b"".join([known[w] for w in ws]) for t, ws in zip(texts, words, strict=True)]
+        of = known.__getitem__
+        return [self._ids([t])[0] if p is None else b"".join(map(of, p)) for t, p in zip(texts, parts, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
