@@ -21,18 +21,24 @@ def _classify(text: np.ndarray) -> np.ndarray:
     return small
 
 
-def _ranks(sorted_symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of each entry among equal ones of a sorted array; first entry and length of each run."""
-    first = np.flatnonzero(np.r_[True, sorted_symbols[1:] != sorted_symbols[:-1]])
-    length = np.diff(np.r_[first, len(sorted_symbols)])
-    return np.arange(len(sorted_symbols)) - np.repeat(first, length), first, length
+def _ranks(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each entry among equal ones of a sorted array that isn't empty; first entry and length of each run. Called for every stretch, hence without numpy's slower helpers."""
+    n = len(symbols)
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(symbols[1:], symbols[:-1], out=new[1:])
+    first = new.nonzero()[0]
+    length = np.empty(len(first), np.int64)
+    np.subtract(first[1:], first[:-1], out=length[:-1])
+    length[-1] = n - first[-1]
+    return np.arange(n) - first.repeat(length), first, length
 
 
 def _next_open(fill: np.ndarray, need: np.ndarray, at: int) -> int:
     """The first bucket from ``at`` on that still lacks entries, or their number."""
     width = 64
     while at < len(fill):
-        found = np.flatnonzero(fill[at : at + width] < need[at : at + width])
+        found = (fill[at : at + width] < need[at : at + width]).nonzero()[0]
         if len(found):
             return at + int(found[0])
         at += width
