@@ -91,6 +91,16 @@ def test_closed_calls_leave_their_last_and_quiet_sources_are_forgotten(spark, tm
     assert got == [(1, -1.0), (2, 100.0), (3, -1.0), (5, 4900.0), (6, 0.0), (7, -1.0), (8, 8950.0), (9, -1.0), (10, -1.0), (11, 0.0)]
 
 
+def test_stream_queries_read_tables_of_several_files(spark, sf, tmp_path):
+    import __spark_entry__ as entry
+
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("R2_stream_new_links", "R3_stream_term_frequency", "R6_stream_signals"):
+        query = entry.queries()[name]
+        assert rows(query(spark, str(tmp_path))) == rows(query(spark, sf)) != []
+
+
 def test_new_links_across_batches(spark, tmp_path):
     base = dt.datetime(2026, 1, 1)
     # the second "a" comes a day later, behind the watermark of the de-duplication
