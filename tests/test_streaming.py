@@ -101,6 +101,15 @@ def test_stream_queries_read_tables_of_several_files(spark, sf, tmp_path):
         assert rows(query(spark, str(tmp_path))) == rows(query(spark, sf)) != []
 
 
+def test_without_a_horizon_no_source_is_forgotten(spark, tmp_path):
+    day = 86_400
+    batches = [[(1, 0, 1), (2, 100, 1)], [(3, 5000, 2)], [(4, 20 * day, 2)], [(5, 20 * day + 9000, 1)], [(6, 40 * day, 1)]]
+    stream = stream_of(rate_audit.state_session(spark), spark, tmp_path / "in", batches)
+    rate_audit.write_gaps(stream, str(tmp_path / "out"), str(tmp_path / "cp"), horizon_days=None).awaitTermination()
+    want = [(1, -1.0), (2, 100.0), (3, -1.0), (4, 20 * day - 5000.0), (5, 20 * day + 8900.0), (6, 20 * day - 9000.0)]
+    assert gaps_of(spark, str(tmp_path / "out")) == want
+
+
 def test_new_links_across_batches(spark, tmp_path):
     base = dt.datetime(2026, 1, 1)
     # the second "a" comes a day later, behind the watermark of the de-duplication

@@ -21,11 +21,12 @@ class GapProcessor(StatefulProcessor):
     """State of a source: the calls that a late one may still come before (``open``), and the last call before those (``last``).
 
     New calls are set among the open ones, and gaps that are new or have changed go out: a late call restates its successor's. When the watermark has passed, an event-time timer
-    closes calls: only the last of them stays. A source that has had no call for ``horizon_days`` is forgotten by a second timer; a call after so long a time counts as the first.
+    closes calls: only the last of them stays. A source that has had no call for ``horizon_days`` is forgotten by a second timer; a call after so long a time counts as the first. Without a horizon no
+    source is forgotten: the state is one row for each.
     """
 
-    def __init__(self, min_gap: float, horizon_days: int):
-        self.min_gap, self.horizon_ms = min_gap, horizon_days * 86_400_000
+    def __init__(self, min_gap: float, horizon_days: int | None):
+        self.min_gap, self.horizon_ms = min_gap, None if horizon_days is None else horizon_days * 86_400_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -46,7 +47,8 @@ class GapProcessor(StatefulProcessor):
             before.iloc[0] = last[0]
         out = both[both["new"] | both["new"].shift(1, fill_value=False)]  # and those that a new call now precedes
         gap = (out["at"] - before[out.index]) / _MICROS
-        gap = gap.where(gap * 1000 <= self.horizon_ms)  # whether the state is gone by then or not
+        if self.horizon_ms is not None:
+            gap = gap.where(gap * 1000 <= self.horizon_ms)  # whether the state is gone by then or not
         yield pd.DataFrame({"id": out["id"], "source_id": key[0], "at": out["at"], "gap_seconds": gap, "too_soon": (gap < self.min_gap).where(gap.notna(), None)})
         self._close(both[["at", "id"]], timerValues.getCurrentWatermarkInMs())
 
@@ -55,7 +57,7 @@ class GapProcessor(StatefulProcessor):
         calls = pd.DataFrame(list(self.open.get()), columns=["at", "id"])
         self._close(calls, mark)
         last = self.last.get() if self.last.exists() else None
-        if calls.empty and last and last[0] // 1000 + self.horizon_ms <= mark:
+        if self.horizon_ms is not None and calls.empty and last and last[0] // 1000 + self.horizon_ms <= mark:
             self.last.clear()
         return iter(())
 
@@ -65,7 +67,8 @@ class GapProcessor(StatefulProcessor):
         if over.any():
             at, id_ = calls[over].iloc[-1]
             self.last.update((int(at), int(id_)))
-            self.handle.registerTimer(int(at) // 1000 + self.horizon_ms)
+            if self.horizon_ms is not None:
+                self.handle.registerTimer(int(at) // 1000 + self.horizon_ms)
         left = calls[~over]
         if left.empty:
             self.open.clear()
@@ -77,7 +80,7 @@ class GapProcessor(StatefulProcessor):
         pass
 
 
-def gaps(events: DataFrame, lateness: str = LATENESS, horizon_days: int = 7, min_gap: float = ev.MIN_GAP_SECONDS) -> DataFrame:
+def gaps(events: DataFrame, lateness: str = LATENESS, horizon_days: int | None = 7, min_gap: float = ev.MIN_GAP_SECONDS) -> DataFrame:
     """(id, source_id, created_at, gap_seconds, too_soon) of calls as they come, and again where a late one changes a gap.
 
     However micro-batches cut and order the calls, the last row of an id is its gap in event time, if no call is later than ``lateness`` (such ones are dropped, as by every watermark).
@@ -103,6 +106,6 @@ def state_session(spark: SparkSession) -> SparkSession:
     return own
 
 
-def write_gaps(events: DataFrame, path: str, checkpoint: str, lateness: str = LATENESS, horizon_days: int = 7, **trigger) -> StreamingQuery:
+def write_gaps(events: DataFrame, path: str, checkpoint: str, lateness: str = LATENESS, horizon_days: int | None = 7, **trigger) -> StreamingQuery:
     """The gaps in batch folders; ``read_latest`` by id gives each call's last one. Nothing that has been written is read."""
     return write_batches(gaps(events, lateness, horizon_days), path, checkpoint, "update", **trigger)
