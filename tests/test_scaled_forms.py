@@ -105,3 +105,18 @@ def test_coarse_sums_come_from_fine_ones(spark):
         assert sorted(tuple(r) for r in found.where(F.col("minutes") == minutes).drop("minutes").collect()) == want
     with pytest.raises(ValueError):
         terms.term_rollups(rows, (10, 25))
+
+
+def test_graph_queries_without_the_whole_graph(spark):
+    rng = random.Random(7)
+    words = [f"w{i:02d}" for i in range(60)]
+    docs = [(i, sorted(set(rng.choices(words, [1 / (k + 1) for k in range(60)], k=rng.randrange(2, 25)))) * 2) for i in range(150)]
+    tokens = spark.createDataFrame(docs + [(999, []), (1000, None)], "doc_id long, tokens array<string>")
+    edges = terms.cooccurrence(tokens).cache()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for word in ("w00", "w31", "none"):
+        assert rows(terms.neighbors_of(tokens, word, 12)) == rows(terms.neighbors(edges, word, 12))
+        assert rows(terms.topic_expand_of(tokens, word, 4, 3)) == rows(terms.topic_expand(edges, word, 4, 3))
+    for n in (1, 30, 5000):  # with fewer edges than asked for, too
+        assert terms.top_edges_of(tokens, n).collect() == terms.top_edges(edges, n).collect()
+    assert terms.nth_weight(edges, 3) == terms.top_edges(edges, 3).collect()[-1]["weight"] and terms.nth_weight(edges, 10**6) == 2
