@@ -1,13 +1,15 @@
 """The queries on the graph of all pairs have every pair that two documents share."""
 
+import random
 import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidewire.operators import terms
+from tidewire.operators import pair_tiles, terms
 
 QUERIES = entry.queries()
 
@@ -39,3 +41,35 @@ def test_block_pairs_have_every_pair_once_and_spread_a_long_document(spark):
 def test_no_term_set_is_copied_into_the_rows_of_its_terms(spark):
     plan = terms._pair_counts(spark.createDataFrame([(["a", "b"],)], "terms array<string>"), 1)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"explode\(slice\(terms", plan) and "inline" in plan
+
+
+def test_tiles_hold_every_pair_once(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"{rng.choice('aäz한')}{k}" for k in range(90)]
+    docs = [(i, rng.choices(words, [1 / (k + 1) for k in range(90)], k=rng.randrange(0, 60))) for i in range(120)]
+    docs += [(1000 + i, words[:40]) for i in range(50)] + [(2000, None), (2001, ["a0"]), (2002, words)]
+    tokens = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
+    want, held = Counter(), Counter()
+    for _, t in docs:
+        held.update(set(t or ()))
+        want.update(combinations(sorted(set(t or ()), key=str.encode), 2))
+    for tile, least in ((8_000_000, 2), (3000, 1), (3000, 2)):
+        monkeypatch.setattr(pair_tiles, "TILE_PAIRS", tile)
+        got = [tuple(r) for r in terms.cooccurrence_with_ends(tokens, least).collect()]
+        assert sorted(got) == sorted((a, b, n, held[a], held[b]) for (a, b), n in want.items() if n >= least)
+    assert terms.cooccurrence(tokens.limit(0)).count() == 0
+
+
+def test_chunks_of_a_tile_sum_up(monkeypatch):
+    monkeypatch.setattr(pair_tiles, "CHUNK", 10)
+    rng = random.Random(4)
+    sets = [(sorted(rng.sample(range(30), rng.randrange(1, 20))), rng.choice((1, 1, 3))) for _ in range(40)]
+    side = tuple(np.array(x) for x in zip(*[(d, n, i) for d, (ids, n) in enumerate(sets) for i in ids], strict=True))
+    sums, want = pair_tiles._Sums(), Counter()
+    for keys, weights in pair_tiles._pairs(side, side, True):
+        assert len(keys) <= 30
+        sums.add(keys, weights)
+    for ids, n in sets:
+        want.update({p: n for p in combinations(ids, 2)})
+    keys, weights = sums.total()
+    assert {(int(k >> 32), int(k & 0xFFFFFFFF)): int(w) for k, w in zip(keys, weights, strict=True)} == dict(want)
