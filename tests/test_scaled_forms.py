@@ -107,6 +107,26 @@ def test_coarse_sums_come_from_fine_ones(spark):
         terms.term_rollups(rows, (10, 25))
 
 
+def test_rollups_shuffle_once_and_compare_over_the_ends_of_chunks(spark):
+    rng = random.Random(9)
+    tokens = [(T0 + dt.timedelta(minutes=rng.randrange(60)), T0 + dt.timedelta(minutes=7 * rng.randrange(60_000)), rng.choices(["a", "b", "c", "é"], k=rng.randrange(6))) for _ in range(1500)]
+    tokens += [(T0, T0 + dt.timedelta(minutes=minute), ["z"]) for minute in range(0, 1440 * 300, 1440)] + [(T0, T0, []), (T0, T0, None), (T0, None, ["a"]), (T0, T0, ["b", None, "b", None, "a"])]
+    counts = terms.counts_in_text(spark.createDataFrame(tokens, "x timestamp_ntz, time timestamp_ntz, tokens array<string>"), "time")
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    found = terms.term_rollups(counts)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    for minutes in terms.GRAINS:
+        want = {}
+        for _, time, words in tokens:
+            for word in words or []:
+                if word and time:
+                    key = (word, T0 + (time - T0) // dt.timedelta(minutes=minutes) * dt.timedelta(minutes=minutes))
+                    want[key] = want.get(key, 0) + 1
+        got = {(r["term"], r["bucket"]): (r["frequency"], r["previous"], r["change"]) for r in found.where(F.col("minutes") == minutes).collect()}
+        before = {k: want.get((k[0], k[1] - dt.timedelta(minutes=minutes)), 0) for k in want}
+        assert got == {k: (n, before[k], n - before[k]) for k, n in want.items()}
+
+
 def test_graph_queries_without_the_whole_graph(spark):
     rng = random.Random(7)
     words = [f"w{i:02d}" for i in range(60)]
