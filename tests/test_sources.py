@@ -1,6 +1,8 @@
 """Feeds, listings and pages on hand-made documents."""
 
 import datetime as dt
+import random
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -123,6 +125,38 @@ def test_every_method_of_the_cascade_with_its_fields(spark):
     assert {r["page_id"] for r in rows} == set(range(5))
 
 
+def test_list_page_queries_shuffle_no_page(spark, sf):
+    """The table is dealt out before pages are built, and nothing is joined to what was read in them."""
+    from tidewire.plans import load
+
+    for name in ("S11_page_metadata", "M12_content_of_lists", "A17_anchor_groups", "S12_blocks_of_lists", "U5_link_cascade", "W6_top_items_per_page", "A16_selector_vote_of_lists"):
+        above, below = load()[0][name](spark, sf)._jdf.queryExecution().executedPlan().toString().split("MapInArrow", 1)
+        assert below.count("Exchange") == 1 and "html" not in below[below.index("Exchange") :], name
+        assert "Join" not in above, name
+    wide = pages.scan_pages(spark.createDataFrame([(k, None, "<p>x", [k], str(k)) for k in range(200)], "page_id long, url string, html string, list array<int>, `a b` string").coalesce(1), keep=("list", "a b"))
+    assert all(r["list"] == [r["page_id"]] and r["a b"] == str(r["page_id"]) for r in wide.collect()) and wide.count() == 200
+
+
+def test_whole_tags_and_odd_ones_are_read_alike(monkeypatch):
+    rng = random.Random(3)
+    bits = ["<a href='/x?a&amp;b'>", "</a>", "<p>", "</p>", "<td>", "<div id=Comment_1 class='Post  z'>", "</div>", "<h1>", "</h1>", "<title>", "<script>", "</script >", "<!--", "-->", "t &amp; m", " ", "<", ">", '"', "'",
+            "<META property='og:title' content=\"T &lt;\">", "<img src=1>", "</ b>", "< a", '<a"b>', "<ul>", "<li>", "<nav>", "<section", '"' * 512 + ">", "<p " + "a='b' " * 255 + ">", "<p " + "a='b' " * 256 + "x>"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(150)]
+
+    def read():
+        out = []
+        for html in texts:
+            for wanted in ((False, False, False), (True, True, True)):
+                scanner = pages._PageScanner("https://x.com/p", *wanted)
+                scanner.feed(html)
+                out.append(repr(scanner.row(1)))
+        return out
+
+    whole = read()
+    monkeypatch.setattr(pages, "_TAG", re.compile("(?!)"))  # every tag is taken apart step by step
+    assert read() == whole
+
+
 def test_page_operators_do_not_shuffle_after_the_scan(spark):
     s = scan(spark, PAGE, partitions=3)
     for found in (pg.article_links(s), pg.content_density(s), pg.anchor_groups(s)):

@@ -15,10 +15,11 @@ r AS (SELECT doc_id, source, lang, unnest(lines) AS line, generate_subscripts(li
 """
 
 
-def _lines(spark, d):
-    """Documents with their non-empty lines, reduced to plain characters that need no escaping."""
+def _lines(spark, d, docs=None):
+    """Documents (``docs``, else the whole table) with their non-empty lines, reduced to plain characters that need no escaping."""
     plain = F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}\p{N} .,]", "")))
-    return standins.table(spark, d, "documents").select("doc_id", "source", "lang", F.filter(plain, lambda x: x != "").alias("lines"))
+    docs = standins.table(spark, d, "documents") if docs is None else docs
+    return docs.select("doc_id", "source", "lang", F.filter(plain, lambda x: x != "").alias("lines"))
 
 
 def _joined(lines: Column, item) -> Column:

@@ -15,8 +15,13 @@ from tidewire.sources import pages as scans
 from tidewire.sources import standins
 
 
+def _dealt(rows, key):
+    """The rows of a table, dealt out by their key where its files are fewer than the cores. That comes before pages are built of them, so that no page is shuffled; as the table grows, so do the parts."""
+    return rows if len(rows.inputFiles()) >= rows.sparkSession.sparkContext.defaultParallelism else rows.repartition(key)
+
+
 def _scan(spark, d, **parts):
-    return scans.scan_pages(standins.table(spark, d, "pages"), partitions=spark.sparkContext.defaultParallelism, **parts)
+    return scans.scan_pages(_dealt(standins.table(spark, d, "pages").select("page_id", "url", "html"), "page_id"), **parts)
 
 
 def _rich_pages(spark, d):
@@ -36,11 +41,12 @@ def _rich_pages(spark, d):
         _joined(F.col("lines"), row), F.lit('</table><ul class="news">'), _joined(F.col("lines"), item),
         F.lit('</ul><div class="post_content"><p>'), F.array_join("lines", " "), F.lit('</p></div><div class="comment_area"><p>ignored text that is long enough</p></div></body></html>'),
     )
-    return _lines(spark, d).select(F.col("doc_id").alias("page_id"), F.concat(F.lit("https://list.example.com/"), key).alias("url"), html.alias("html"))
+    docs = _dealt(standins.table(spark, d, "documents").select("doc_id", "text", "source", "lang"), "doc_id")
+    return _lines(spark, d, docs).select(F.col("doc_id").alias("page_id"), F.concat(F.lit("https://list.example.com/"), key).alias("url"), html.alias("html"), "source", "lang")
 
 
 def _rich_scan(spark, d, **parts):
-    return scans.scan_pages(_rich_pages(spark, d), partitions=spark.sparkContext.defaultParallelism, **parts)
+    return scans.scan_pages(_rich_pages(spark, d), **parts)
 
 
 LINKS = {"blocks": False}
@@ -153,9 +159,9 @@ def _(spark, d):
 SELECT site, 'content' AS field, first(selector ORDER BY pages DESC, selector) AS selector, max(pages) AS pages FROM v GROUP BY 1""",
 )
 def _(spark, d):
-    sites = standins.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("site"))
-    blocks = scans.page_blocks(_rich_scan(spark, d, **BLOCKS)).where(F.col("text_len") > 20)
-    return pg.selector_vote(blocks.join(sites, "page_id").select("site", "page_id", F.lit("content").alias("field"), "selector"))
+    scan = _rich_scan(spark, d, keep=("source",), **BLOCKS)
+    blocks = scan.select("page_id", F.col("source").alias("site"), F.explode("blocks").alias("b")).where(F.col("b.text_len") > 20)
+    return pg.selector_vote(blocks.select("site", "page_id", F.lit("content").alias("field"), scans.block_selector(F.col("b")).alias("selector")))
 
 
 @query("M12_content_density")
@@ -219,8 +225,7 @@ SELECT doc_id AS page_id, method, CAST(row_number() OVER (PARTITION BY doc_id OR
   NULL::VARCHAR AS snippet, NULL::VARCHAR AS press, NULL::VARCHAR AS time_text, NULL::VARCHAR AS thumbnail FROM al""",
 )
 def _(spark, d):
-    langs = standins.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.when(F.col("lang") == "fr", "t").alias("rule"))
-    return pg.link_cascade(_rich_scan(spark, d, **ELEMENTS).join(langs, "page_id"), F.col("rule"))
+    return pg.link_cascade(_rich_scan(spark, d, keep=("lang",), **ELEMENTS), F.when(F.col("lang") == "fr", "t"))
 
 
 _NOTICES = " OR ".join(f"contains(text, '{w}')" for w in pg.NOTICE_WORDS)
