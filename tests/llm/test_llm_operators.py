@@ -100,6 +100,18 @@ def test_groups_of_copies_that_differ_in_a_block(spark):
     assert sum(got[2 * k + 1] == 2 * k for k in range(300)) >= 299  # one pair in 5,000 is expected to be missed
 
 
+def test_groups_come_through_the_fingerprints_first(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = []
+    for k in range(12):
+        w = [f"q{rng.randint(0, 5000)}" for _ in range(3000)]
+        rows += [(2 * k, " ".join(w), "en"), (2 * k + 1, " ".join([*w[:-1], "end"]), "en")]
+    rows += [(100, " ".join(["same"] * 40), "en"), (101, " ".join(["same"] * 40 + ["but", "not", "so", "here"] * 9), "en")]
+    monkeypatch.setattr(simhash, "band_keys", lambda shingles, multipliers: shingles[:0])  # no node shares a band
+    got = dict(map(tuple, simhash.near_duplicate_groups(table(spark, rows)).collect()))
+    assert got == {**{k: k - k % 2 for k in range(24)}, 100: 100, 101: 101}
+
+
 def test_groups_are_decided_by_exact_similarity(spark):
     rows, want = [], []
     for k in range(40):  # 800 shingles and 199 or 201 more: a similarity of 0.8008 or 0.7992

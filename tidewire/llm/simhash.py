@@ -22,6 +22,8 @@ CHUNK = 1 << 18
 SAMPLES = 256
 #: Bands of min-hashes for near copies, and the min-hashes in each: at a similarity of 0.8 all bands differ with a chance of (1 - 0.8 ** 7) ** 36 = 0.0002.
 BANDS, BAND_ROWS = 36, 7
+#: Words of a shingle of the fingerprints, the bits in which linked ones differ at most, and the parts of a fingerprint with a trie of their own.
+PRINT_WIDTH, PRINT_DISTANCE, PRINT_SEGMENTS = 4, 4, 2
 #: Nodes of a group that are compared with the rest of it in a round after the first, and pairs from which a set of shingles is copied to further tasks.
 HEADS, PAIRS_OF_A_SET = 16, 1000
 
@@ -251,7 +253,7 @@ def _masks(width: int, ones: int) -> list[int]:
     return [sum(1 << i for i in c) for c in combinations(range(width), ones)]
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, segments: int = 2, label: str = "simhash") -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = PRINT_DISTANCE, width: int = PRINT_WIDTH, segments: int = PRINT_SEGMENTS, label: str = "simhash") -> DataFrame:
     """(doc_id, fingerprint, component_id, n_copies): every document with its class under links of at most ``distance`` differing bits.
 
     component_id is the smallest doc_id of the class; n_copies counts the documents with the same fingerprint. Each row of ``docs`` gives one row; a row
@@ -288,21 +290,24 @@ def row_tie() -> Column:
 
 
 def _shingle_sets(docs: DataFrame, width: int, keys: bool) -> DataFrame:
-    """(doc_id, tie, node, then keys or shingles): tie is a hash of the text, node one of its set of shingles; no keys for a text without words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("node", pa.int64()), ("x", pa.list_(pa.int64()))])
+    """(doc_id, tie, node, then keys and fp, or shingles): tie is a hash of the text, node one of its set of shingles, fp its fingerprint as in ``fingerprints``; no keys for a text without words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("node", pa.int64()), ("x", pa.list_(pa.int64())), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = _multipliers()
         for b in batches:
-            nodes, held = [], []
+            nodes, held, prints = [], [], []
             for text in b.column(1):
-                shingles = np.unique(shingle_hashes((text.as_py() or "").encode().lower().split(), width))
+                words = (text.as_py() or "").encode().lower().split()
+                shingles = np.unique(shingle_hashes(words, width))
+                prints.append(fingerprint(shingle_hashes(words, PRINT_WIDTH)) if keys else None)
                 nodes.append(xxhash.xxh64_intdigest(shingles.tobytes(), 42) - (1 << 63))
                 held.append((band_keys(shingles, multipliers) if keys and len(shingles) else shingles).view(np.int64))
-            yield batch_of(schema, b.column(0), b.column(2), nodes, held)
+            yield batch_of(schema, b.column(0), b.column(2), nodes, held, prints)
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_tie().alias("tie"))
-    return map_arrow(base, run, "doc_id long, tie long, node long, x array<long>").withColumnRenamed("x", "keys" if keys else "shingles")
+    made = map_arrow(base, run, "doc_id long, tie long, node long, x array<long>, fp long")
+    return made.withColumnRenamed("x", "keys") if keys else made.withColumnRenamed("x", "shingles").drop("fp")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -316,6 +321,17 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("src", "dst", F.size("_a").alias("a"), F.size("_b").alias("b"), common.alias("c")).where(F.col("c") >= similarity * (F.col("a") + F.col("b") - F.col("c")) - 1e-9).select("src", "dst")
 
 
+def _print_pairs(nodes: DataFrame, label: str) -> DataFrame:
+    """(src, dst): the links of operator 1 between nodes (node, fp). Nodes of one fingerprint are paired with its smallest, and fingerprints within PRINT_DISTANCE bits by the forest of their tries."""
+    prints = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")), f"{label}-fps")
+    near = links(prints.select(F.col("fp").alias("node"), "fp", F.lit(None).cast("binary").alias("sketch")), PRINT_DISTANCE, PRINT_SEGMENTS)
+    ends = [prints.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node")) for end in ("src", "dst")]
+    between = near.join(ends[0], "src").join(ends[1], "dst").select("src_node", "dst_node")
+    within = nodes.join(prints, "fp").where("node <> first").select(F.col("first").alias("src_node"), F.col("node").alias("dst_node"))
+    both = between.unionByName(within)
+    return both.select(F.least("src_node", "dst_node").alias("src"), F.greatest("src_node", "dst_node").alias("dst")).distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, label: str = "copies") -> DataFrame:
     """(doc_id, component_id) of ``near_duplicate_rows``."""
     return near_duplicate_rows(docs, similarity, width, label).select("doc_id", "component_id")
@@ -324,8 +340,8 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, width: int =
 def near_duplicate_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, label: str = "copies") -> DataFrame:
     """(doc_id, tie, component_id, is_first): classes of documents whose five-word shingles have a Jaccard similarity of ``similarity`` or more, directly or by others.
 
-    Documents with the same set of shingles are one node. Candidates are nodes that share a band of min-hashes, wherever their texts differ: of the pairs at a similarity of
-    0.8 one in 5,000 shares none. Each candidate is decided on the sets of shingles themselves. A group of nodes with a band in common is compared in rounds, each of
+    Documents with the same set of shingles are one node. The first candidates are the links of ``near_duplicates``: nodes whose fingerprints differ in a few bits at most. What those leave
+    apart is sought among the nodes that share a band of min-hashes, wherever their texts differ: of the pairs at a similarity of 0.8 one in 5,000 shares none. Each candidate is decided on the sets of shingles themselves. A group of nodes with a band in common is compared in rounds, each of
     which compares some of its nodes (of its smallest classes) with all that are in other classes, and lets them go; it is done when all that are left are in one class. So a
     dense group of copies costs no square, and a node that fails with one member of a class is still compared with the others.
 
@@ -334,14 +350,17 @@ def near_duplicate_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5
     """
     docs = docs.where("doc_id IS NOT NULL")
     prints = stored(_shingle_sets(docs, width, keys=True), f"{label}-prints")
-    nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("least"))
+    nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.min("fp").alias("fp"))
+    tested = stored(_print_pairs(nodes.select("node", "fp"), label), f"{label}-pairs0")
     rows = stored(prints.groupBy("node").agg(F.any_value("keys").alias("keys")).select("node", F.explode("keys").alias("key")), f"{label}-bands")
     rows = stored(rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), f"{label}-shared")
-    some = nodes.join(rows.select("node").distinct(), "node", "left_semi").select(F.col("least.doc_id").alias("doc_id")).distinct()
+    ends = tested.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(rows.select("node")).distinct()
+    some = nodes.join(ends, "node", "left_semi").select(F.col("least.doc_id").alias("doc_id")).distinct()
     few = some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sets = _shingle_sets(docs.join(F.broadcast(some) if few else some, "doc_id", "left_semi"), width, keys=False)
     sets = stored(sets.select("node", "shingles").dropDuplicates(["node"]), f"{label}-sets")
-    roots = found = tested = None
+    found = stored(_alike(tested, sets, similarity), f"{label}-links0")
+    roots = None if found.isEmpty() else components(found, f"{label}-round0")
     round_no = 0
     while True:
         round_no += 1
@@ -356,11 +375,11 @@ def near_duplicate_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5
         heads = named.join(sizes, ["key", "class"]).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= (1 if round_no == 1 else HEADS))
         heads = stored(heads.select("key", F.col("node").alias("head"), F.col("class").alias("head_class")), f"{label}-heads{round_no}")
         pairs = named.join(heads, "key").where("class <> head_class").select(F.least("node", "head").alias("src"), F.greatest("node", "head").alias("dst")).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["src", "dst"], "left_anti"), f"{label}-pairs{round_no}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        pairs = stored(pairs.join(tested, ["src", "dst"], "left_anti"), f"{label}-pairs{round_no}")
+        tested = tested.unionByName(pairs)
         new = stored(_alike(pairs, sets, similarity), f"{label}-links{round_no}")
-        found = new if found is None else found.unionByName(new)
-        if roots is None or not new.isEmpty():
+        found = found.unionByName(new)
+        if not new.isEmpty():
             roots = components(found, f"{label}-round{round_no}")
         rows = named.join(heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti").select("node", "key")
     classes = nodes.select("node", "least", F.col("node").alias("root")) if roots is None else nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
