@@ -86,6 +86,19 @@ def test_many_terms_are_found_wherever_they_stand(spark):
     assert [r["matched_terms"] for r in terms.term_match(docs.limit(1), spark.createDataFrame([], "term string"), "c").collect()] == [["c"]]
 
 
+def test_term_match_shuffles_runs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(terms, "MATCH_DOCS", 7)
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcé1") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(12))) for _ in range(60)]
+    wanted = sorted({"".join(rng.choice("abcÉ1") for _ in range(rng.randrange(1, 4))) for _ in range(60)})
+    docs = spark.createDataFrame([*enumerate(texts), (60, None)], "id long, title string").withColumn("summary", F.lit(None).cast("string"))
+    found = terms.term_match(docs, spark.createDataFrame([(w,) for w in wanted], "term string"), "none")
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in text and "collect_set" not in text  # no row for each document and term
+    got = {r["id"]: r["matched_terms"] for r in found.collect()}
+    assert got == {i: sorted(w for w in wanted if w.lower() in t.lower()) or ["none"] for i, t in [*enumerate(texts), (60, "")]}
+
+
 def test_windows_of_panes_are_those_of_the_rows(spark):
     rng = random.Random(7)
     rows = spark.createDataFrame([(rng.choice("abc"), T0 + dt.timedelta(seconds=rng.randrange(20_000))) for _ in range(800)], "term string, created_at timestamp_ntz")
