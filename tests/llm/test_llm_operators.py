@@ -125,6 +125,67 @@ def test_groups_are_decided_by_exact_similarity(spark):
     assert sorted(map(tuple, simhash.near_duplicate_groups(table(spark, rows)).collect())) == want
 
 
+def classes_by_brute_force(sets, similarity=0.8):
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9]
+    for i, j in links:
+        a, b = root(i), root(j)
+        up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(sets))], links
+
+
+def test_a_dense_group_of_copies_costs_no_square(spark, monkeypatch):
+    rng = random.Random(14)
+    words, tested = [], []
+    for base, n in (([f"a{i}" for i in range(200)], 350), ([f"a{i}" if i < 155 else f"b{i}" for i in range(200)], 150)):  # two groups that share bands
+        for k in range(n):
+            w = list(base)
+            for _ in range(rng.randint(1, 10)):
+                i, how = rng.randrange(len(w)), rng.randrange(3)
+                w[i : i + (how != 1)] = [f"n{rng.randrange(10**9)}"] if how else []
+            words.append(w)
+    want, links = classes_by_brute_force([{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words])
+    assert len(links) > 5000 and 50 < len(set(want)) < 400
+    alike = simhash._alike
+
+    def counted(pairs, *more):
+        tested.append(pairs.count())
+        return alike(pairs, *more)
+
+    monkeypatch.setattr(simhash, "_alike", counted)
+    got = dict(map(tuple, simhash.near_duplicate_groups(table(spark, [(i, " ".join(w), "en") for i, w in enumerate(words)])).collect()))
+    assert [got[i] for i in range(len(words))] == want
+    assert sum(tested) < 10 * len(words), tested
+
+
+def test_pairs_around_a_centre_leave_out_no_link(spark):
+    rng = random.Random(15)
+    for similarity, family in ((0.8, 2), (0.6, 1), (0.9, 3)):
+        centre = set(range(60))
+        bases = [(centre - set(rng.sample(range(60), 8))) | {1000 * (f + 1) + i for i in range(8)} for f in range(family)]
+        sets = [frozenset(centre)]
+        for k in range(160):
+            s = set(rng.choice([centre, *bases]))
+            s -= set(rng.sample(sorted(s), rng.randint(0, 14)))
+            sets.append(frozenset(s | {rng.randint(5000, 5100) for _ in range(rng.randint(0, 10))}))
+        sets = [frozenset(centre), *sorted(set(sets) - {frozenset(centre)}, key=sorted)]
+        sets.append(frozenset(range(40)))
+        sets = list(dict.fromkeys(sets))
+        _, links = classes_by_brute_force(sets, similarity)
+        up = {i: 0 if (i, 0) in set(links) else i for i in range(len(sets))}  # only the links to the centre are known
+        arms = spark.createDataFrame([(0, i, up[i]) for i in range(1, len(sets))], "src long, dst long, class long")
+        held = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "node long, shingles array<long>")
+        got = set(map(tuple, simhash._pairs_around_centres(arms, held, similarity, "t").collect()))
+        assert all(up[a] != up[b] and a < b for a, b in got)
+        assert {(j, i) for i, j in links if up[i] != up[j]} <= got
+
+
 def test_components_are_those_of_union_find(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randint(0, 80), 100 + rng.randint(0, 80)) for _ in range(60)] + [(500, x) for x in range(501, 560)] + [(7, 7), (None, 3)]

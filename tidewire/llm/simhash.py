@@ -24,8 +24,8 @@ SAMPLES = 256
 BANDS, BAND_ROWS = 36, 7
 #: Words of a shingle of the fingerprints, the bits in which linked ones differ at most, and the parts of a fingerprint with a trie of their own.
 PRINT_WIDTH, PRINT_DISTANCE, PRINT_SEGMENTS = 4, 4, 2
-#: Nodes of a group that are compared with the rest of it in a round after the first, and pairs from which a set of shingles is copied to further tasks.
-HEADS, PAIRS_OF_A_SET = 16, 1000
+#: Nodes of a band up to which all its pairs are compared, and pairs from which a set of shingles is copied to further tasks.
+FEW_OF_A_BAND, PAIRS_OF_A_SET = 8, 1000
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary())])
 
@@ -310,15 +310,61 @@ def _shingle_sets(docs: DataFrame, width: int, keys: bool) -> DataFrame:
     return made.withColumnRenamed("x", "keys") if keys else made.withColumnRenamed("x", "shingles").drop("fp")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (src, dst) whose sets have a Jaccard similarity of ``similarity`` or more, counted exactly. A set that many pairs have as src is copied to several tasks."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` with the sets of src and dst as _a and _b. A set that many pairs have as src is copied to several tasks."""
     heavy = F.broadcast(pairs.groupBy(F.col("src").alias("node")).count().where(F.col("count") > PAIRS_OF_A_SET).select("node", F.ceil(F.col("count") / PAIRS_OF_A_SET).cast("int").alias("parts")))
     left = sets.join(pairs.select(F.col("src").alias("node")).distinct(), "node", "left_semi").join(heavy, "node", "left")
     left = left.select(F.col("node").alias("src"), F.col("shingles").alias("_a"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("_part"))
-    dealt = pairs.join(heavy.withColumnRenamed("node", "src"), "src", "left").select("src", "dst", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int").alias("_part"))
-    both = dealt.join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("_b")), "dst").join(left, ["src", "_part"])
-    common = F.size(F.array_intersect("_a", "_b"))
-    return both.select("src", "dst", F.size("_a").alias("a"), F.size("_b").alias("b"), common.alias("c")).where(F.col("c") >= similarity * (F.col("a") + F.col("b") - F.col("c")) - 1e-9).select("src", "dst")
+    dealt = pairs.join(heavy.withColumnRenamed("node", "src"), "src", "left").withColumn("_part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return dealt.join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("_b")), "dst").join(left, ["src", "_part"]).drop("_part")
+
+
+def _linked(a: Column, b: Column, common: Column, similarity: float) -> Column:
+    """Whether sets of sizes ``a`` and ``b`` with ``common`` members in common have a Jaccard similarity of ``similarity`` or more."""
+    return common >= similarity * (a + b - common) - 1e-9
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose sets have a Jaccard similarity of ``similarity`` or more, counted exactly."""
+    both = _with_sets(pairs, sets).select("src", "dst", F.size("_a").alias("a"), F.size("_b").alias("b"), F.size(F.array_intersect("_a", "_b")).alias("c"))
+    return both.where(_linked(F.col("a"), F.col("b"), F.col("c"), similarity)).select("src", "dst")
+
+
+def _mixed(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``rows`` (node, key and others) with the class of the node, of the keys that hold several classes."""
+    named = rows.withColumn("class", F.col("node")) if roots is None else rows.join(roots, "node", "left").select(*rows.columns, F.coalesce("root", "node").alias("class"))
+    ends = named.groupBy("key").agg(F.min("class").alias("_low"), F.max("class").alias("_high"))
+    return named.join(ends.where("_low <> _high").select("key"), "key", "left_semi")
+
+
+def _pairs_around_centres(arms: DataFrame, sets: DataFrame, similarity: float, label: str) -> DataFrame:
+    """(src, dst): all pairs of nodes with one centre but of different classes that can have a Jaccard similarity of ``similarity`` or more, and few others.
+
+    ``arms`` has (src, dst, class): centre, node and the node's class; a node linked to its centre must be of its class. What is compared are not the sets, which have nearly all in common, but
+    their differences from the centre's: x and y differ in as many shingles as these do. With t = (1 - similarity) / (1 + similarity), linked sets x and y differ in t * (|x| + |y|) shingles at most, so
+    their differences of sizes d and e share (d + e - t * (|x| + |y|)) / 2 at least. One of the two is not linked to the centre (else both are of its class) and differs from it in more than t * (|x| + |centre|): so
+    a difference shares about half of itself, and what is not linked, with one that is, (d - t * (|x| + |centre|)) / (1 + t). In one order of all shingles two sets that share o hold a common one
+    among their first d - o + 1 and e - o + 1. The order begins with what few classes hold; what a single class holds counts, but joins nothing, so that copies in a class meet no square.
+    """
+    t = (1 - similarity) / (1 + similarity)
+    k, a, d = F.col("k"), F.col("a"), F.col("d")
+    least = lambda x: F.greatest(F.lit(1), F.ceil(x - 1e-6).cast("int"))
+    apart = _with_sets(arms, sets).select(
+        F.col("src").alias("centre"), F.col("dst").alias("node"), "class", F.size("_a").alias("k"), F.size("_b").alias("a"), F.concat(F.array_except("_a", "_b"), F.array_except("_b", "_a")).alias("apart")
+    )
+    apart = apart.withColumn("d", F.size("apart")).withColumn("near", _linked(k, a, (k + a - d) / 2, similarity)).withColumn("half", d + 1 - least((d + t * (k - a)) / 2))
+    first = F.when(F.col("near"), F.col("half")).otherwise(F.greatest(F.col("half"), d + 1 - least((d - t * (a + k)) / (1 + t))))
+    apart = stored(apart.withColumn("first", first), f"{label}-apart")
+    shingles = apart.withColumn("shingle", F.explode("apart")).drop("apart", "k")
+    held = shingles.select("centre", "shingle", "class").distinct().groupBy("centre", "shingle").agg(F.count("*").alias("classes")).where("classes > 1")
+    of = Window.partitionBy("centre", "node")
+    placed = shingles.join(held, ["centre", "shingle"]).withColumn("place", (d - F.count("*").over(of) + F.row_number().over(of.orderBy("classes", "shingle"))).cast("int"))
+    placed = stored(placed.where("place <= first").select("centre", "shingle", "node", "class", "a", "d", "near", "half", "place"), f"{label}-placed")
+    other = placed.where("place <= half").select("centre", "shingle", *[F.col(c).alias(f"_{c}") for c in placed.columns[2:]])
+    may = F.col("_near") | ((F.col("place") <= F.col("half")) & (F.col("node") < F.col("_node")))
+    share = F.least(d - F.col("place"), F.col("_d") - F.col("_place")) + 1 >= (d + F.col("_d") - t * (a + F.col("_a"))) / 2 - 1e-6
+    met = placed.where("NOT near").join(other, ["centre", "shingle"]).where((F.col("class") != F.col("_class")) & may & share)
+    return met.select(F.least("node", "_node").alias("src"), F.greatest("node", "_node").alias("dst")).distinct()
 
 
 def _print_pairs(nodes: DataFrame, label: str) -> DataFrame:
@@ -332,6 +378,15 @@ def _print_pairs(nodes: DataFrame, label: str) -> DataFrame:
     return both.select(F.least("src_node", "dst_node").alias("src"), F.greatest("src_node", "dst_node").alias("dst")).distinct()
 
 
+def _further(found: DataFrame, roots: DataFrame | None, pairs: DataFrame, sets: DataFrame, similarity: float, label: str) -> tuple[DataFrame, DataFrame | None]:
+    """The links and their classes after the links among ``pairs`` have come to those of before."""
+    new = stored(_alike(pairs, sets, similarity), f"{label}-links")
+    if new.isEmpty():
+        return found, roots
+    found = found.unionByName(new)
+    return found, components(found, label)
+
+
 def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, label: str = "copies") -> DataFrame:
     """(doc_id, component_id) of ``near_duplicate_rows``."""
     return near_duplicate_rows(docs, similarity, width, label).select("doc_id", "component_id")
@@ -341,9 +396,9 @@ def near_duplicate_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5
     """(doc_id, tie, component_id, is_first): classes of documents whose five-word shingles have a Jaccard similarity of ``similarity`` or more, directly or by others.
 
     Documents with the same set of shingles are one node. The first candidates are the links of ``near_duplicates``: nodes whose fingerprints differ in a few bits at most. What those leave
-    apart is sought among the nodes that share a band of min-hashes, wherever their texts differ: of the pairs at a similarity of 0.8 one in 5,000 shares none. Each candidate is decided on the sets of shingles themselves. A group of nodes with a band in common is compared in rounds, each of
-    which compares some of its nodes (of its smallest classes) with all that are in other classes, and lets them go; it is done when all that are left are in one class. So a
-    dense group of copies costs no square, and a node that fails with one member of a class is still compared with the others.
+    apart is sought among the nodes that share a band of min-hashes, wherever their texts differ: of the pairs at a similarity of 0.8 one in 5,000 shares none. Each candidate is decided on the sets of shingles themselves.
+    In a band of a few nodes all pairs of different classes are compared. In a larger one all are compared with its centre, the node with the most bands; the pairs that are left there
+    are those whose differences from the centre share enough (``_pairs_around_centres``), so that a dense group of copies costs no square and no pair that could be linked is left out.
 
     Only documents that have an id are grouped. Documents without words are one class. component_id is the class's smallest id. ``is_first`` marks the class's smallest row by id and ``tie``
     (``row_tie``), so that rows with one id and different texts are told apart; wholly equal rows are all marked or none.
@@ -351,37 +406,29 @@ def near_duplicate_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5
     docs = docs.where("doc_id IS NOT NULL")
     prints = stored(_shingle_sets(docs, width, keys=True), f"{label}-prints")
     nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.min("fp").alias("fp"))
-    tested = stored(_print_pairs(nodes.select("node", "fp"), label), f"{label}-pairs0")
+    first = stored(_print_pairs(nodes.select("node", "fp"), label), f"{label}-pairs0")
     rows = stored(prints.groupBy("node").agg(F.any_value("keys").alias("keys")).select("node", F.explode("keys").alias("key")), f"{label}-bands")
     rows = stored(rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), f"{label}-shared")
-    ends = tested.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(rows.select("node")).distinct()
+    ends = first.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(rows.select("node")).distinct()
     some = nodes.join(ends, "node", "left_semi").select(F.col("least.doc_id").alias("doc_id")).distinct()
     few = some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sets = _shingle_sets(docs.join(F.broadcast(some) if few else some, "doc_id", "left_semi"), width, keys=False)
     sets = stored(sets.select("node", "shingles").dropDuplicates(["node"]), f"{label}-sets")
-    found = stored(_alike(tested, sets, similarity), f"{label}-links0")
+    found = stored(_alike(first, sets, similarity), f"{label}-links0")
     roots = None if found.isEmpty() else components(found, f"{label}-round0")
-    round_no = 0
-    while True:
-        round_no += 1
-        named = rows.withColumn("class", F.col("node")) if roots is None else rows.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("class"))
-        sizes = named.groupBy("key", "class").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1").select("key")
-        named = stored(named.join(mixed, "key", "left_semi"), f"{label}-named{round_no}")
-        if named.isEmpty():
-            break
-        sizes = named.groupBy("key", "class").agg(F.count("*").alias("n"))
-        first = Window.partitionBy("key").orderBy("n", "class", "node")
-        heads = named.join(sizes, ["key", "class"]).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= (1 if round_no == 1 else HEADS))
-        heads = stored(heads.select("key", F.col("node").alias("head"), F.col("class").alias("head_class")), f"{label}-heads{round_no}")
-        pairs = named.join(heads, "key").where("class <> head_class").select(F.least("node", "head").alias("src"), F.greatest("node", "head").alias("dst")).distinct()
-        pairs = stored(pairs.join(tested, ["src", "dst"], "left_anti"), f"{label}-pairs{round_no}")
-        tested = tested.unionByName(pairs)
-        new = stored(_alike(pairs, sets, similarity), f"{label}-links{round_no}")
-        found = found.unionByName(new)
-        if not new.isEmpty():
-            roots = components(found, f"{label}-round{round_no}")
-        rows = named.join(heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti").select("node", "key")
+    named = stored(_mixed(rows, roots), f"{label}-named")
+    centres = named.join(named.groupBy("node").agg(F.count("*").alias("bands")), "node").groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("bands", "node", "class")).alias("centre"))
+    dealt = stored(named.join(centres, "key").select("node", "key", "class", "n", F.col("centre.node").alias("centre"), (F.col("centre.class") == F.col("class")).alias("joined")), f"{label}-dealt")
+    small, large = dealt.where(F.col("n") <= FEW_OF_A_BAND), dealt.where(F.col("n") > FEW_OF_A_BAND)
+    other = small.select("key", F.col("node").alias("_node"), F.col("class").alias("_class"))
+    direct = small.join(other, "key").where("node < _node AND class <> _class").select(F.col("node").alias("src"), F.col("_node").alias("dst"))
+    pairs = stored(direct.unionByName(large.where("NOT joined").select(F.col("centre").alias("src"), F.col("node").alias("dst"))).distinct(), f"{label}-pairs1")
+    found, roots = _further(found, roots, pairs, sets, similarity, f"{label}-round1")
+    arms = _mixed(large.select("node", "key", "centre"), roots).where("node <> centre")
+    arms = stored(arms.select(F.col("centre").alias("src"), F.col("node").alias("dst"), "class").distinct(), f"{label}-arms")
+    if not arms.isEmpty():
+        pairs = stored(_pairs_around_centres(arms, sets, similarity, label), f"{label}-pairs2")
+        found, roots = _further(found, roots, pairs, sets, similarity, f"{label}-round2")
     classes = nodes.select("node", "least", F.col("node").alias("root")) if roots is None else nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("first"))
     named = prints.select("doc_id", "tie", "node").join(classes.join(smallest, "root").select("node", "first"), "node")
