@@ -65,3 +65,11 @@ def test_top_k_needs_no_full_sort(spark, sf):
 def test_tokens_are_computed_once(spark, sf):
     text = plan(terms.term_frequency(terms.tokenize_articles(standins.articles(spark, sf))))
     assert text.count("regexp_extract_all") <= 2  # once in the projection, once in its generator's input
+
+
+@pytest.mark.parametrize("name", ["J4_next_session", "K7_save_targets", "K8_apply_backtest", "M7_backtest_returns", "M7b_backtest_from_open"])
+def test_daily_bars_are_made_once(name, spark, sf, monkeypatch):
+    made, real = [], standins.stock_daily
+    monkeypatch.setattr(standins, "stock_daily", lambda *args: made.append(args) or real(*args))
+    text = plan(QUERIES[name](spark, sf))
+    assert len(made) == 1 and "l_shipdate" not in text, text

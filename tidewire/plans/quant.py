@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewire.operators import quant, reco, sinks
 from tidewire.plans.registry import day, query, stamp
 from tidewire.plans.views import with_views
+from tidewire.session import scratch_dir
 from tidewire.sources import articles as article_scans
 from tidewire.sources import standins
 
@@ -36,16 +37,23 @@ verified AS (SELECT *, {R.format("CAST(next_day_open - closing_price AS DOUBLE)
 _D = "strftime(target_dt, '%Y-%m-%d') AS target_dt"
 
 
-def _picks(spark, d):
-    return quant.closing_screen(standins.stock_snapshot(spark, d), AMOUNT, UNIT)
+def _bars(spark, d):
+    """The daily bars, written once for queries that read them several times; one row per code and day."""
+    path, bars = scratch_dir(spark, "daily-bars"), standins.stock_daily(spark, d)
+    bars.write.parquet(path)
+    return spark.read.schema(bars.schema).parquet(path)
 
 
-def _stored(spark, d):
+def _picks(bars):
+    return quant.closing_screen(standins.snapshot_of(bars), AMOUNT, UNIT)
+
+
+def _stored(bars):
     key = F.date_diff("target_dt", F.lit("1990-01-01").cast("date")).cast("long") * 100 + F.regexp_extract("code", "([0-9]+)", 1).cast("long")
     none = F.lit(None).cast("long")
     open_ = F.col("id") % 3 == 0
     return (
-        _picks(spark, d)
+        _picks(bars)
         .withColumn("id", key)
         .withColumns({"next_day_open": none, "next_day_10m_high": none, "next_day_close": none})
         .withColumns(
@@ -58,18 +66,17 @@ def _stored(spark, d):
     )
 
 
-def _pending(spark, d):
-    return quant.pending_targets(_stored(spark, d), TODAY)
+def _pending(bars):
+    return quant.pending_targets(_stored(bars), TODAY)
 
 
-def _matched(spark, d):
-    pending = _pending(spark, d).select("id", "code", "target_dt", "closing_price")
-    return quant.next_session(pending, standins.stock_daily(spark, d))
+def _matched(bars):
+    return quant.next_session(_pending(bars).select("id", "code", "target_dt", "closing_price"), bars)
 
 
 @query("M6_closing_screen", PICKS_SQL + f"SELECT {_D}, code, name, strategy_name, {R.format('target_score', 6)} AS target_score, closing_price FROM picks")
 def _(spark, d):
-    return _picks(spark, d).withColumns({"target_dt": day("target_dt"), "target_score": F.round(F.col("target_score").cast("decimal(38,10)"), 6).cast("double")})
+    return _picks(standins.stock_daily(spark, d)).withColumns({"target_dt": day("target_dt"), "target_score": F.round(F.col("target_score").cast("decimal(38,10)"), 6).cast("double")})
 
 
 @query(
@@ -124,7 +131,7 @@ def _(spark, d):
 
 @query("F7_pending_targets", PICKS_SQL + f"SELECT id, {_D}, code, closing_price FROM pending")
 def _(spark, d):
-    return _pending(spark, d).select("id", day("target_dt").alias("target_dt"), "code", "closing_price")
+    return _pending(standins.stock_daily(spark, d)).select("id", day("target_dt").alias("target_dt"), "code", "closing_price")
 
 
 @query(
@@ -132,7 +139,7 @@ def _(spark, d):
     PICKS_SQL + f"SELECT id, code, {_D}, closing_price, strftime(next_dt, '%Y-%m-%d') AS next_dt, next_day_open, next_day_10m_high, next_day_close FROM matched",
 )
 def _(spark, d):
-    return _matched(spark, d).withColumns({"target_dt": day("target_dt"), "next_dt": day("next_dt")})
+    return _matched(_bars(spark, d)).withColumns({"target_dt": day("target_dt"), "next_dt": day("next_dt")})
 
 
 @query(
@@ -158,7 +165,7 @@ def _(spark, d):
     PICKS_SQL + "SELECT id, next_day_open, next_day_10m_high, next_day_close, return_rate_open, return_rate_high, is_success FROM verified",
 )
 def _(spark, d):
-    return quant.backtest_returns(_matched(spark, d)).select(
+    return quant.backtest_returns(_matched(_bars(spark, d))).select(
         "id", "next_day_open", "next_day_10m_high", "next_day_close", "return_rate_open", "return_rate_high", "is_success"
     )
 
@@ -170,7 +177,7 @@ def _(spark, d):
   CAST(next_day_10m_high - next_day_open AS DOUBLE) / next_day_open * 100.0::DOUBLE >= 2.0 AS is_success FROM matched""",
 )
 def _(spark, d):
-    return quant.backtest_returns_from_open(_matched(spark, d)).select("id", "return_rate_high", "is_success")
+    return quant.backtest_returns_from_open(_matched(_bars(spark, d))).select("id", "return_rate_high", "is_success")
 
 
 @query(
@@ -182,7 +189,8 @@ def _(spark, d):
 FROM stored s LEFT JOIN verified v ON v.id = s.id""",
 )
 def _(spark, d):
-    out = sinks.apply_backtest(_stored(spark, d), quant.backtest_returns(_matched(spark, d)))
+    bars = _bars(spark, d)
+    out = sinks.apply_backtest(_stored(bars), quant.backtest_returns(_matched(bars)))
     return out.select("id", "next_day_open", "next_day_10m_high", "next_day_close", "return_rate_open", "return_rate_high", "is_success")
 
 
@@ -195,7 +203,7 @@ def _(spark, d):
 FROM stored""",
 )
 def _(spark, d):
-    return quant.quant_stats(_stored(spark, d))
+    return quant.quant_stats(_stored(standins.stock_daily(spark, d)))
 
 
 @query(
@@ -203,7 +211,7 @@ def _(spark, d):
     PICKS_SQL + f"SELECT id, {_D}, code, closing_price, is_success FROM stored ORDER BY stored.target_dt DESC, target_score DESC, code LIMIT 20",
 )
 def _(spark, d):
-    return quant.closing_targets(_stored(spark, d)).select("id", day("target_dt").alias("target_dt"), "code", "closing_price", "is_success")
+    return quant.closing_targets(_stored(standins.stock_daily(spark, d))).select("id", day("target_dt").alias("target_dt"), "code", "closing_price", "is_success")
 
 
 @query(
@@ -211,7 +219,7 @@ def _(spark, d):
     PICKS_SQL + f"SELECT {_D}, code, strategy_name, closing_price FROM picks WHERE picks.target_dt >= DATE '1999-01-01'",
 )
 def _(spark, d):
-    picks = _picks(spark, d)
+    picks = _picks(_bars(spark, d))
     stored = picks.where(F.col("target_dt") < F.lit("1999-01-01").cast("date"))
     return sinks.save_targets(stored, picks).select(day("target_dt").alias("target_dt"), "code", "strategy_name", "closing_price")
 
