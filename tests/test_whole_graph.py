@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -73,3 +74,26 @@ def test_chunks_of_a_tile_sum_up(monkeypatch):
         want.update({p: n for p in combinations(ids, 2)})
     keys, weights = sums.total()
     assert {(int(k >> 32), int(k & 0xFFFFFFFF)): int(w) for k, w in zip(keys, weights, strict=True)} == dict(want)
+
+
+def test_blocks_take_few_bytes_a_term(spark):
+    """What is dealt to the tiles: a number below 65,536 takes little more than two bytes, and copies none where there are none."""
+    rng = random.Random(1)
+    sets = [(sorted((k % 4 << 32) + k // 4 for k in rng.sample(range(80_000), 300)), 1, 0) for _ in range(200)]
+    rows = spark.createDataFrame(sets, "codes array<long>, n long, period int").coalesce(1).mapInArrow(pair_tiles._blocks, pair_tiles._BLOCK).collect()
+    assert sorted(r["part"] for r in rows) == [0, 1, 2, 3]
+    packed = sum(len(pa.compress(bytes(v), "lz4_raw", asbytes=True)) for r in rows for v in r if isinstance(v, (bytes, bytearray)) and v)
+    assert packed < 2.5 * 200 * 300
+
+
+def test_a_row_beyond_a_chunk_is_summed_in_pieces(monkeypatch):
+    rng = random.Random(5)
+    sets = [(sorted(rng.sample(range(40), rng.randrange(1, 30))), rng.choice((1, 1, 4))) for _ in range(60)]
+    side = tuple(np.array(x) for x in zip(*[(d, n, i) for d, (ids, n) in enumerate(sets) for i in ids], strict=True))
+    other = side[0], side[1], side[2].astype(np.int32) * 5
+    want = sum((Counter({(a, 5 * b): n for a in ids for b in ids}) for ids, n in sets), Counter())
+    for chunk, cells in ((7, 4), (300, 4), (300, 0), (10_000_000, 4), (10_000_000, 0)):
+        monkeypatch.setattr(pair_tiles, "CHUNK", chunk)
+        monkeypatch.setattr(pair_tiles, "CELLS", cells)
+        got = [(int(k >> 32), int(k & 0xFFFFFFFF), int(w)) for keys, weights in pair_tiles._pairs(side, other, False) for k, w in zip(keys, weights, strict=True)]
+        assert got == sorted((a, b, n) for (a, b), n in want.items())
