@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidewire.operators import pair_tiles, terms
+from tidewire.operators import pair_tiles, sinks, terms
 
 QUERIES = entry.queries()
 
@@ -97,3 +97,24 @@ def test_a_row_beyond_a_chunk_is_summed_in_pieces(monkeypatch):
         monkeypatch.setattr(pair_tiles, "CELLS", cells)
         got = [(int(k >> 32), int(k & 0xFFFFFFFF), int(w)) for keys, weights in pair_tiles._pairs(side, other, False) for k, w in zip(keys, weights, strict=True)]
         assert got == sorted((a, b, n) for (a, b), n in want.items())
+
+
+def test_edges_of_two_periods_meet_in_their_tile(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"{rng.choice('aäz한')}{k}" for k in range(400)]
+    docs = [(i, rng.choices(words, k=rng.randrange(0, 60))) for i in range(60) if i not in (5, 7)] + [(60, None), (61, words[:90]), (62, words[60:]), (5, words[30:90]), (7, words[20:80])]
+    tokens = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
+    old, new = tokens.where("doc_id < 30 or doc_id = 61"), tokens.where("doc_id >= 20")
+    monkeypatch.setattr(pair_tiles, "TILE_PAIRS", 2000)
+    both = terms.cooccurrence_of_both(old, new)
+    dated = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("updated_at")
+    joined = sinks.merge_edges(terms.cooccurrence(old).select("*", dated), terms.cooccurrence(new), "2024-01-02 00:00:00")
+    beside = sinks.merge_edges(both.select("*", dated), None, "2024-01-02 00:00:00")
+    assert sorted(map(tuple, beside.collect())) == sorted(map(tuple, joined.collect())) and joined.select("updated_at").distinct().count() == 2
+    plan = beside._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    assert "Join" not in plan and "Exchange" not in plan  # nothing is moved once the edges are formed
+    shape = lambda e, p="": e.select("src", "dst", F.col(f"{p}weight").cast("double").alias("weight"), F.col(f"{p}weight").alias("co_count"))
+    joined = sinks.merge_edges_ema(shape(terms.cooccurrence(old)), shape(terms.cooccurrence(new)))
+    beside = sinks.merge_edges_ema(both.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.col("weight").alias("co_count"), F.col("batch_weight").cast("double").alias("batch_weight"), F.col("batch_weight").alias("batch_co_count")), None)
+    assert sorted(map(tuple, beside.collect())) == sorted(map(tuple, joined.collect()))
+    assert terms.cooccurrence_of_both(old.limit(0), new.limit(0)).count() == 0
