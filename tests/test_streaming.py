@@ -185,3 +185,16 @@ def test_compaction(spark, tmp_path):
         spark.createDataFrame([("k", v)], "key string, value string").write.parquet(f"{tmp_path}/out/batch={i}")
     runs.compact(spark, f"{tmp_path}/out", ["key"], f"{tmp_path}/folded")
     assert rows(spark.read.parquet(f"{tmp_path}/folded")) == [("k", "new")]
+
+
+def test_terms_are_added_without_state_in_any_order_and_once(spark, sf, tmp_path):
+    articles = standins.articles(spark, sf)
+    folder = split(articles.withColumn("mix", F.xxhash64("id")), str(tmp_path / "in"), "mix")  # most rows come behind a watermark, and windows come again
+    stream = runs.file_stream(spark, folder, articles.schema, files_per_batch=1)
+    table = st.added_terms(str(tmp_path / "terms"))
+    st.write_terms(stream, table, str(tmp_path / "cp")).awaitTermination()
+    want = rows(st.term_counts(articles).select("time", "source_id", "term", "frequency", "doc_count"))
+    assert table.committed(spark) >= 2 and rows(table.read(spark)) == want
+    assert not (tmp_path / "cp" / "state").exists()
+    st.write_terms(stream, table, str(tmp_path / "cp2")).awaitTermination()  # the same batches again
+    assert rows(table.read(spark)) == want
